@@ -7,9 +7,9 @@ term and n-gram tables are built without any shuffle, and memory per task is
 bounded by the largest document, not by the number of distinct keys in a
 partition.
 
-Lambdas passed to ``transform``/``filter`` only ever read their own element;
-arrays they need are zipped in beforehand.  (An outer array read inside a
-lambda would be re-evaluated per element.)
+Each stage is a separate projection whose arrays are referenced more than
+once by the next stage, so Catalyst keeps them as materialised columns;
+lambdas then read them by position (O(1)), never re-evaluate them.
 """
 
 from __future__ import annotations
@@ -18,13 +18,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _int_seq(n: Column) -> Column:
-    """1..n as array<int>; empty when n = 0 (``sequence(1, 0)`` counts down)."""
-    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+def int_range(n: Column) -> Column:
+    """0..n-1 as array<int>; empty when n = 0 (``sequence(0, -1)`` counts down)."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _nonneg(c: Column) -> Column:
-    return F.greatest(c, F.lit(0))
+def sorted_runs(df: DataFrame, src: str, keep: list[str]) -> DataFrame:
+    """Sort array ``src`` and find its runs of equal elements.
+
+    Adds ``_s`` (the sorted array), ``_e`` (0-based index of the last
+    element of each run, ascending) and ``_n`` (array size).
+    """
+    s = F.col("_s")
+    n = F.size(s)
+    staged = df.select(*keep, F.sort_array(F.col(src)).alias("_s"))
+    ends = F.filter(int_range(n), lambda i: (i == n - 1) | (F.get(s, i) != F.get(s, i + 1)))
+    return staged.select(*keep, s, n.alias("_n"), ends.alias("_e"))
+
+
+def run_struct(runs: DataFrame, keep: list[str], build) -> DataFrame:
+    """Map each run to a struct: ``build(value, count, prev_value)``.
+
+    ``prev_value`` is the value of the previous run (NULL for the first).
+    Adds ``_m`` (number of runs) and ``_r`` (array of the built structs).
+    """
+    s, e = F.col("_s"), F.col("_e")
+
+    def one(end, j):
+        start = F.coalesce(F.get(e, j - 1), F.lit(-1))
+        return build(F.get(s, end), end - start, F.get(s, start))
+
+    return runs.select(*keep, "_n", F.size(e).alias("_m"), F.transform(e, one).alias("_r"))
 
 
 def with_value_counts(df: DataFrame, src: str, out: str, keep: list[str]) -> DataFrame:
@@ -34,34 +58,8 @@ def with_value_counts(df: DataFrame, src: str, out: str, keep: list[str]) -> Dat
     value.  ``keep`` lists the columns carried through; ``src`` is dropped.
     Columns ``_n`` (array size) and ``_m`` (distinct count) are added.
     """
-    s = F.col("_s")
-    n = F.size(s)
-    staged = df.select(*keep, F.sort_array(F.col(src)).alias("_s")).select(
-        *keep,
-        s.alias("cur"),
-        F.slice(s, 2, _nonneg(n - 1)).alias("nxt"),
-        _int_seq(n).alias("idx"),
-        n.alias("_n"),
-    )
-    # Run ends: the next element differs, or there is none (arrays_zip pads
-    # the shorter ``nxt`` with NULL at the end).
-    ends = F.filter(
-        F.arrays_zip("cur", "nxt", "idx"),
-        lambda e: e["nxt"].isNull() | (e["cur"] != e["nxt"]),
-    )
-    staged = staged.select(*keep, "_n", ends.alias("_e"))
-    end_idx = F.col("_e")["idx"]
-    m = F.size("_e")
-    staged = staged.select(
-        *keep,
-        "_n",
-        m.alias("_m"),
-        F.col("_e")["cur"].alias("value"),
-        end_idx.alias("end"),
-        F.concat(F.array(F.lit(0)), F.slice(end_idx, 1, _nonneg(m - 1))).alias("start"),
-    )
-    counts = F.transform(
-        F.arrays_zip("value", "end", "start"),
-        lambda e: F.struct(e["value"].alias("value"), (e["end"] - e["start"]).alias("count")),
+    runs = sorted_runs(df, src, keep)
+    counted = run_struct(
+        runs, keep, lambda v, c, _prev: F.struct(v.alias("value"), c.alias("count"))
     )
-    return staged.select(*keep, "_n", "_m", counts.alias(out))
+    return counted.withColumnRenamed("_r", out)

@@ -94,3 +94,14 @@ def token_kind(token: Column) -> Column:
 
 def is_compound(term: Column) -> Column:
     return term.rlike(COMPOUND_RE)
+
+
+def has_words(text: Column) -> Column:
+    """True when ``text`` holds at least one word token.
+
+    Exact and cheap: without a wiki-table opening every ASCII letter or
+    digit belongs to a word token, so a scan that stops at the first one
+    decides; only texts holding ``{|`` are tokenized.
+    """
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.contains(TABLE_OPEN), F.size(word_array(t)) > 0).otherwise(t.rlike("[" + ALNUM + "]"))

@@ -43,9 +43,13 @@ def _lowers(term: Column, n: int) -> list[Column]:
 
 
 def ngram_arrays(corpus: DataFrame, n: int) -> DataFrame:
-    """(document, grams) with the n-grams of each document in text order."""
-    lane = corpus.select("document", word_lane(F.col("text")).alias("lane"))
-    return lane.select("document", _ngram_array(F.col("lane"), n).alias("grams"))
+    """(document, grams) with the n-grams of each document in text order.
+
+    Takes a corpus (document, text) or lanes (document, lane).
+    """
+    if "lane" not in corpus.columns:
+        corpus = corpus.select("document", word_lane(F.col("text")).alias("lane"))
+    return corpus.select("document", _ngram_array(F.col("lane"), n).alias("grams"))
 
 
 def ngram_rows(corpus: DataFrame, n: int = 2) -> DataFrame:

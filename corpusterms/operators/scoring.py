@@ -10,7 +10,9 @@ Shape of the plans:
   ``groupBy(lower)`` with partial aggregation, so a term that occurs in every
   document sends one row per map task across the network;
 * corpus totals are one-row global aggregates referenced as *scalar
-  subqueries* (planned once, read as a literal), never cross joins;
+  subqueries* (planned once, read as a literal), never cross joins; the
+  document total N is read from the corpus with a cheap exact test or from
+  the stored per-document flag, never by tokenizing twice;
 * the summary never joins the document frequency back onto the term rows:
   the IDF is constant within a term, so max/min/mean of tf*idf follow from
   max/min/mean of tf.  Only the per-row ``tf_idf`` listing needs the join;
@@ -23,33 +25,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
 from ..functions.scores import IDF_LOG10, IDF_SERIES, idf
+from ..functions.tokens import has_words
 from .terms import _as_term_stats, doc_info
 
 
 # --- corpus totals -------------------------------------------------------------
 
 
-def _n_terms(ts: DataFrame) -> Column:
-    """Documents with at least one term (``COUNT(DISTINCT document)``)."""
+def _n_terms(src: DataFrame) -> Column:
+    """Documents with at least one term (``COUNT(DISTINCT document)``).
+
+    From a corpus: a cheap exact test per text (``has_words``), not a second
+    tokenization.  From a term table: the one-per-document flag summed.
+    """
+    if "text" in src.columns:
+        return src.where(has_words(F.col("text"))).agg(F.count(F.lit(1)).alias("n")).scalar()
+    ts = _as_term_stats(src)
     return ts.agg(F.sum(F.col("doc_first").cast("long")).alias("n")).scalar()
 
 
+def _per_term_df(ts: DataFrame) -> DataFrame:
+    return ts.groupBy("lower").agg(F.sum(F.col("lower_first").cast("long")).alias("docfreq"))
+
+
 def _n_registry(registry: DataFrame) -> Column:
     """Rows of the document registry (documents without terms included)."""
     return registry.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def corpus_counts(corpus_or_stats: DataFrame) -> DataFrame:
-    """One row: documents, unique_tokens (distinct lower), token_total."""
+    """One row: documents, unique_tokens (distinct lower), token_total.
+
+    One pass: a per-term partial aggregate, then a one-row total.
+    """
     ts = _as_term_stats(corpus_or_stats)
-    per_doc = ts.agg(
-        F.sum(F.col("doc_first").cast("long")).alias("documents"),
-        F.sum("occurence").cast("long").alias("token_total"),
+    per_term = ts.groupBy("lower").agg(
+        F.sum(F.col("doc_first").cast("long")).alias("n_first"),
+        F.sum("occurence").alias("occ"),
     )
-    unique = ts.select("lower").distinct().agg(F.count(F.lit(1)).alias("unique_tokens"))
-    return per_doc.select(
-        "documents", unique.scalar().alias("unique_tokens"), "token_total"
+    return per_term.agg(
+        F.sum("n_first").cast("long").alias("documents"),
+        F.count(F.lit(1)).alias("unique_tokens"),
+        F.sum("occ").cast("long").alias("token_total"),
     )
 
 
@@ -78,8 +98,8 @@ def doc_frequency(corpus_or_stats: DataFrame) -> DataFrame:
 
 def doc_frequency_total(corpus_or_stats: DataFrame) -> DataFrame:
     """``doc_frequency`` with the corpus document total beside it."""
-    ts = _as_term_stats(corpus_or_stats)
-    return doc_frequency(ts).select("lower", "docfreq", _n_terms(ts).alias("doctotal"))
+    per_term = _per_term_df(_as_term_stats(corpus_or_stats))
+    return per_term.select("lower", "docfreq", _n_terms(corpus_or_stats).alias("doctotal"))
 
 
 def tf_idf(corpus_or_stats: DataFrame) -> DataFrame:
@@ -88,8 +108,12 @@ def tf_idf(corpus_or_stats: DataFrame) -> DataFrame:
     The order is total (docfreq, lower, document, term) so that the range
     partitioning behind the sort can split a term that is in every document.
     """
+    n = _n_terms(corpus_or_stats)
     ts = _as_term_stats(corpus_or_stats)
-    n = _n_terms(ts)
+    if "text" in corpus_or_stats.columns:
+        # Both join sides read the term rows: keep them once (spills to
+        # disk when large; lost blocks are recomputed from the scan).
+        ts = ts.persist(StorageLevel.MEMORY_AND_DISK)
     tf = ts.select(
         "document",
         "term",
@@ -123,7 +147,6 @@ def tf_idf_summary(corpus_or_stats: DataFrame, idf_mode: str = IDF_SERIES) -> Da
     idf >= 0 and idf*min(tf) otherwise.
     """
     ts = _as_term_stats(corpus_or_stats)
-    n = _n_terms(ts)
     tf = F.col("occurence") / F.col("token_total").cast("double")
     per_term = ts.groupBy("lower").agg(
         F.max(tf).alias("tf_max"),
@@ -131,6 +154,7 @@ def tf_idf_summary(corpus_or_stats: DataFrame, idf_mode: str = IDF_SERIES) -> Da
         F.avg(tf).alias("tf_mean"),
         F.sum(F.col("lower_first").cast("long")).alias("docfreq"),
     )
+    n = _n_terms(corpus_or_stats)
     w = idf(n, F.col("docfreq"), idf_mode)
     scored = per_term.select("lower", w.alias("_idf"), "tf_max", "tf_min", "tf_mean")
     i = F.col("_idf")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import with_value_counts
+from ..functions.arrays import run_struct, sorted_runs
 from ..functions.tokens import word_array
 
 
@@ -27,35 +27,31 @@ def doc_terms(corpus: DataFrame) -> DataFrame:
     occurence, lower_first) ordered by (lower, term).  ``lower_first`` marks
     the first cased variant of each lower-cased term in the document.
     """
-    words = corpus.select(
+    return doc_terms_from_words(corpus.select("document", word_array(F.col("text")).alias("words")))
+
+
+def doc_terms_from_words(words: DataFrame) -> DataFrame:
+    """``doc_terms`` from (document, words array<string>) in text order."""
+    pairs = words.select(
         "document",
-        F.transform(
-            word_array(F.col("text")),
-            lambda x: F.struct(F.lower(x).alias("lower"), x.alias("term")),
-        ).alias("w"),
-    )
-    counted = with_value_counts(words, "w", "vc", ["document"])
-    m = F.col("_m")
-    lowers = F.col("vc")["value"]["lower"]
-    prev_lower = F.concat(
-        F.array(F.lit(None).cast("string")),
-        F.slice(lowers, 1, F.greatest(m - 1, F.lit(0))),
-    )
-    counted = counted.select("document", "_n", "_m", "vc", prev_lower.alias("pl"))
-    terms = F.transform(
-        F.arrays_zip("vc", "pl"),
-        lambda e: F.struct(
-            e["vc"]["value"]["term"].alias("term"),
-            e["vc"]["value"]["lower"].alias("lower"),
-            e["vc"]["count"].cast("long").alias("occurence"),
-            (e["pl"].isNull() | (e["pl"] != e["vc"]["value"]["lower"])).alias("lower_first"),
-        ),
+        F.transform("words", lambda x: F.struct(F.lower(x).alias("lower"), x.alias("term"))).alias("w"),
     )
+    runs = sorted_runs(pairs, "w", ["document"])
+
+    def build(v, count, prev):
+        return F.struct(
+            v["term"].alias("term"),
+            v["lower"].alias("lower"),
+            count.cast("long").alias("occurence"),
+            (prev.isNull() | (prev["lower"] != v["lower"])).alias("lower_first"),
+        )
+
+    counted = run_struct(runs, ["document"], build)
     return counted.select(
         "document",
         F.col("_n").cast("long").alias("token_total"),
         F.col("_m").cast("long").alias("term_count"),
-        terms.alias("terms"),
+        F.col("_r").alias("terms"),
     )
 
 
