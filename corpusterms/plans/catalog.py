@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..functions.scores import IDF_LOG10, round_sig
 from ..operators import ngrams, registry, scoring, terms, tokens
 from ..sources import tables
@@ -179,3 +180,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conversation_terms": q_conversation_terms,
     "benchmark_summary": q_benchmark_summary,
 }
+
+
+# --- markup -------------------------------------------------------------------
+# The driver documents hold no markup, so these queries dress each document
+# in markup built from its own columns (front matter, heading, emphasis,
+# links, quote, list, image, code, HTML, definition) and clean it again.
+
+_Q3 = "'" * 3
+
+
+def markdown_document(doc_id, lang, source, text):
+    i = doc_id.cast("string")
+    return F.concat(
+        F.lit("---\ntitle: d"), i, F.lit("\nlang: "), lang, F.lit("\n---\n# "), source,
+        F.lit("\n\n"), text,
+        F.lit("\n\n> **"), lang, F.lit("** [pautan](http://x.example/"), i,
+        F.lit(' "t") and `kod` <b>html</b>\n\n- item *'), source,
+        F.lit('*\n\n![alt](i.png "tajuk")\n\n```\nfenced '), lang, F.lit('\n```\n\n[lab]: http://x "def"\n'),
+    )
+
+
+def wiki_document(doc_id, lang, source, text):
+    i = doc_id.cast("string")
+    return F.concat(
+        F.lit("== "), source, F.lit(" ==\n" + _Q3), lang, F.lit(_Q3 + " "), text,
+        F.lit(" [[Pautan|"), lang, F.lit("]] [[Fail:x.png|thumb|[[a]] cap]] {{cite|"), i,
+        F.lit("}}<ref>r"), i, F.lit("</ref>\n* item "), i,
+        F.lit("\n<!-- c -->[http://x.example/"), i, F.lit(" luar]\n"),
+    )
+
+
+def _dressed(spark, base, dress):
+    d = tables.table(spark, base, "documents")
+    return d.select(
+        F.col("doc_id").alias("document"),
+        dress(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("raw"),
+    )
+
+
+def q_markdown_text(spark, base):
+    md = _dressed(spark, base, markdown_document)
+    return md.select("document", markup.markdown_text(F.col("raw")).alias("text"))
+
+
+def q_markdown_terms(spark, base):
+    return _r(terms.term_info(q_markdown_text(spark, base)), "frequency")
+
+
+def q_front_matter(spark, base):
+    md = _dressed(spark, base, markdown_document)
+    fm = markup.split_front_matter(F.col("raw"))
+    return md.select("document", fm["meta"].alias("meta"), fm["body"].alias("body"))
+
+
+def q_wikitext_clean(spark, base):
+    wk = _dressed(spark, base, wiki_document)
+    return wk.select("document", markup.wikitext_clean(F.col("raw")).alias("text"))
+
+
+def q_page_text(spark, base):
+    p = tables.pages_corpus(spark, base)
+    return p.select("document", markup.html_text(F.col("text")).alias("text"))
+
+
+def q_page_terms(spark, base):
+    return _r(terms.term_info(q_page_text(spark, base)), "frequency")
+
+
+QUERIES.update(
+    {
+        "markdown_text": q_markdown_text,
+        "markdown_terms": q_markdown_terms,
+        "front_matter": q_front_matter,
+        "wikitext_clean": q_wikitext_clean,
+        "page_text": q_page_text,
+        "page_terms": q_page_terms,
+    }
+)

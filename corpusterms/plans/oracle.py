@@ -9,6 +9,7 @@ Only the token grammar (one regex, RE2-compatible) is shared.
 from __future__ import annotations
 
 from ..functions.tokens import COMPOUND_RE, PUNCT_CLASS, TOKEN_RE, WORD_LANE_RE
+from ..functions import markup as M
 from . import catalog
 
 
@@ -227,3 +228,77 @@ ORDER BY d.doc_id LIMIT {catalog.BATCH_SIZE}""",
     "conversation_terms": _term_info_sql("conversations"),
     "benchmark_summary": _summary_sql("benchmark"),
 }
+
+
+def _term_info_from(subquery: str, where: str = "TRUE") -> str:
+    """term_info over a corpus subquery with columns (document, text)."""
+    return f"""WITH src AS {subquery},
+words AS (
+    SELECT document,
+           unnest(list_filter(regexp_extract_all(coalesce(text, ''), {_q(WORD_LANE_RE)}, 1),
+                              lambda x: x IS NOT NULL AND x <> '')) AS term
+    FROM src
+),
+ti AS (
+    SELECT document, term, lower(term) AS lower, count(*) AS occurence
+    FROM words GROUP BY document, term
+),
+dc AS (SELECT document, count(*) AS term_count FROM ti GROUP BY document)
+SELECT ti.document, term, lower, occurence, {RS("occurence / term_count")} AS frequency
+FROM ti JOIN dc ON dc.document = ti.document
+WHERE {where}"""
+
+
+def _lit(s: str) -> str:
+    """A SQL string literal; newlines become chr(10)."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+def _concat(*items: str) -> str:
+    return " || ".join(items)
+
+
+_ID = "CAST(doc_id AS VARCHAR)"
+_Q3 = "'" * 3
+
+MD_DOC = _concat(
+    _lit("---\ntitle: d"), _ID, _lit("\nlang: "), "lang", _lit("\n---\n# "), "source",
+    _lit("\n\n"), "text",
+    _lit("\n\n> **"), "lang", _lit("** [pautan](http://x.example/"), _ID,
+    _lit(' "t") and `kod` <b>html</b>\n\n- item *'), "source",
+    _lit('*\n\n![alt](i.png "tajuk")\n\n```\nfenced '), "lang", _lit('\n```\n\n[lab]: http://x "def"\n'),
+)
+WIKI_DOC = _concat(
+    _lit("== "), "source", _lit(" ==\n" + _Q3), "lang", _lit(_Q3 + " "), "text",
+    _lit(" [[Pautan|"), "lang", _lit("]] [[Fail:x.png|thumb|[[a]] cap]] {{cite|"), _ID,
+    _lit("}}<ref>r"), _ID, _lit("</ref>\n* item "), _ID,
+    _lit("\n<!-- c -->[http://x.example/"), _ID, _lit(" luar]\n"),
+)
+
+_MD_TEXT = (
+    "(SELECT doc_id AS document, "
+    + M.steps_sql("coalesce(" + MD_DOC + ", '')", M.MARKDOWN_STEPS)
+    + " AS text FROM documents)"
+)
+_PAGE_TEXT = (
+    "(SELECT page_id AS document, " + M.steps_sql("coalesce(html, '')", M.HTML_STEPS) + " AS text FROM pages)"
+)
+_FM = M._FRONT_MATTER_PARTS_RE
+
+ORACLE.update(
+    {
+        "markdown_text": f"SELECT * FROM {_MD_TEXT}",
+        "markdown_terms": _term_info_from(_MD_TEXT),
+        "front_matter": f"""WITH d AS (SELECT doc_id AS document, {MD_DOC} AS raw FROM documents)
+SELECT document,
+       CASE WHEN regexp_matches(raw, {_q(M.FRONT_MATTER_RE)}) THEN regexp_extract(raw, {_q(_FM)}, 1) END AS meta,
+       regexp_replace(raw, {_q(M.FRONT_MATTER_RE)}, '') AS body
+FROM d""",
+        "wikitext_clean": "SELECT doc_id AS document, "
+        + M.steps_sql("coalesce(" + WIKI_DOC + ", '')", M.WIKITEXT_STEPS)
+        + " AS text FROM documents",
+        "page_text": f"SELECT * FROM {_PAGE_TEXT}",
+        "page_terms": _term_info_from(_PAGE_TEXT),
+    }
+)
