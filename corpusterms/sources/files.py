@@ -18,7 +18,7 @@ def read_documents(spark: SparkSession, path: str, markdown: bool = True) -> Dat
     ``spark.sql.files.openCostInBytes`` / ``maxPartitionBytes`` so a task
     packs many files, or compact them to Parquet once.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return _as_corpus(raw, markdown)
 
 

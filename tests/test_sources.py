@@ -1,0 +1,91 @@
+"""Wiki XML dumps and document folders."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from corpusterms.operators import terms
+from corpusterms.sources import files, wiki
+
+DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/" version="0.11">
+  <siteinfo>
+    <sitename>Wikipedia</sitename>
+    <namespaces><namespace key="0" case="first-letter" /></namespaces>
+  </siteinfo>
+  <page>
+    <title>Saluang</title>
+    <ns>0</ns>
+    <id>10</id>
+    <revision>
+      <id>101</id>
+      <parentid>100</parentid>
+      <timestamp>2024-01-01T00:00:00Z</timestamp>
+      <contributor><username>Ali</username><id>7</id></contributor>
+      <comment>[[Muzik|betul]] ejaan</comment>
+      <model>wikitext</model>
+      <format>text/x-wiki</format>
+      <text bytes="60" xml:space="preserve">== Asal ==
+   '''Saluang''' ialah alat [[muzik]].
+
+{{Infobox|x=1}}Dari Sumatra.</text>
+      <sha1>abc</sha1>
+    </revision>
+  </page>
+  <page>
+    <title>Kosong</title>
+    <ns>0</ns>
+    <id>11</id>
+    <redirect title="Saluang" />
+    <revision>
+      <id>102</id>
+      <timestamp>2024-01-02T00:00:00Z</timestamp>
+      <contributor><username>Abu</username></contributor>
+      <model>wikitext</model>
+      <format>text/x-wiki</format>
+      <text bytes="0" />
+      <sha1>def</sha1>
+    </revision>
+  </page>
+</mediawiki>
+"""
+
+
+def test_wiki_dump_to_documents(spark, tmp_path):
+    p = tmp_path / "dump.xml"
+    p.write_text(DUMP, encoding="utf-8")
+    pages = wiki.read_wiki_pages(spark, str(p))
+    assert pages.count() == 2
+    docs = {r.document: r for r in wiki.page_documents(pages).collect()}
+    assert set(docs) == {"101.wiki", "102.wiki"}
+    d = docs["101.wiki"]
+    assert d.text.startswith("== Asal ==\n'''Saluang'''")
+    assert "\n\n" not in d.text
+    assert d.meta.title == "Saluang" and d.meta.revision[0].id == "101"
+    assert "text" not in d.meta.revision[0].asDict()
+    assert d.rendered.startswith("---\n{") and d.rendered.endswith(d.text)
+    assert docs["102.wiki"].text == ""
+
+    clean = {r.document: r for r in wiki.clean_documents(wiki.page_documents(pages)).collect()}
+    t = clean["101.wiki.md"].text
+    assert "## Asal" in t and "Saluang ialah alat muzik" in t and "Infobox" not in t
+    assert clean["101.wiki.md"].meta.revision[0].comment == "betul ejaan"
+
+    done = spark.createDataFrame([("101.wiki.md",)], "document string")
+    rest = wiki.clean_documents(wiki.page_documents(pages), existing=done)
+    assert [r.document for r in rest.collect()] == ["102.wiki.md"]
+
+    ti = terms.term_info(wiki.wiki_corpus(spark, str(p)))
+    assert {r.lower for r in ti.collect()} >= {"saluang", "asal", "muzik", "sumatra"}
+
+
+def test_read_documents_folder(spark, tmp_path):
+    d = tmp_path / "docs"
+    d.mkdir()
+    (d / "a.md").write_text("---\ntitle: A\n---\n# Tajuk\n\nSaluang **saluang**.", encoding="utf-8")
+    (d / "b.md").write_text("Alat muzik", encoding="utf-8")
+    c = files.read_documents(spark, str(d))
+    got = {r.document: r.text for r in c.collect()}
+    assert set(got) == {"a.md", "b.md"}
+    assert "title" not in got["a.md"] and "Tajuk" in got["a.md"]
+    ti = sorted((r.document, r.term, r.occurence) for r in terms.term_info(c).collect())
+    assert ti == [("a.md", "Saluang", 1), ("a.md", "Tajuk", 1), ("a.md", "saluang", 1), ("b.md", "Alat", 1), ("b.md", "muzik", 1)]
