@@ -212,7 +212,7 @@ def wiki_document(doc_id, lang, source, text):
 
 
 def _dressed(spark, base, dress):
-    d = tables.table(spark, base, "documents")
+    d = tables.spread(tables.table(spark, base, "documents"))
     return d.select(
         F.col("doc_id").alias("document"),
         dress(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("raw"),

@@ -18,8 +18,10 @@ def read_documents(spark: SparkSession, path: str, markdown: bool = True) -> Dat
     ``spark.sql.files.openCostInBytes`` / ``maxPartitionBytes`` so a task
     packs many files, or compact them to Parquet once.
     """
+    from .tables import spread
+
     raw = spark.read.text(path, wholetext=True)
-    return _as_corpus(raw, markdown)
+    return spread(_as_corpus(raw, markdown))
 
 
 def _as_corpus(raw: DataFrame, markdown: bool) -> DataFrame:

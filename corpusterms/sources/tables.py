@@ -17,23 +17,43 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give the per-document work at least one task per core.
+
+    Tokenizing and counting are CPU work done row by row, and a Parquet
+    file is split only at row-group boundaries, so a small corpus stored as
+    one row group would be processed by a single task.  Below the default
+    parallelism the rows are dealt round-robin to that many partitions (a
+    shuffle of the raw text only in that case); a large corpus already has
+    far more splits than cores and is left as it is.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def documents_corpus(spark: SparkSession, base: str) -> DataFrame:
     """``documents(doc_id, text, ...)`` with ``doc_id`` as the document key."""
-    return table(spark, base, "documents").select(F.col("doc_id").alias("document"), "text")
+    return spread(table(spark, base, "documents").select(F.col("doc_id").alias("document"), "text"))
 
 
 def conversations_corpus(spark: SparkSession, base: str) -> DataFrame:
     """``conversations``: one document per turn, keyed ``"<conv_id>/<turn>"``."""
-    return table(spark, base, "conversations").select(
-        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("document"),
-        "text",
+    return spread(
+        table(spark, base, "conversations").select(
+            F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("document"),
+            "text",
+        )
     )
 
 
 def benchmark_corpus(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "benchmark").select(F.col("item_id").alias("document"), "text")
+    return spread(table(spark, base, "benchmark").select(F.col("item_id").alias("document"), "text"))
 
 
 def pages_corpus(spark: SparkSession, base: str) -> DataFrame:
     """``pages(page_id, url, html)`` with the raw HTML as text."""
-    return table(spark, base, "pages").select(F.col("page_id").alias("document"), F.col("html").alias("text"))
+    return spread(
+        table(spark, base, "pages").select(F.col("page_id").alias("document"), F.col("html").alias("text"))
+    )
