@@ -29,7 +29,7 @@ from pyspark import StorageLevel
 
 from ..functions.scores import IDF_LOG10, IDF_SERIES, idf
 from ..functions.tokens import has_words
-from .terms import _as_term_stats, doc_info
+from .terms import _as_term_stats, candidates, doc_info
 
 
 # --- corpus totals -------------------------------------------------------------
@@ -138,13 +138,17 @@ def tf_idf_series(corpus_or_stats: DataFrame, idf_mode: str = IDF_SERIES) -> Dat
     return dft.withColumn("idf", idf(F.col("doctotal"), F.col("docfreq"), idf_mode))
 
 
-def tf_idf_summary(corpus_or_stats: DataFrame, idf_mode: str = IDF_SERIES) -> DataFrame:
+def tf_idf_summary(
+    corpus_or_stats: DataFrame, idf_mode: str = IDF_SERIES, with_stddev: bool = False
+) -> DataFrame:
     """Max / mean / min of tf*idf per lower-cased term, best first.
 
     The mean runs over term rows (cased variants count separately), as in
     the SQL recipe.  One aggregation, no join: idf is constant in a group,
     multiplication by it is monotone, so max(tf*idf) = idf*max(tf) when
-    idf >= 0 and idf*min(tf) otherwise.
+    idf >= 0 and idf*min(tf) otherwise.  ``with_stddev`` adds the sample
+    standard deviation over term rows (|idf| * stddev(tf)), the spread
+    measure the reference left as an open idea.
     """
     ts = _as_term_stats(corpus_or_stats)
     tf = F.col("occurence") / F.col("token_total").cast("double")
@@ -152,17 +156,19 @@ def tf_idf_summary(corpus_or_stats: DataFrame, idf_mode: str = IDF_SERIES) -> Da
         F.max(tf).alias("tf_max"),
         F.min(tf).alias("tf_min"),
         F.avg(tf).alias("tf_mean"),
+        F.stddev_samp(tf).alias("tf_sd"),
         F.sum(F.col("lower_first").cast("long")).alias("docfreq"),
     )
     n = _n_terms(corpus_or_stats)
     w = idf(n, F.col("docfreq"), idf_mode)
-    scored = per_term.select("lower", w.alias("_idf"), "tf_max", "tf_min", "tf_mean")
+    scored = per_term.select("lower", w.alias("_idf"), "tf_max", "tf_min", "tf_mean", "tf_sd")
     i = F.col("_idf")
     hi = F.when(i >= 0, i * F.col("tf_max")).otherwise(i * F.col("tf_min"))
     lo = F.when(i >= 0, i * F.col("tf_min")).otherwise(i * F.col("tf_max"))
-    return scored.select(
-        hi.alias("maxtfidf"), (i * F.col("tf_mean")).alias("meantfidf"), lo.alias("mintfidf"), "lower"
-    ).orderBy(F.desc("maxtfidf"), "lower")
+    cols = [hi.alias("maxtfidf"), (i * F.col("tf_mean")).alias("meantfidf"), lo.alias("mintfidf"), F.col("lower")]
+    if with_stddev:
+        cols.append((F.abs(i) * F.col("tf_sd")).alias("sdtfidf"))
+    return scored.select(*cols).orderBy(F.desc("maxtfidf"), "lower")
 
 
 def top_terms(corpus_or_stats: DataFrame, k: int = 100, idf_mode: str = IDF_SERIES) -> DataFrame:
@@ -194,7 +200,7 @@ def word_idf(
     and ``kata`` counts twice).  An unknown word gets log10(N).
     """
     reg = _registry_for(corpus_or_stats, registry)
-    ts = _as_term_stats(corpus_or_stats)
+    ts = _as_term_stats(candidates(corpus_or_stats, word))
     w = F.lower(F.lit(word))
     postings = ts.where(F.col("lower") == w).agg(F.count(F.lit(1)).alias("postings"))
     n = _n_registry(reg)
@@ -215,7 +221,7 @@ def rank_word(
     in storage order, which Spark does not have).
     """
     reg = _registry_for(corpus_or_stats, registry)
-    ts = _as_term_stats(corpus_or_stats)
+    ts = _as_term_stats(candidates(corpus_or_stats, word))
     w = F.lower(F.lit(word))
     postings = ts.where(F.col("lower") == w).select(
         "document", "term", "lower", "occurence", "frequency"

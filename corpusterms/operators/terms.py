@@ -130,7 +130,19 @@ def term_postings(corpus_or_stats: DataFrame, word: str) -> DataFrame:
     On a stored Parquet ``term_info`` the equality reaches the scan as a
     pushed filter (and prunes row groups when files are sorted by lower).
     """
-    return term_info(corpus_or_stats).where(F.col("lower") == F.lower(F.lit(word)))
+    return term_info(candidates(corpus_or_stats, word)).where(F.col("lower") == F.lower(F.lit(word)))
+
+
+def candidates(corpus_or_stats: DataFrame, word: str) -> DataFrame:
+    """Only the documents that can hold ``word`` (corpora; tables pass through).
+
+    A word token is a substring of its text, so a document whose lower-cased
+    text does not contain the lower-cased word cannot post it: an exact
+    pre-filter that spares tokenizing the rest.
+    """
+    if "text" not in corpus_or_stats.columns:
+        return corpus_or_stats
+    return corpus_or_stats.where(F.lower(F.col("text")).contains(word.lower()))
 
 
 # --- helpers -----------------------------------------------------------------

@@ -129,3 +129,22 @@ def test_enrich_plain_term_info(corpus):
     assert [x[3] for x in a] == [x[3] for x in b]
     for x, y in zip(a, b):
         assert all(math.isclose(u, v, rel_tol=1e-12) for u, v in zip(x[:3], y[:3]))
+
+
+def test_summary_stddev(corpus):
+    import statistics
+
+    c = corpus(D1, D2, ("d3", "saluang alat alat The the THE"), ("d4", "the end"))
+    s = {r.lower: r for r in scoring.tf_idf_summary(c, idf_mode="ratio", with_stddev=True).collect()}
+    ti = scoring.tf_idf(c).collect()
+    vals = [r.tf * r.power_of_idf for r in ti if r.lower == "the"]
+    assert math.isclose(s["the"].sdtfidf, statistics.stdev(vals), rel_tol=1e-9)
+    assert s["end"].sdtfidf is None  # one row: no sample deviation
+
+
+def test_word_prefilter_is_exact(corpus):
+    c = corpus(D1, D2, ("d3", "Kata-kata SALUANG"), ("d4", "tiada"))
+    got = sorted((r.document, r.term) for r in terms.term_postings(c, "saluang").collect())
+    assert got == [("d1", "Saluang"), ("d1", "saluang"), ("d3", "SALUANG")]
+    r = scoring.word_idf(c, "saluang").first()
+    assert (r.documents, r.postings) == (4, 3)
