@@ -159,8 +159,11 @@ def tf_idf_summary(
         F.stddev_samp(tf).alias("tf_sd"),
         F.sum(F.col("lower_first").cast("long")).alias("docfreq"),
     )
-    n = _n_terms(corpus_or_stats)
-    w = idf(n, F.col("docfreq"), idf_mode)
+    # N as its own column: the IDF formula reads it many times, and a
+    # non-trivial column referenced repeatedly stays one projection (one
+    # subquery) instead of being inlined into every use.
+    per_term = per_term.select("*", _n_terms(corpus_or_stats).alias("_n"))
+    w = idf(F.col("_n"), F.col("docfreq"), idf_mode)
     scored = per_term.select("lower", w.alias("_idf"), "tf_max", "tf_min", "tf_mean", "tf_sd")
     i = F.col("_idf")
     hi = F.when(i >= 0, i * F.col("tf_max")).otherwise(i * F.col("tf_min"))

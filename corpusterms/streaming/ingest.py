@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -107,14 +108,23 @@ def ingest_batch(
     # One regex pass per document, reused by every table of the batch.
     lanes = new.select("document", word_lane(F.col("text")).alias("lane")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if lanes.isEmpty():  # nothing new: leave every table as it is
+            return batch_id
         bid = F.lit(batch_id).cast("int").alias("batch_id")
         words = lanes.select("document", F.array_remove("lane", "").alias("words"))
         ts = term_stats(doc_terms_from_words(words))
-        # Sorted by lower inside each file: row-group statistics then prune
-        # word look-ups (``lower = ?``) on the stored table.
-        _write(ts.select(*TERM_STATS.fieldNames(), bid).sortWithinPartitions("lower"), store, "term_info")
-        _write(ngram_counts(lanes, 2).select("*", bid), store, "ngram_two")
-        _write(ngram_counts(lanes, 3).select("*", bid), store, "ngram_three")
+        outputs = {
+            # Sorted by lower inside each file: row-group statistics then
+            # prune word look-ups (``lower = ?``) on the stored table.
+            "term_info": ts.select(*TERM_STATS.fieldNames(), bid).sortWithinPartitions("lower"),
+            "ngram_two": ngram_counts(lanes, 2).select("*", bid),
+            "ngram_three": ngram_counts(lanes, 3).select("*", bid),
+        }
+        # Independent tables: submitted as concurrent jobs, so the tail of
+        # one job overlaps the others on the cluster.
+        with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
+            for f in [pool.submit(_write, df, store, name) for name, df in outputs.items()]:
+                f.result()
         doc_info = words.select(
             "document", F.size(F.array_distinct("words")).cast("long").alias("term_count"), bid
         )
