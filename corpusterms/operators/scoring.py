@@ -241,3 +241,13 @@ def rank_word(
         (F.coalesce(F.col("frequency"), F.lit(0.0)) * i).alias("tfidf"),
     )
     return out.orderBy(F.desc("tfidf"), "document", "term").limit(k)
+
+
+def stored_frequency(corpus_or_stats: DataFrame) -> DataFrame:
+    """The frequency the term table stores: occurence / distinct cased terms.
+
+    (document, term, lower, frequency), per row; the per-document term count
+    is known inside the document's row, so no join to ``doc_info`` is needed.
+    """
+    ts = _as_term_stats(corpus_or_stats)
+    return ts.select("document", "term", "lower", "frequency")

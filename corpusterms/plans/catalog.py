@@ -258,3 +258,14 @@ QUERIES.update(
         "page_terms": q_page_terms,
     }
 )
+
+
+def q_term_tokens(spark, base):
+    return tokens.term_tokens(_docs(spark, base))
+
+
+def q_stored_frequency(spark, base):
+    return _r(scoring.stored_frequency(_docs(spark, base)), "frequency")
+
+
+QUERIES.update({"term_tokens": q_term_tokens, "stored_frequency": q_stored_frequency})

@@ -302,3 +302,12 @@ FROM d""",
         "page_terms": _term_info_from(_PAGE_TEXT),
     }
 )
+
+ORACLE.update(
+    {
+        "term_tokens": f"SELECT * FROM ({_TOKENS_SQL}) WHERE kind = 'text'",
+        "stored_frequency": f"""WITH {_terms_ctes()}
+SELECT ti.document, ti.term, ti.lower, {RS("ti.occurence / CAST(doc_info.term_count AS DOUBLE)")} AS frequency
+FROM ti JOIN dc AS doc_info ON doc_info.document = ti.document""",
+    }
+)

@@ -27,10 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
     shuffle of the raw text only in that case); a large corpus already has
     far more splits than cores and is left as it is.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the plan alone
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def documents_corpus(spark: SparkSession, base: str) -> DataFrame:

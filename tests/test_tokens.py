@@ -97,3 +97,25 @@ def test_tokens_operator_positions(spark, corpus):
     df = T.tokens(corpus(("d", "Saluang, alat. x")))
     rows = [(r.pos, r.token, r.kind) for r in df.orderBy("pos").collect()]
     assert rows == [(0, "Saluang", "text"), (1, ",", "punct"), (2, "alat", "text"), (3, ".", "punct"), (4, "x", "text")]
+
+
+def test_has_words_is_exact(spark):
+    from corpusterms.functions.tokens import has_words
+
+    rng = random.Random(11)
+    alphabet = list("aZ9-{|}é ​.,#\n")
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += ["{| a b", "x {| a", "{|", "", "é", "{| é a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = df.select("id", has_words(F.col("text")).alias("h"), (F.size(word_array(F.col("text"))) > 0).alias("w"))
+    bad = [(texts[r.id], r.h, r.w) for r in got.collect() if r.h != r.w]
+    assert not bad
+
+
+def test_spread_gives_each_core_a_task(spark):
+    from corpusterms.sources.tables import spread
+
+    one = spark.createDataFrame([(i, "x") for i in range(40)], "document int, text string").coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = one.repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
