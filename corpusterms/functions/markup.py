@@ -42,7 +42,15 @@ MARKDOWN_STEPS: list[Step] = [
     (r"!\[[^\]]*\]\[[^\]]*\]", " "),
     # inline links: the link text is kept
     (r'\[([^\]]*)\]\([^() \t\r\n]*(?:[ \t]+"[^"]*")?\)', " {1} "),
+    # reference links: the link text is kept
+    (r"\[([^\]]*)\]\[[^\]]*\]", " {1} "),
     (r"`[^`]+`", " "),
+    # autolinks: the address is the link text
+    (r"<((?:https?|ftp|mailto):[^<> \t\r\n]*)>", " {1} "),
+    # raw HTML blocks whose content is not text
+    (r"(?is)<script\b[^>]*>.*?</script[^>]*>", " "),
+    (r"(?is)<style\b[^>]*>.*?</style[^>]*>", " "),
+    (r"(?is)<pre\b[^>]*>.*?</pre[^>]*>", " "),
     (r"</?[A-Za-z][^<>]*>", " "),
     (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""),
     (r"(?m)^ {0,3}(?:=+|-+)[ \t]*$", ""),

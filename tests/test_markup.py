@@ -23,6 +23,10 @@ MD = [
     ("Tajuk\n=====\n\n***\n", "Tajuk"),
     ("AT&amp;T &lt;x&gt;", "AT&T <x>"),
     ("<!-- komen --> teks", "teks"),
+    ("lihat [teks][r] lagi", "lihat teks lagi"),
+    ("di <https://a.b/c> sana", "di https://a.b/c sana"),
+    ("a\n<script>var x = 1;</script>\nb", "a b"),
+    ("a <pre>kod\nblok</pre> b", "a b"),
 ]
 
 
