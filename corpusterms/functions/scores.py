@@ -44,3 +44,8 @@ def round_sig(c: Column, digits: int = 9) -> Column:
     the last bits of a floating sum compare equal.
     """
     return F.format_string(f"%.{digits - 1}e", c).cast("double")
+
+
+def format_score(c: Column, places: int = 5) -> Column:
+    """A score as fixed-point text with ``places`` decimals (``0.12346``)."""
+    return F.format_string(f"%.{places}f", c)

@@ -251,3 +251,15 @@ def stored_frequency(corpus_or_stats: DataFrame) -> DataFrame:
     """
     ts = _as_term_stats(corpus_or_stats)
     return ts.select("document", "term", "lower", "frequency")
+
+
+def rank_report(ranked: DataFrame, places: int = 5) -> DataFrame:
+    """``rank_word`` output as printable lines, scores to ``places`` decimals."""
+    from ..functions.scores import format_score
+
+    return ranked.select(
+        F.concat(
+            F.lit("TFIDF is "), format_score(F.col("tfidf"), places),
+            F.lit(" for "), F.col("document").cast("string"), F.lit(" "), F.col("term"),
+        ).alias("line")
+    )

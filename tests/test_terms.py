@@ -148,3 +148,9 @@ def test_word_prefilter_is_exact(corpus):
     assert got == [("d1", "Saluang"), ("d1", "saluang"), ("d3", "SALUANG")]
     r = scoring.word_idf(c, "saluang").first()
     assert (r.documents, r.postings) == (4, 3)
+
+
+def test_rank_report_formats_scores(corpus):
+    c = corpus(D1, D2)
+    lines = [r.line for r in scoring.rank_report(scoring.rank_word(c, "alat")).collect()]
+    assert lines == ["TFIDF is 0.00000 for d1 alat"]  # idf = log10(2 / (1 + 1)) = 0
