@@ -82,12 +82,18 @@ def wikitext_steps(namespaces: list[str] | None = None) -> list[Step]:
         (r"(?s)<!--.*?-->", " "),
         (r"(?is)<ref[^>]*/>", " "),
         (r"(?is)<ref[^>]*>.*?</ref>", " "),
+        (r"(?is)<gallery[^>]*>.*?</gallery>", " "),
+        (r"(?is)<math[^>]*>.*?</math>", " "),
+        # behaviour switches such as __NOTOC__
+        (r"__[A-Z]+__", " "),
     ]
     # templates, innermost first, nested up to 5 deep
     steps += [(r"\{\{[^{}]*\}\}", " ")] * 5
     steps += [(r"(?s)\{\|[^{}]*\|\}", " ")] * 2
     steps += [
         (r"(?i)\[\[(?:" + ns + r"):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", " "),
+        # interlanguage links ([[en:Page]])
+        (r"\[\[[a-z]{2,3}(?:-[a-z]{2,8})?:[^\[\]]*\]\]", " "),
         (r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]", "{1}"),
         (r"\[\[([^\[\]|]*)\]\]", "{1}"),
         (r"\[(?:https?:)?//[^ \t\r\n\]]+[ \t]+([^\]]*)\]", "{1}"),

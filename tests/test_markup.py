@@ -56,6 +56,9 @@ WIKI = [
     ("[http://x.y luar] dan [http://z.w]", "luar dan"),
     ("* satu\n# dua", "- satu\n- dua"),
     ('{| class="wikitable"\n|-\n| a\n|}\nlepas', "lepas"),
+    ("__NOTOC__ teks <math>x^2</math> akhir", "teks akhir"),
+    ("a <gallery>\nFail:x.jpg|kapsyen\n</gallery> b", "a b"),
+    ("teks [[en:Saluang]] [[ms-arab:x]]", "teks"),
 ]
 
 
