@@ -8,11 +8,15 @@ elements are dropped by the schema.  Nothing is read into the driver.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions.markup import squeeze_lines, wikitext_clean
-from ..schemas import WIKI_PAGE
+from ..schemas import REVISION, WIKI_PAGE
+
+_REVISION_NO_TEXT = StructType([f for f in REVISION.fields if f.name != "text"])
 
 
 def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -92,3 +96,44 @@ def clean_documents(docs: DataFrame, existing: DataFrame | None = None) -> DataF
 def wiki_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Dump to a corpus ``(document, text)`` of cleaned markdown."""
     return clean_documents(page_documents(read_wiki_pages(spark, path))).select("document", "text")
+
+
+def read_wiki_files(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of ``.wiki`` files (front matter + wikitext) as documents.
+
+    Columns: document (file name), meta (the page struct parsed from JSON
+    front matter, as ``page_documents`` renders it; NULL when the front
+    matter is not JSON), text (the wikitext body).
+    """
+    from ..functions.markup import split_front_matter
+    from .tables import spread
+
+    raw = spark.read.text(path, wholetext=True)
+    meta_schema = StructType(
+        [f for f in WIKI_PAGE.fields if f.name != "revision"]
+        + [StructField("revision", ArrayType(_REVISION_NO_TEXT), True)]
+    )
+    fm = split_front_matter(F.col("value"))
+    docs = raw.select(F.col("_metadata.file_name").alias("document"), fm.alias("fm"))
+    return spread(
+        docs.select(
+            "document",
+            F.from_json(F.col("fm.meta"), meta_schema).alias("meta"),
+            F.col("fm.body").alias("text"),
+        )
+    )
+
+
+def clean_wiki_files(spark: SparkSession, path: str, done_path: str | None = None) -> DataFrame:
+    """``.wiki`` files to cleaned ``<name>.md`` documents, skipping done ones.
+
+    ``done_path`` is a Parquet table of earlier outputs (column
+    ``document``); outputs already there are left out (left anti join).
+    """
+    existing = None
+    if done_path is not None:
+        try:
+            existing = spark.read.parquet(done_path).select("document")
+        except AnalysisException:  # no outputs yet
+            existing = None
+    return clean_documents(read_wiki_files(spark, path), existing)

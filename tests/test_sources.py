@@ -89,3 +89,22 @@ def test_read_documents_folder(spark, tmp_path):
     assert "title" not in got["a.md"] and "Tajuk" in got["a.md"]
     ti = sorted((r.document, r.term, r.occurence) for r in terms.term_info(c).collect())
     assert ti == [("a.md", "Saluang", 1), ("a.md", "Tajuk", 1), ("a.md", "saluang", 1), ("b.md", "Alat", 1), ("b.md", "muzik", 1)]
+
+
+def test_wiki_files_round_trip(spark, tmp_path):
+    p = tmp_path / "dump.xml"
+    p.write_text(DUMP, encoding="utf-8")
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for r in wiki.page_documents(wiki.read_wiki_pages(spark, str(p))).collect():
+        (raw / r.document).write_text(r.rendered, encoding="utf-8")
+    docs = {r.document: r for r in wiki.read_wiki_files(spark, str(raw)).collect()}
+    assert set(docs) == {"101.wiki", "102.wiki"}
+    assert docs["101.wiki"].meta.title == "Saluang"
+    assert docs["101.wiki"].text.startswith("== Asal ==")
+    out = tmp_path / "md"
+    wiki.clean_wiki_files(spark, str(raw)).where("document = '101.wiki.md'").write.parquet(str(out))
+    rest = [r.document for r in wiki.clean_wiki_files(spark, str(raw), done_path=str(out)).collect()]
+    assert rest == ["102.wiki.md"]
+    md = spark.read.parquet(str(out)).first()
+    assert "## Asal" in md.text and md.meta.revision[0].comment == "betul ejaan"
