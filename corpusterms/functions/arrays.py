@@ -23,16 +23,21 @@ def int_range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def sorted_runs(df: DataFrame, src: str, keep: list[str]) -> DataFrame:
+def sorted_runs(df: DataFrame, src: str, keep: list[str], key=None) -> DataFrame:
     """Sort array ``src`` and find its runs of equal elements.
 
     Adds ``_s`` (the sorted array), ``_e`` (0-based index of the last
-    element of each run, ascending) and ``_n`` (array size).
+    element of each run, ascending) and ``_n`` (array size).  ``key`` maps
+    an element to the part that decides equality (default: the element),
+    for struct elements whose first fields are functions of a later one.
     """
+    key = key or (lambda e: e)
     s = F.col("_s")
     n = F.size(s)
     staged = df.select(*keep, F.sort_array(F.col(src)).alias("_s"))
-    ends = F.filter(int_range(n), lambda i: (i == n - 1) | (F.get(s, i) != F.get(s, i + 1)))
+    ends = F.filter(
+        int_range(n), lambda i: (i == n - 1) | (key(F.get(s, i)) != key(F.get(s, i + 1)))
+    )
     return staged.select(*keep, s, n.alias("_n"), ends.alias("_e"))
 
 

@@ -32,11 +32,17 @@ def doc_terms(corpus: DataFrame) -> DataFrame:
 
 def doc_terms_from_words(words: DataFrame) -> DataFrame:
     """``doc_terms`` from (document, words array<string>) in text order."""
+    # (lower, term) pairs without a per-element lambda: words hold no spaces,
+    # so lower-casing the space-joined words and splitting again lines up.
+    n = F.size("words")
+    lowers = F.when(n > 0, F.split(F.lower(F.array_join("words", " ")), " ")).otherwise(
+        F.array().cast("array<string>")
+    )
     pairs = words.select(
-        "document",
-        F.transform("words", lambda x: F.struct(F.lower(x).alias("lower"), x.alias("term"))).alias("w"),
+        "document", F.arrays_zip(lowers.alias("lower"), F.col("words").alias("term")).alias("w")
     )
-    runs = sorted_runs(pairs, "w", ["document"])
+    # Sorted by (lower, term); the term alone decides equality.
+    runs = sorted_runs(pairs, "w", ["document"], key=lambda e: e["term"])
 
     def build(v, count, prev):
         return F.struct(
