@@ -12,12 +12,12 @@ nothing collected), warm (after one untimed warm-up run), median of
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import statistics
 import sys
-import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -43,13 +43,19 @@ def main() -> None:
     def docs():
         return tables.documents_corpus(spark, base)
 
-    scratch = tempfile.mkdtemp(prefix="bench-", dir=os.environ.get("BENCH_SCRATCH", "/tmp"))
+    # Scratch tables go under the shared checkpoint folder of the session
+    # (a local scratch folder is made only when none is configured).
+    from corpusterms.session import checkpoint_dir
+
+    scratch = os.path.join(checkpoint_dir(spark), f"bench-{os.getpid()}-{int(time.time())}")
     stored = os.path.join(scratch, "term_info")
     # A stored enriched term table, for the queries that read Parquet.
     terms.term_stats(docs()).write.mode("overwrite").parquet(stored)
 
+    stores = itertools.count()
+
     def ingest_all():
-        store = tempfile.mkdtemp(prefix="store-", dir=scratch)
+        store = os.path.join(scratch, f"store-{next(stores)}")
         ingest.ingest_batch(spark, docs(), store, batch_id=0)
         return store
 
