@@ -74,3 +74,13 @@ def ngram_counts(corpus: DataFrame, n: int = 2) -> DataFrame:
         *_lowers(F.col("value"), n),
         F.col("count").cast("long").alias("occurence"),
     )
+
+
+def count_rows(bag: DataFrame) -> DataFrame:
+    """Group an n-gram bag (e.g. a stored ``ngram_two``) into counts.
+
+    One ``groupBy`` with partial aggregation; rows of one document written
+    by one task collapse before the exchange.
+    """
+    keys = [c for c in bag.columns if c == "document" or c == "term" or c.startswith("lower")]
+    return bag.groupBy(*keys).agg(F.sum("occurence").cast("long").alias("occurence"))

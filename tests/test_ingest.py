@@ -60,8 +60,12 @@ def test_ngram_tables(spark, corpus, tmp_path):
     store = str(tmp_path / "s")
     ingest.ingest_batch(spark, c, store)
     _, _, ng = snapshot(spark, store)
-    want = sorted(tuple(r) for r in ngrams.ngram_counts(c, 2).select("document", "term", "occurence").collect())
+    want = sorted(tuple(r) for r in ngrams.ngram_rows(c, 2).select("document", "term", "occurence").collect())
     assert ng == want
+    stored = ingest.stored_tables(spark, store)["ngram_three"]
+    got = sorted(tuple(r) for r in ngrams.count_rows(stored).select("document", "term", "occurence").collect())
+    want = sorted(tuple(r) for r in ngrams.ngram_counts(c, 3).select("document", "term", "occurence").collect())
+    assert got == want
 
 
 def test_stream_ingest(spark, tmp_path):
