@@ -119,3 +119,32 @@ def test_spread_gives_each_core_a_task(spark):
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = one.repartition(spark.sparkContext.defaultParallelism * 2)
     assert spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
+
+
+WHITE = set("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+
+
+def _strip_ws(s):
+    return "".join(ch for ch in s if ch not in WHITE)
+
+
+def test_properties_hypothesis(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from corpusterms.operators import terms
+
+    alphabet = st.sampled_from(list("aB7-{|}., é_\n\t\xa0​’–xyz"))
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.text(alphabet=alphabet, max_size=30), min_size=1, max_size=40))
+    def check(texts):
+        df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "document string, text string")
+        toks = {r.document: r.t for r in df.select("document", token_array(F.col("text")).alias("t")).collect()}
+        occ = {r.document: r.s for r in terms.term_info(df).groupBy("document").agg(F.sum("occurence").alias("s")).collect()}
+        for i, t in enumerate(texts):
+            d = str(i)
+            assert _strip_ws("".join(toks[d])) == _strip_ws(t)
+            assert occ.get(d, 0) == sum(1 for x in toks[d] if x[0] in ALNUM)
+
+    check()
