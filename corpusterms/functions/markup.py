@@ -58,6 +58,8 @@ MARKDOWN_STEPS: list[Step] = [
     (r"(?m)^[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+", ""),
     (r"(?m)^ {0,3}#{1,6}[ \t]+", ""),
     (r"\*{1,3}|_{2,3}", " "),
+    # single-underscore emphasis, only at word edges (snake_case stays)
+    (r"(^|[^A-Za-z0-9_])_([^_ \t\n](?:[^_\n]*[^_ \t\n])?)_($|[^A-Za-z0-9_])", "{1} {2} {3}"),
 ] + list(ENTITIES)
 
 # --- HTML pages --------------------------------------------------------------

@@ -27,6 +27,8 @@ MD = [
     ("di <https://a.b/c> sana", "di https://a.b/c sana"),
     ("a\n<script>var x = 1;</script>\nb", "a b"),
     ("a <pre>kod\nblok</pre> b", "a b"),
+    ("satu _dua tiga_ empat", "satu dua tiga empat"),
+    ("nama_fail kekal", "nama_fail kekal"),
 ]
 
 
