@@ -1 +1 @@
-"""functions."""
+"""Column expressions: token grammar, in-row counting, markup chains, IDF."""

@@ -1 +1 @@
-"""operators."""
+"""DataFrame operators over corpora and term tables."""

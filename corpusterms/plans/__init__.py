@@ -1 +1 @@
-"""plans."""
+"""Registered queries (catalog) and their SQL twins (oracle)."""

@@ -1 +1 @@
-"""sources."""
+"""Corpora from Parquet tables, wiki XML dumps and document folders."""

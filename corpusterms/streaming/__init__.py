@@ -1 +1 @@
-"""streaming."""
+"""Incremental ingest, batch and Structured Streaming."""
