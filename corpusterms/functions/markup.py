@@ -29,6 +29,14 @@ _FRONT_MATTER_PARTS_RE = r"\A(?:---|\+\+\+)[ \t]*\n(?:((?s:.*?))\n)?(?:---|\+\+\
 # Named character references decoded in text (fixed values, HTML names):
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
+# Block-level HTML tags that open a raw HTML block (fixed values, a subset
+# of the CommonMark list):
+HTML_BLOCK_TAGS = [
+    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure",
+    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav",
+    "ol", "p", "section", "table", "ul",
+]
+
 MARKDOWN_STEPS: list[Step] = [
     (r"\r\n?", "\n"),
     (FRONT_MATTER_RE, ""),
@@ -51,6 +59,9 @@ MARKDOWN_STEPS: list[Step] = [
     (r"(?is)<script\b[^>]*>.*?</script[^>]*>", " "),
     (r"(?is)<style\b[^>]*>.*?</style[^>]*>", " "),
     (r"(?is)<pre\b[^>]*>.*?</pre[^>]*>", " "),
+    # HTML blocks: a line opening with a block-level tag starts a raw block
+    # that runs to the next blank line, content included
+    (r"(?im)^ {0,3}</?(?:" + "|".join(HTML_BLOCK_TAGS) + r")(?:[ \t/>]|$)(?s:.*?)(?:\n[ \t]*\n|\z)", "\n"),
     (r"</?[A-Za-z][^<>]*>", " "),
     (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""),
     (r"(?m)^ {0,3}(?:=+|-+)[ \t]*$", ""),

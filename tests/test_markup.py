@@ -29,6 +29,8 @@ MD = [
     ("a <pre>kod\nblok</pre> b", "a b"),
     ("satu _dua tiga_ empat", "satu dua tiga empat"),
     ("nama_fail kekal", "nama_fail kekal"),
+    ("<div class='x'>\nteks dalam\n</div>\n\nluar", "luar"),
+    ("para <div>x</div> akhir", "para x akhir"),
 ]
 
 
