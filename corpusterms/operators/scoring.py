@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from ..functions.scores import IDF_LOG10, IDF_SERIES, idf
-from ..functions.tokens import has_words
+from ..functions.tokens import has_words, word_array
 from .terms import _as_term_stats, candidates, doc_info
 
 
@@ -75,6 +75,9 @@ def corpus_counts(corpus_or_stats: DataFrame) -> DataFrame:
 
 def doc_tokens(corpus_or_stats: DataFrame) -> DataFrame:
     """Word-token total per document that has terms: (document, token_total)."""
+    if "text" in corpus_or_stats.columns:
+        n = F.size(word_array(F.col("text"))).cast("long")
+        return corpus_or_stats.select("document", n.alias("token_total")).where(F.col("token_total") > 0)
     ts = _as_term_stats(corpus_or_stats)
     return ts.where("doc_first").select("document", "token_total")
 

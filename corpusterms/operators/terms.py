@@ -108,6 +108,12 @@ def doc_info(corpus_or_doc_terms: DataFrame) -> DataFrame:
     ``term_count`` is the number of distinct cased terms; documents without
     any word token are kept with 0.  Narrow: no join, no shuffle.
     """
+    if "text" in corpus_or_doc_terms.columns:
+        # Only the number of distinct words is needed: no sort, no explode.
+        words = word_array(F.col("text"))
+        return corpus_or_doc_terms.select(
+            "document", F.size(F.array_distinct(words)).cast("long").alias("term_count")
+        )
     dt = _as_doc_terms(corpus_or_doc_terms)
     return dt.select("document", "term_count")
 
