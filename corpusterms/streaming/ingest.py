@@ -5,6 +5,7 @@ Store layout (Parquet, one folder per table, partitioned by ``batch_id``)::
     <store>/term_info/batch_id=<n>/   enriched term rows (terms.term_stats)
     <store>/ngram_two/batch_id=<n>/   bigram occurrences (the bag, as built)
     <store>/ngram_three/batch_id=<n>/ trigram occurrences
+    <store>/term_doc_delta/batch_id=<n>/  term_doc_info counts of the batch
     <store>/doc_info/batch_id=<n>/    the registry; written last
 
 A batch anti-joins the registry, computes every table from one regex pass
@@ -128,6 +129,11 @@ def ingest_batch(
         with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
             for f in [pool.submit(_write, df, store, name) for name, df in outputs.items()]:
                 f.result()
+        # term_doc_info delta of this batch, from the partition just written
+        # (a scan of one column), so the table is maintained incrementally.
+        written = spark.read.parquet(table_path(store, "term_info")).where(F.col("batch_id") == batch_id)
+        delta = written.groupBy(F.col("lower").alias("term")).agg(F.count(F.lit(1)).alias("doc_count"))
+        _write(delta.select("*", bid), store, "term_doc_delta")
         doc_info = words.select(
             "document", F.size(F.array_distinct("words")).cast("long").alias("term_count"), bid
         )
@@ -186,6 +192,24 @@ def term_doc_info_stream(spark: SparkSession, store: str) -> DataFrame:
     return rows.groupBy(F.col("lower").alias("term")).agg(F.count(F.lit(1)).alias("doc_count"))
 
 
+def stored_term_doc_info(spark: SparkSession, store: str) -> DataFrame | None:
+    """``term_doc_info`` of the whole store: the per-batch deltas summed.
+
+    Only batches present in the registry count, so a batch that crashed
+    before its registry write is left out until it is replayed.
+    """
+    delta = read_table(spark, store, "term_doc_delta")
+    reg = read_table(spark, store, "doc_info")
+    if delta is None or reg is None:
+        return None
+    done = reg.select("batch_id").distinct()
+    return (
+        delta.join(done, "batch_id", "left_semi")
+        .groupBy("term")
+        .agg(F.sum("doc_count").cast("long").alias("doc_count"))
+    )
+
+
 def stored_tables(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     """The store's tables as DataFrames (without ``batch_id``)."""
     out = {}

@@ -93,3 +93,15 @@ def test_stream_ingest(spark, tmp_path):
     sq.awaitTermination(300)
     got = {r.term: r.doc_count for r in spark.sql("SELECT * FROM tdi_test").collect()}
     assert got["saluang"] == 3  # a.md: Saluang + saluang; f.md: Saluang
+
+
+def test_term_doc_info_maintained_per_batch(spark, corpus, tmp_path):
+    c = corpus(*DOCS)
+    store = str(tmp_path / "s")
+    ingest.ingest_batch(spark, c, store, size=2)
+    ingest.ingest_batch(spark, c, store, size=2)
+    ingest.ingest_batch(spark, c, store, size=2, batch_id=1)  # replay
+    ingest.ingest_batch(spark, c, store)
+    got = sorted(tuple(r) for r in ingest.stored_term_doc_info(spark, store).collect())
+    want = sorted(tuple(r) for r in terms.term_doc_info(c).collect())
+    assert got == want
