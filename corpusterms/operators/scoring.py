@@ -142,7 +142,13 @@ def tf_idf_series(corpus_or_stats: DataFrame, idf_mode: str = IDF_SERIES) -> Dat
 
 
 def tf_idf_summary(
-    corpus_or_stats: DataFrame, idf_mode: str = IDF_SERIES, with_stddev: bool = False
+    corpus_or_stats: DataFrame,
+    idf_mode: str = IDF_SERIES,
+    with_stddev: bool = False,
+    tf_mode: str = "tokens",
+    df_mode: str = "documents",
+    n_mode: str = "terms",
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Max / mean / min of tf*idf per lower-cased term, best first.
 
@@ -152,20 +158,44 @@ def tf_idf_summary(
     idf >= 0 and idf*min(tf) otherwise.  ``with_stddev`` adds the sample
     standard deviation over term rows (|idf| * stddev(tf)), the spread
     measure the reference left as an open idea.
+
+    Modes (defaults are the SQL recipe's): ``tf_mode`` "tokens" (occurence /
+    word tokens of the document) or "vocab" (the stored frequency,
+    occurence / distinct cased terms); ``df_mode`` "documents" (distinct
+    documents) or "rows" (cased term rows, as the trigger counted);
+    ``n_mode`` "terms" (documents with terms) or "registry" (all registered
+    documents; pass ``registry`` unless a corpus is given).
     """
     ts = _as_term_stats(corpus_or_stats)
-    tf = F.col("occurence") / F.col("token_total").cast("double")
+    if tf_mode == "tokens":
+        tf = F.col("occurence") / F.col("token_total").cast("double")
+    elif tf_mode == "vocab":
+        tf = F.col("frequency")
+    else:
+        raise ValueError("tf_mode must be 'tokens' or 'vocab'")
+    if df_mode == "documents":
+        df = F.sum(F.col("lower_first").cast("long"))
+    elif df_mode == "rows":
+        df = F.count(F.lit(1))
+    else:
+        raise ValueError("df_mode must be 'documents' or 'rows'")
+    if n_mode == "terms":
+        n = _n_terms(corpus_or_stats)
+    elif n_mode == "registry":
+        n = _n_registry(_registry_for(corpus_or_stats, registry))
+    else:
+        raise ValueError("n_mode must be 'terms' or 'registry'")
     per_term = ts.groupBy("lower").agg(
         F.max(tf).alias("tf_max"),
         F.min(tf).alias("tf_min"),
         F.avg(tf).alias("tf_mean"),
         F.stddev_samp(tf).alias("tf_sd"),
-        F.sum(F.col("lower_first").cast("long")).alias("docfreq"),
+        df.alias("docfreq"),
     )
     # N as its own column: the IDF formula reads it many times, and a
     # non-trivial column referenced repeatedly stays one projection (one
     # subquery) instead of being inlined into every use.
-    per_term = per_term.select("*", _n_terms(corpus_or_stats).alias("_n"))
+    per_term = per_term.select("*", n.alias("_n"))
     w = idf(F.col("_n"), F.col("docfreq"), idf_mode)
     scored = per_term.select("lower", w.alias("_idf"), "tf_max", "tf_min", "tf_mean", "tf_sd")
     i = F.col("_idf")

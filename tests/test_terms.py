@@ -154,3 +154,25 @@ def test_rank_report_formats_scores(corpus):
     c = corpus(D1, D2)
     lines = [r.line for r in scoring.rank_report(scoring.rank_word(c, "alat")).collect()]
     assert lines == ["TFIDF is 0.00000 for d1 alat"]  # idf = log10(2 / (1 + 1)) = 0
+
+
+def test_summary_modes(corpus):
+    """vocab TF, row-counted DF and registry N against a direct computation."""
+    c = corpus(D1, D2, ("d3", "saluang alat alat The the THE"), ("d4", "the end"))
+    s = {
+        r.lower: r
+        for r in scoring.tf_idf_summary(
+            c, idf_mode="log10", tf_mode="vocab", df_mode="rows", n_mode="registry"
+        ).collect()
+    }
+    ti = terms.term_info(c).collect()
+    n = 4  # registry: every document, d2 without terms included
+    rows_per = {}
+    for r in ti:
+        rows_per.setdefault(r.lower, []).append(r.frequency)
+    for lower, freqs in rows_per.items():
+        idf = math.log10(n / (1 + len(freqs)))
+        vals = [f * idf for f in freqs]
+        assert math.isclose(s[lower].maxtfidf, max(vals), rel_tol=1e-12, abs_tol=1e-15)
+        assert math.isclose(s[lower].mintfidf, min(vals), rel_tol=1e-12, abs_tol=1e-15)
+        assert math.isclose(s[lower].meantfidf, sum(vals) / len(vals), rel_tol=1e-9, abs_tol=1e-15)
