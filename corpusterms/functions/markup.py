@@ -37,9 +37,20 @@ HTML_BLOCK_TAGS = [
     "ol", "p", "section", "table", "ul",
 ]
 
+# Backslash escapes: an escaped markup character is literal text.  These are
+# parked on private-use code points during the chain and restored at the end
+# (fixed: each character with its placeholder).
+ESCAPED_MARKUP = [("*", "\ue000"), ("_", "\ue001"), ("#", "\ue002"), ("[", "\ue003"), ("]", "\ue004"), ("`", "\ue005")]
+_PROTECT: list[Step] = [("\\\\" + re.escape(ch), ph) for ch, ph in ESCAPED_MARKUP]
+_RESTORE: list[Step] = [
+    # any other escaped ASCII punctuation: drop the backslash
+    (r"\\([!-/:-@\[-`{-~])", "{1}"),
+] + [("\\x{%x}" % ord(ph), ch) for ch, ph in ESCAPED_MARKUP]
+
 MARKDOWN_STEPS: list[Step] = [
     (r"\r\n?", "\n"),
     (FRONT_MATTER_RE, ""),
+] + _PROTECT + [
     # fenced code blocks (``` or ~~~), content dropped
     (r"(?m)^ {0,3}(?:`{3,}[^\n`]*\n(?s:.*?)^ {0,3}`{3,}|~{3,}[^\n]*\n(?s:.*?)^ {0,3}~{3,})[ \t]*$", "\n"),
     (r"(?s)<!--.*?-->", " "),
@@ -71,7 +82,7 @@ MARKDOWN_STEPS: list[Step] = [
     (r"\*{1,3}|_{2,3}", " "),
     # single-underscore emphasis, only at word edges (snake_case stays)
     (r"(^|[^A-Za-z0-9_])_([^_ \t\n](?:[^_\n]*[^_ \t\n])?)_($|[^A-Za-z0-9_])", "{1} {2} {3}"),
-] + list(ENTITIES)
+] + list(ENTITIES) + _RESTORE
 
 # --- HTML pages --------------------------------------------------------------
 HTML_STEPS: list[Step] = [

@@ -31,6 +31,9 @@ MD = [
     ("nama_fail kekal", "nama_fail kekal"),
     ("<div class='x'>\nteks dalam\n</div>\n\nluar", "luar"),
     ("para <div>x</div> akhir", "para x akhir"),
+    ("a \\*b\\* c", "a *b* c"),
+    ("\\# bukan tajuk", "# bukan tajuk"),
+    ("x \\. y \\[a\\](b)", "x . y [a](b)"),
 ]
 
 
