@@ -185,11 +185,12 @@ def tf_idf_summary(
         n = _n_registry(_registry_for(corpus_or_stats, registry))
     else:
         raise ValueError("n_mode must be 'terms' or 'registry'")
+    sd = F.stddev_samp(tf) if with_stddev else F.lit(None).cast("double")
     per_term = ts.groupBy("lower").agg(
         F.max(tf).alias("tf_max"),
         F.min(tf).alias("tf_min"),
         F.avg(tf).alias("tf_mean"),
-        F.stddev_samp(tf).alias("tf_sd"),
+        sd.alias("tf_sd"),
         df.alias("docfreq"),
     )
     # N as its own column: the IDF formula reads it many times, and a
