@@ -108,3 +108,17 @@ def test_wiki_files_round_trip(spark, tmp_path):
     assert rest == ["102.wiki.md"]
     md = spark.read.parquet(str(out)).first()
     assert "## Asal" in md.text and md.meta.revision[0].comment == "betul ejaan"
+
+
+def test_write_documents_compacts_a_folder(spark, tmp_path):
+    d = tmp_path / "docs"
+    d.mkdir()
+    for i in range(5):
+        (d / f"{i}.md").write_text(f"# Tajuk {i}\n\nSaluang **{i}**", encoding="utf-8")
+    out = str(tmp_path / "compact")
+    files.write_documents(files.read_documents(spark, str(d)), out)
+    back = spark.read.parquet(out)
+    assert back.columns == ["document", "text"]
+    assert sorted(r.document for r in back.collect()) == [f"{i}.md" for i in range(5)]
+    ti = terms.term_info(back).where("document = '3.md'").collect()
+    assert sorted(r.term for r in ti) == ["3", "Saluang", "Tajuk"]
