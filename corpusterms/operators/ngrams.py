@@ -84,3 +84,29 @@ def count_rows(bag: DataFrame) -> DataFrame:
     """
     keys = [c for c in bag.columns if c == "document" or c == "term" or c.startswith("lower")]
     return bag.groupBy(*keys).agg(F.sum("occurence").cast("long").alias("occurence"))
+
+
+def ngram_rows_from_tokens(tokens_df: DataFrame, n: int = 2) -> DataFrame:
+    """The n-gram bag from a token table (document, pos, token, kind).
+
+    For token tables already stored (``operators.tokens.tokens``): ``lead``
+    over a window per document ordered by position, keeping windows whose
+    members are all word tokens.  It shuffles the token rows by document
+    (one document's tokens per window partition, spilled if large); from raw
+    text ``ngram_rows`` is cheaper, as it needs no shuffle.
+    """
+    from pyspark.sql import Window
+
+    if n not in (2, 3):
+        raise ValueError("n must be 2 or 3")
+    w = Window.partitionBy("document").orderBy("pos")
+    ahead = []
+    for k in range(1, n):
+        ahead += [F.lead("token", k).over(w).alias(f"t{k}"), F.lead("kind", k).over(w).alias(f"k{k}")]
+    t = tokens_df.select("document", "token", "kind", *ahead)
+    ok = F.col("kind") == "text"
+    for k in range(1, n):
+        ok = ok & (F.col(f"k{k}") == "text")
+    members = [F.col("token")] + [F.col(f"t{k}") for k in range(1, n)]
+    g = t.where(ok).select("document", F.concat_ws(" ", *members).alias("term"))
+    return g.select("document", "term", *_lowers(F.col("term"), n), F.lit(1).cast("long").alias("occurence"))

@@ -269,3 +269,14 @@ def q_stored_frequency(spark, base):
 
 
 QUERIES.update({"term_tokens": q_term_tokens, "stored_frequency": q_stored_frequency})
+
+
+def q_ngram_rows_window_2(spark, base):
+    return ngrams.ngram_rows_from_tokens(tokens.tokens(_docs(spark, base)), 2)
+
+
+def q_ngram_rows_window_3(spark, base):
+    return ngrams.ngram_rows_from_tokens(tokens.tokens(_docs(spark, base)), 3)
+
+
+QUERIES.update({"ngram_rows_window_2": q_ngram_rows_window_2, "ngram_rows_window_3": q_ngram_rows_window_3})

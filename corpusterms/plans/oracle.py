@@ -311,3 +311,6 @@ SELECT ti.document, ti.term, ti.lower, {RS("ti.occurence / CAST(doc_info.term_co
 FROM ti JOIN dc AS doc_info ON doc_info.document = ti.document""",
     }
 )
+
+# The window form yields the same bag as the array form.
+ORACLE.update({"ngram_rows_window_2": _ngram_rows_sql(2), "ngram_rows_window_3": _ngram_rows_sql(3)})

@@ -176,3 +176,13 @@ def test_summary_modes(corpus):
         assert math.isclose(s[lower].maxtfidf, max(vals), rel_tol=1e-12, abs_tol=1e-15)
         assert math.isclose(s[lower].mintfidf, min(vals), rel_tol=1e-12, abs_tol=1e-15)
         assert math.isclose(s[lower].meantfidf, sum(vals) / len(vals), rel_tol=1e-9, abs_tol=1e-15)
+
+
+def test_window_ngrams_equal_array_ngrams(corpus):
+    from corpusterms.operators import tokens as T
+
+    c = corpus(D1, D2, ("d3", "a b c. d e f g, h"), ("d4", "x-y z"))
+    for n in (2, 3):
+        a = rows(ngrams.ngram_rows(c, n), "document", "term")
+        b = rows(ngrams.ngram_rows_from_tokens(T.tokens(c), n), "document", "term")
+        assert a == b
