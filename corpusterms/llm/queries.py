@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, ngram_join, packing
+from . import byte_bpe, exact_dedup, language_id, ngram_join, packing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,14 @@ def op7_byte_bpe(spark, sf_dir):
 
 
 QUERIES["op7_byte_bpe"] = op7_byte_bpe
+
+
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), models)
+    doc = found.select("row.doc_id", "lang_pred", "score", "cross_entropy", "accepted")
+    return doc.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+QUERIES["op8_language_id"] = op8_language_id
