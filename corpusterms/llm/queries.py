@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, ngram_join, packing
+from . import byte_bpe, exact_dedup, language_id, ngram_join, packing, sharding, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,34 @@ def op8_language_id(spark, sf_dir):
 
 
 QUERIES["op8_language_id"] = op8_language_id
+
+
+def op2_sharding(spark, sf_dir):
+    placed = sharding.interleaved_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
+
+
+QUERIES["op2_sharding"] = op2_sharding
+
+
+def op10_winnowing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = winnowing.with_edits(docs)
+    prints = both.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        *[winnowing.winnow(F.col(c)).alias(c) for c in ("text", "edited", "next_text")],
+    )
+    return prints.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        winnowing.spelled(F.col("text")).alias("fingerprint"),
+        winnowing.spelled(F.col("edited")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("text"), F.col("edited")).alias("near_edited"),
+        winnowing.likeness(F.col("text"), F.col("next_text")).alias("near_next"),
+    )
+
+
+QUERIES["op10_winnowing"] = op10_winnowing
