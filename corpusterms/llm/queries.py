@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, language_id, ngram_join, packing, sharding, winnowing
-from .common import table
+from . import byte_bpe, chat_format, exact_dedup, language_id, ngram_join, packing, sharding, warc, winnowing
+from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +153,18 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(upto) FILTER (role = 'assistant' OR from_end = 1), 0)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+def op9_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # The table has no capture times: a second a page, from a fixed day on.
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)))
+    path = f"{scratch(spark)}/archives"
+    warc.write_archives(warc.captures(pages.withColumn("captured", when)), path)
+    index = warc.read_index(spark, path)
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position"
+    )
+
+
+QUERIES["op9_warc"] = op9_warc
