@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, language_id, ngram_join, packing, sharding, warc, winnowing
+from . import byte_bpe, chat_format, exact_dedup, html_text, language_id, ngram_join, packing, sharding, warc, winnowing
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,12 @@ def op9_warc(spark, sf_dir):
 
 
 QUERIES["op9_warc"] = op9_warc
+
+
+def op3_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_text.main_text(pages)
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op3_html_text"] = op3_html_text
