@@ -1,0 +1,83 @@
+import time
+
+import pytest
+
+from corpusterms.llm import html_text as H
+
+from .conftest import SF
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
+<header><h1>Site name</h1></header><nav><ul><li><a href=/a>One</a><li><a href="/b">Two</a></ul></nav>
+<div class="cookie-notice">We use cookies, do you agree with this long and winding notice of ours?</div>
+<div id=wrap><div class="post-body"><article><header><h1>The  &eacute;vent &#38; more</h1></header><p>First par<b>agr</b>aph
+goes on<br>and on.<p>Second 1 &lt; 2 <a href="x">with a link</a> inside it.<div class="ad banner">Buy this now</div>
+<ul><li>item one<li>item two</ul><script>var x = "</p>";</script><p>Last of them all, a closing paragraph.</p></article>
+<aside>Related things to read</aside><section id="comments"><p>I disagree entirely with this article, says a reader.</p></section>
+<form><label>Mail</label><input><button>Subscribe</button></form></div></div><footer>&copy; us</footer></body></html>"""
+WANT = """The évent & more
+
+First paragraph goes on and on.
+
+Second 1 < 2 with a link inside it.
+
+item one
+
+item two
+
+Last of them all, a closing paragraph."""
+
+
+def test_article_without_its_surroundings():
+    assert H.extract(PAGE, {}, {}) == WANT
+    assert H.extract(PAGE.replace("article>", "div>"), {}, {}) == WANT.replace("The évent & more\n\n", "")
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<html>", "<script>x", "<!-- x", "<nav>menu", "&amp"])
+def test_nothing_to_extract(page):
+    assert H.extract(page, {}, {}) == ("&" if page == "&amp" else "<" if page == "<" else "")
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<!--", "<script>", "<div>", "<p>", "<", "<a href='", "&", "</p>", "<b>", "<div><p>", "<td><li>"])
+def test_linear_time(unit):
+    began = time.process_time()
+    H.extract(unit * (1_000_000 // len(unit)) + "x", {}, {})
+    assert time.process_time() - began < 8
+
+
+def test_best_stretch_by_definition():
+    """The region is the best of all contiguous token ranges."""
+    page = "<div><ul><li>a b</ul><p>one two three<p>four<ul><li>x<li>y</ul><p>five six seven eight nine</div><ul><li>z</ul>"
+    tokens = list(H.read_page(page))
+    words, tags = {"p": 0.9, "li": 0.1}, {"li": 0.6, "ul": 0.7, "p": 0.1, "div": 0.2}
+    value = [H.word_count(t[2]) * words.get(t[1], 0.7) if t[0] == 0 else -tags.get(t[1], 0.5) for t in tokens]
+    best = max((sum(value[i : j + 1]), -i, j) for i in range(len(value)) for j in range(i, len(value)))
+    low, high = tokens[-best[1]][3], tokens[best[2]][3]
+    text = {}
+    for t in tokens:
+        if low <= t[3] <= high and t[0] == 0:
+            text.setdefault(t[3], []).append(t[2])
+    assert H.extract(page, words, tags) == "\n\n".join(" ".join("".join(x).split()) for x in text.values())
+
+
+def test_table(spark):
+    import html
+    import re
+
+    from corpusterms.llm.queries import QUERIES
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = QUERIES["op3_html_text"](spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:  # these pages mark their article, with only p, h1, b and br inside
+        body = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
+        blocks = [html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))) for b in re.split("</?(?:p|h1)>", body)]
+        assert r.text == "\n\n".join(" ".join(b.split()) for b in blocks if b.split())
+        assert r.n_chars == len(r.text)
+
+
+def test_awkward_rows(spark):
+    rows = [(1, None, None, 1), (2, "u", "", 2), (3, "u", PAGE, 3), (3, "u", PAGE, 3), (None, "u", "<p>" + "word " * 50_000, 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted((r.page_id or 0, len(r.text)) for r in H.main_text(df).collect())
+    assert got[1:3] == [(1, 0), (2, 0)] and got[3] == got[4] and got[0] == (0, 5 * 50_000 - 1)
+    assert H.main_text(df.limit(0)).collect() == []
