@@ -29,16 +29,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    Read from the session; only when it is unset (local tests) a scratch
-    folder is made and registered.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, which all executors share."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="corpusterms-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return d
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """``shared_dir``; where it is unset, in local mode (tests), a scratch folder."""
+    if spark.sparkContext.master.split("[")[0] == "local" and not (
+        spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    ):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusterms-ckpt-"))
+    d = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d

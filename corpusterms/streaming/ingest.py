@@ -1,27 +1,32 @@
 """Incremental ingest: process unseen documents, remember them.
 
-Store layout (Parquet, one folder per table, partitioned by ``batch_id``)::
-
-    <store>/term_info/batch_id=<n>/   enriched term rows (terms.term_stats)
-    <store>/ngram_two/batch_id=<n>/   bigram occurrences (the bag, as built)
-    <store>/ngram_three/batch_id=<n>/ trigram occurrences
-    <store>/term_doc_delta/batch_id=<n>/  term_doc_info counts of the batch
-    <store>/doc_info/batch_id=<n>/    the registry; written last
-
-A batch anti-joins the registry, computes every table from one regex pass
-over the new documents and writes its partitions with dynamic partition
-overwrite.  The registry goes last, so a crash before it leaves no document
-marked done; a replayed batch (same ``batch_id``, e.g. a streaming epoch
-after executor or driver loss) leaves its own partition out of the
-anti-join and overwrites exactly its own output, so each document is
-stored once.  Tables are written, not cached, so lineage is cut at every
-batch.
+Store layout (Parquet, one folder per table, partitioned by the writer's
+``run_id`` and its ``batch_id``)::
+
+    <store>/term_info/run_id=<r>/batch_id=<n>/       enriched term rows (terms.term_stats)
+    <store>/ngram_two/run_id=<r>/batch_id=<n>/       bigram occurrences (the bag, as built)
+    <store>/ngram_three/run_id=<r>/batch_id=<n>/     trigram occurrences
+    <store>/term_doc_delta/run_id=<r>/batch_id=<n>/  term_doc_info counts of the batch
+    <store>/doc_info/run_id=<r>/batch_id=<n>/        the registry; written last
+
+Every writer has a run id of its own (a fresh one per ``ingest_batch`` call; a
+stream's is its query id, which lives in its checkpoint), so no writer can
+overwrite what another has stored.  A batch anti-joins the registry, computes
+every table from one regex pass over the new documents and writes its
+partitions with dynamic partition overwrite, the registry last: a batch
+counts from the moment it is registered, and every reader here leaves out
+batches that are not.  A replayed batch (same run and batch id) leaves its own
+rows out of the anti-join and overwrites exactly its own output.  A stream
+that has lost its checkpoint starts as a new run, for which all stored
+documents are done.  Writers of one store take turns: two that run at the
+same moment do not see each other's documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -29,16 +34,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.tokens import word_lane
 from ..operators.ngrams import ngram_rows
+from ..operators.registry import new_documents
 from ..operators.terms import doc_terms_from_words, term_stats
 from ..schemas import TERM_STATS
-from ..session import checkpoint_dir
+from ..session import shared_dir
 from ..sources.files import _as_corpus
 
 TABLES = ("term_info", "ngram_two", "ngram_three", "doc_info")
+BATCH_KEY = ["run_id", "batch_id"]
 
 
 def table_path(store: str, name: str) -> str:
@@ -46,101 +53,133 @@ def table_path(store: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """A stored table as it lies there; None if nothing was ever committed.
+
+    Any other failure to read (a corrupt file, no permission) is raised: an
+    unreadable registry must not pass for an empty one.
+    """
     try:
         return spark.read.parquet(table_path(store, name))
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        # No folder, or one that holds no committed file (a first write that crashed).
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def registry(spark: SparkSession, store: str, exclude_batch: int | None = None) -> DataFrame | None:
-    """The document registry, optionally without one batch's partition."""
+def registered_batches(spark: SparkSession, store: str) -> DataFrame | None:
     reg = read_table(spark, store, "doc_info")
-    if reg is None:
-        return None
-    if exclude_batch is not None:
-        reg = reg.where(F.col("batch_id") != F.lit(exclude_batch))
-    return reg
+    return None if reg is None else reg.select(*BATCH_KEY).distinct()
+
+
+def stored_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """The rows of registered batches, with ``run_id`` and ``batch_id``."""
+    df = read_table(spark, store, name)
+    if df is None or name == "doc_info":
+        return df
+    done = registered_batches(spark, store)
+    return df.limit(0) if done is None else df.join(done, BATCH_KEY, "left_semi").select(df.columns)
 
 
-def _next_batch_id(spark: SparkSession, store: str) -> int:
+def registry(spark: SparkSession, store: str, exclude: tuple[str, int] | None = None) -> DataFrame | None:
+    """The document registry, optionally without one batch's partition."""
     reg = read_table(spark, store, "doc_info")
-    if reg is None:
-        return 0
-    top = reg.agg(F.max("batch_id")).first()[0]
-    return 0 if top is None else int(top) + 1
+    if reg is not None and exclude is not None:
+        reg = reg.where(~((F.col("run_id") == exclude[0]) & (F.col("batch_id") == exclude[1])))
+    return reg
 
 
 def _write(df: DataFrame, store: str, name: str) -> None:
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy(*BATCH_KEY)
         .parquet(table_path(store, name))
     )
 
 
+def new_lanes(
+    corpus: DataFrame, ledger: DataFrame | None = None, size: int | None = None, dedupe: bool = False
+) -> DataFrame:
+    """(document, lane) of the documents not in ``ledger``, at most ``size``."""
+    new = corpus.select("document", "text")
+    if dedupe:
+        new = new.dropDuplicates(["document"])
+    new = new_documents(new, ledger, size)
+    return new.select("document", word_lane(F.col("text")).alias("lane"))
+
+
+def lane_tables(lanes: DataFrame) -> dict[str, DataFrame]:
+    """Every table of a batch from its (document, lane) rows."""
+    words = lanes.select("document", F.array_remove("lane", "").alias("words"))
+    ts = term_stats(doc_terms_from_words(words)).select(*TERM_STATS.fieldNames())
+    return {
+        "term_info": ts,
+        # The bag (one row per occurrence), as the reference's tables hold
+        # it; ``ngrams.count_rows`` groups it on read.
+        "ngram_two": ngram_rows(lanes, 2),
+        "ngram_three": ngram_rows(lanes, 3),
+        "term_doc_delta": term_doc_delta(ts),
+        "doc_info": words.select("document", F.size(F.array_distinct("words")).cast("long").alias("term_count")),
+    }
+
+
+def term_doc_delta(ts: DataFrame) -> DataFrame:
+    return ts.groupBy(F.col("lower").alias("term")).agg(F.count(F.lit(1)).alias("doc_count"))
+
+
+def batch_tables(
+    corpus: DataFrame, ledger: DataFrame | None = None, size: int | None = None, dedupe: bool = False
+) -> dict[str, DataFrame]:
+    """What one batch adds to each table: a function of corpus and ledger alone."""
+    return lane_tables(new_lanes(corpus, ledger, size, dedupe))
+
+
 def ingest_batch(
     spark: SparkSession,
     corpus: DataFrame,
     store: str,
     size: int | None = None,
-    batch_id: int | None = None,
+    run_id: str | None = None,
+    batch_id: int = 0,
     dedupe: bool = False,
-) -> int:
+) -> tuple[str, int]:
     """Ingest the documents of ``corpus`` not yet registered in ``store``.
 
     ``size`` bounds the run to the first ``size`` new documents by key (0
     does nothing).  ``dedupe`` keeps one row per document key (needed when
-    files of the same name come from several folders).  Returns the batch id.
+    files of the same name come from several folders).  Returns the batch's
+    key ``(run_id, batch_id)``: pass it again to replay the batch.
     """
-    if batch_id is None:
-        batch_id = _next_batch_id(spark, store)
+    run_id = run_id or f"batch-{uuid.uuid4().hex}"
+    key = (run_id, int(batch_id))
     if size == 0:
-        return batch_id
-    new = corpus.select("document", "text")
-    ledger = registry(spark, store, exclude_batch=batch_id)
-    if ledger is not None:
-        new = new.join(ledger.select("document"), "document", "left_anti")
-    if dedupe:
-        new = new.dropDuplicates(["document"])
-    if size is not None:
-        new = new.orderBy("document").limit(int(size))
-
-    # One regex pass per document, reused by every table of the batch.
-    lanes = new.select("document", word_lane(F.col("text")).alias("lane")).persist(StorageLevel.MEMORY_AND_DISK)
+        return key
+    # One regex pass per document, reused by every table of the batch.  The
+    # cache only saves work: what an executor loses is computed anew.
+    lanes = new_lanes(corpus, registry(spark, store, exclude=key), size, dedupe).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if lanes.isEmpty():  # nothing new: leave every table as it is
-            return batch_id
-        bid = F.lit(batch_id).cast("int").alias("batch_id")
-        words = lanes.select("document", F.array_remove("lane", "").alias("words"))
-        ts = term_stats(doc_terms_from_words(words))
-        outputs = {
-            # Sorted by lower inside each file: row-group statistics then
-            # prune word look-ups (``lower = ?``) on the stored table.
-            "term_info": ts.select(*TERM_STATS.fieldNames(), bid).sortWithinPartitions("lower"),
-            # The bag (one row per occurrence), as the reference's tables hold
-            # it; cheaper to build than per-document counts and only a few
-            # percent larger.  ``ngrams.count_rows`` groups it on read.
-            "ngram_two": ngram_rows(lanes, 2).select("*", bid),
-            "ngram_three": ngram_rows(lanes, 3).select("*", bid),
-        }
+            return key
+        mark = [F.lit(run_id).alias("run_id"), F.lit(key[1]).cast("int").alias("batch_id")]
+        tables = {name: df.select("*", *mark) for name, df in lane_tables(lanes).items()}
+        # Sorted by lower inside each file: row-group statistics then prune
+        # word look-ups (``lower = ?``) on the stored table.
+        tables["term_info"] = tables["term_info"].sortWithinPartitions("lower")
         # Independent tables: submitted as concurrent jobs, so the tail of
         # one job overlaps the others on the cluster.
-        with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
-            for f in [pool.submit(_write, df, store, name) for name, df in outputs.items()]:
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            for f in [pool.submit(_write, tables[n], store, n) for n in ("term_info", "ngram_two", "ngram_three")]:
                 f.result()
-        # term_doc_info delta of this batch, from the partition just written
-        # (a scan of one column), so the table is maintained incrementally.
-        written = spark.read.parquet(table_path(store, "term_info")).where(F.col("batch_id") == batch_id)
-        delta = written.groupBy(F.col("lower").alias("term")).agg(F.count(F.lit(1)).alias("doc_count"))
-        _write(delta.select("*", bid), store, "term_doc_delta")
-        doc_info = words.select(
-            "document", F.size(F.array_distinct("words")).cast("long").alias("term_count"), bid
-        )
-        _write(doc_info, store, "doc_info")  # last: marks the documents done
+        # The term_doc_info delta from the partition just written (a scan of
+        # one column), so the table is maintained incrementally.
+        written = read_table(spark, store, "term_info")
+        written = written.where((F.col("run_id") == run_id) & (F.col("batch_id") == key[1]))
+        _write(term_doc_delta(written).select("*", *mark), store, "term_doc_delta")
+        _write(tables["doc_info"], store, "doc_info")  # last: marks the documents done
     finally:
         lanes.unpersist()
-    return batch_id
+    return key
 
 
 def ingest_stream(
@@ -156,9 +195,10 @@ def ingest_stream(
     """Watch ``source_dir`` for document files and ingest them per micro-batch.
 
     Each new file is one document (whole-text file source, key = file
-    name); ``foreachBatch`` runs ``ingest_batch`` with the epoch id as the
-    batch id.  The stream's checkpoint lives under the session's
-    ``spark.checkpoint.dir`` unless ``checkpoint`` is given.
+    name); ``foreachBatch`` runs ``ingest_batch`` with the query's id as the
+    run id and the epoch as the batch id.  The checkpoint lives under the
+    session's ``spark.checkpoint.dir`` unless ``checkpoint`` is given; without
+    either this raises (a local folder would forget the offsets).
     """
     reader = spark.readStream.format("text").option("wholetext", True)
     if max_files_per_trigger:
@@ -166,11 +206,14 @@ def ingest_stream(
     corpus = _as_corpus(reader.load(source_dir), markdown)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        ingest_batch(batch.sparkSession, batch, store, batch_id=int(epoch_id), dedupe=True)
+        session = batch.sparkSession
+        # Kept in the checkpoint: the same after a restart, another without it.
+        query = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ingest_batch(session, batch, store, run_id=f"stream-{query}", batch_id=int(epoch_id), dedupe=True)
 
     if checkpoint is None:
         tag = hashlib.sha1(f"{source_dir}->{store}".encode()).hexdigest()[:12]
-        checkpoint = os.path.join(checkpoint_dir(spark), f"ingest-{tag}")
+        checkpoint = os.path.join(shared_dir(spark), f"ingest-{tag}")
     w = corpus.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
@@ -179,42 +222,62 @@ def ingest_stream(
 def term_doc_info_stream(spark: SparkSession, store: str) -> DataFrame:
     """Streaming ``term_doc_info``: rows per lower-cased term, kept up to date.
 
-    A stateful ``groupBy(lower).count()`` over the stored term rows as they
-    arrive (run it in ``complete`` or ``update`` output mode).  The state
-    holds one count per distinct term.
+    Reads the batches' deltas as they arrive (run it in ``complete`` or
+    ``update`` output mode).  The state of a term is the set of its counts by
+    batch, so the file that a replay writes anew adds nothing to it.
     """
-    existing = read_table(spark, store, "term_info")
-    if existing is not None:
-        schema = existing.schema
-    else:
-        schema = StructType(TERM_STATS.fields + [StructField("batch_id", IntegerType())])
-    rows = spark.readStream.schema(schema).parquet(table_path(store, "term_info"))
-    return rows.groupBy(F.col("lower").alias("term")).agg(F.count(F.lit(1)).alias("doc_count"))
+    delta = read_table(spark, store, "term_doc_delta")
+    schema = (
+        delta.schema
+        if delta is not None
+        else StructType(
+            [
+                StructField("term", StringType()),
+                StructField("doc_count", LongType()),
+                StructField("run_id", StringType()),
+                StructField("batch_id", IntegerType()),
+            ]
+        )
+    )
+    rows = spark.readStream.schema(schema).parquet(table_path(store, "term_doc_delta"))
+    counts = F.collect_set(F.struct(*BATCH_KEY, "doc_count"))
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["doc_count"])
+    return rows.groupBy("term").agg(total.alias("doc_count"))
 
 
 def stored_term_doc_info(spark: SparkSession, store: str) -> DataFrame | None:
-    """``term_doc_info`` of the whole store: the per-batch deltas summed.
-
-    Only batches present in the registry count, so a batch that crashed
-    before its registry write is left out until it is replayed.
-    """
-    delta = read_table(spark, store, "term_doc_delta")
-    reg = read_table(spark, store, "doc_info")
-    if delta is None or reg is None:
+    """``term_doc_info`` of the whole store: the registered batches' deltas summed."""
+    delta = stored_table(spark, store, "term_doc_delta")
+    if delta is None:
         return None
-    done = reg.select("batch_id").distinct()
-    return (
-        delta.join(done, "batch_id", "left_semi")
-        .groupBy("term")
-        .agg(F.sum("doc_count").cast("long").alias("doc_count"))
-    )
+    return delta.groupBy("term").agg(F.sum("doc_count").cast("long").alias("doc_count"))
 
 
 def stored_tables(spark: SparkSession, store: str) -> dict[str, DataFrame]:
-    """The store's tables as DataFrames (without ``batch_id``)."""
+    """The store's tables: rows of registered batches, without batch columns."""
     out = {}
     for name in TABLES:
-        df = read_table(spark, store, name)
+        df = stored_table(spark, store, name)
         if df is not None:
-            out[name] = df.drop("batch_id")
+            out[name] = df.drop(*BATCH_KEY)
     return out
+
+
+def compact(spark: SparkSession, store: str, out: str) -> tuple[str, int]:
+    """Write the registered rows of ``store`` to a new store ``out`` as one batch.
+
+    Many small batches become few large files: the term table in ranges of
+    ``lower`` (a word look-up opens the file or two that hold the word, not
+    every file), the registry in ranges of ``document``, the deltas summed.
+    """
+    key = (f"compact-{uuid.uuid4().hex}", 0)
+    mark = [F.lit(key[0]).alias("run_id"), F.lit(key[1]).cast("int").alias("batch_id")]
+    tables = stored_tables(spark, store)
+    tables["term_doc_delta"] = stored_term_doc_info(spark, store)
+    order = {"term_info": ["lower", "document", "term"], "doc_info": ["document"], "term_doc_delta": ["term"]}
+    for name in ("term_info", "ngram_two", "ngram_three", "term_doc_delta", "doc_info"):
+        by = order.get(name, ["lower1", "document"])
+        if tables.get(name) is not None:
+            ranged = tables[name].repartitionByRange(*by).sortWithinPartitions(*by)
+            _write(ranged.select("*", *mark), out, name)
+    return key

@@ -1,7 +1,6 @@
 """Incremental ingest: batches, reruns, replays and the streaming path."""
 
-import os
-
+import pytest
 from pyspark.sql import functions as F
 
 from corpusterms.operators import ngrams, terms
@@ -27,7 +26,7 @@ def snapshot(spark, store):
 def test_batches_equal_one_batch(spark, corpus, tmp_path):
     c = corpus(*DOCS)
     one = str(tmp_path / "one")
-    assert ingest.ingest_batch(spark, c, one) == 0
+    ingest.ingest_batch(spark, c, one)
     many = str(tmp_path / "many")
     ingest.ingest_batch(spark, c, many, size=2)
     ingest.ingest_batch(spark, c, many, size=2)
@@ -37,19 +36,18 @@ def test_batches_equal_one_batch(spark, corpus, tmp_path):
     want = sorted(tuple(r) for r in terms.term_info(c).select("document", "term", "lower", "occurence").collect())
     assert ti == want
     assert ("c.md", 0) in di and len(di) == 5
-    batches = sorted(r[0] for r in spark.read.parquet(os.path.join(many, "doc_info")).select("batch_id").distinct().collect())
-    assert batches == [0, 1, 2]
+    assert ingest.registered_batches(spark, many).count() == 3
 
 
 def test_rerun_is_noop_and_replay_overwrites(spark, corpus, tmp_path):
     c = corpus(*DOCS)
     store = str(tmp_path / "s")
-    ingest.ingest_batch(spark, c, store, size=3)
+    run, batch = ingest.ingest_batch(spark, c, store, size=3)
     before = snapshot(spark, store)
     ingest.ingest_batch(spark, c.where("document <= 'c.md'"), store)  # nothing new
     assert snapshot(spark, store) == before
-    # Replaying batch 0 (as after a failure) leaves each document once.
-    ingest.ingest_batch(spark, c, store, size=3, batch_id=0)
+    # Replaying the batch (as after a failure) leaves each document once.
+    assert ingest.ingest_batch(spark, c, store, size=3, run_id=run, batch_id=batch) == (run, batch)
     assert snapshot(spark, store) == before
     ingest.ingest_batch(spark, c, store, size=0)
     assert snapshot(spark, store) == before
@@ -78,8 +76,7 @@ def test_stream_ingest(spark, tmp_path):
     q.awaitTermination(300)
     ti, di, _ = snapshot(spark, store)
     assert len(di) == 5
-    batches = spark.read.parquet(os.path.join(store, "doc_info")).select("batch_id").distinct().count()
-    assert batches == 3
+    assert ingest.registered_batches(spark, store).count() == 3
     # A new file later: only it is processed by the next run.
     (src / "f.md").write_text("Saluang baru", encoding="utf-8")
     q = ingest.ingest_stream(spark, str(src), store, checkpoint=str(tmp_path / "ckpt"), max_files_per_trigger=2)
@@ -99,9 +96,124 @@ def test_term_doc_info_maintained_per_batch(spark, corpus, tmp_path):
     c = corpus(*DOCS)
     store = str(tmp_path / "s")
     ingest.ingest_batch(spark, c, store, size=2)
-    ingest.ingest_batch(spark, c, store, size=2)
-    ingest.ingest_batch(spark, c, store, size=2, batch_id=1)  # replay
+    run, batch = ingest.ingest_batch(spark, c, store, size=2)
+
+    def streamed(name):
+        w = ingest.term_doc_info_stream(spark, store).writeStream.outputMode("complete").format("memory").queryName(name)
+        w.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination(300)
+        return {r.term: r.doc_count for r in spark.sql(f"SELECT * FROM {name}").collect()}
+
+    assert streamed("tdi_1")["saluang"] == 2
+    ingest.ingest_batch(spark, c, store, size=2, run_id=run, batch_id=batch)  # replay
     ingest.ingest_batch(spark, c, store)
     got = sorted(tuple(r) for r in ingest.stored_term_doc_info(spark, store).collect())
     want = sorted(tuple(r) for r in terms.term_doc_info(c).collect())
     assert got == want
+    # The stream has seen the replayed batch's file twice: counted once.
+    assert streamed("tdi_2") == dict(want)
+
+
+def _write_docs(folder, docs):
+    folder.mkdir(exist_ok=True)
+    for name, text in docs:
+        (folder / name).write_text(text, encoding="utf-8")
+    return str(folder)
+
+
+def _everything_once(spark, store, names):
+    t = ingest.stored_tables(spark, store)
+    assert sorted(r.document for r in t["doc_info"].collect()) == sorted(names)
+    texts = dict(DOCS)
+    c = spark.createDataFrame([(n, texts[n]) for n in names], "document string, text string")
+    want = sorted(tuple(r) for r in terms.term_info(c).select("document", "term", "occurence").collect())
+    assert sorted(tuple(r) for r in t["term_info"].select("document", "term", "occurence").collect()) == want
+
+
+def _stream(spark, src, store, checkpoint):
+    ingest.ingest_stream(spark, src, store, checkpoint=str(checkpoint)).awaitTermination(300)
+
+
+def test_batch_and_streams_share_a_store(spark, corpus, tmp_path):
+    store = str(tmp_path / "s")
+    ingest.ingest_batch(spark, corpus(*DOCS[:2]), store)
+    _stream(spark, _write_docs(tmp_path / "one", DOCS[2:3]), store, tmp_path / "ck1")
+    _everything_once(spark, store, ["a.md", "b.md", "c.md"])
+    _stream(spark, _write_docs(tmp_path / "two", DOCS[3:]), store, tmp_path / "ck2")
+    _everything_once(spark, store, [n for n, _ in DOCS])
+
+
+def test_a_lost_checkpoint_loses_nothing(spark, tmp_path):
+    store, src = str(tmp_path / "s"), _write_docs(tmp_path / "in", DOCS[:3])
+    _stream(spark, src, store, tmp_path / "ck1")
+    _write_docs(tmp_path / "in", DOCS[3:])
+    _stream(spark, src, store, tmp_path / "ck-new")
+    _everything_once(spark, store, [n for n, _ in DOCS])
+
+
+def test_a_crashed_batch_is_not_read_and_can_be_replayed(spark, corpus, tmp_path, monkeypatch):
+    c, store = corpus(*DOCS), str(tmp_path / "s")
+    ingest.ingest_batch(spark, c.where("document < 'c'"), store)
+    write = ingest._write
+
+    def crash(df, where, name):
+        if name == "doc_info":
+            raise RuntimeError("executor gone")
+        write(df, where, name)
+
+    monkeypatch.setattr(ingest, "_write", crash)
+    with pytest.raises(RuntimeError):
+        ingest.ingest_batch(spark, c, store, run_id="r", batch_id=4)
+    monkeypatch.setattr(ingest, "_write", write)
+    _everything_once(spark, store, ["a.md", "b.md"])
+    assert ingest.stored_term_doc_info(spark, store).count() == 5
+    ingest.ingest_batch(spark, c, store, run_id="r", batch_id=4)
+    _everything_once(spark, store, [n for n, _ in DOCS])
+
+
+def test_an_unreadable_registry_is_an_error(spark, corpus, tmp_path):
+    store = tmp_path / "s"
+    ingest.ingest_batch(spark, corpus(*DOCS), str(store))
+    for f in (store / "doc_info").rglob("*.parquet"):
+        f.write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        ingest.ingest_batch(spark, corpus(*DOCS), str(store))
+
+
+def test_stream_wants_a_shared_checkpoint(spark, tmp_path):
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        pytest.skip("another test has set a checkpoint folder")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ingest.ingest_stream(spark, _write_docs(tmp_path / "in", DOCS[:1]), str(tmp_path / "s"))
+
+
+def test_compacted_store_reads_the_same(spark, corpus, tmp_path):
+    c, store, out = corpus(*DOCS), str(tmp_path / "s"), str(tmp_path / "c")
+    for _ in range(3):
+        ingest.ingest_batch(spark, c, store, size=2)
+    ingest.compact(spark, store, out)
+    assert snapshot(spark, out) == snapshot(spark, store)
+    assert ingest.registered_batches(spark, out).count() == 1
+    same = [sorted(tuple(r) for r in ingest.stored_term_doc_info(spark, s).collect()) for s in (store, out)]
+    assert same[0] == same[1]
+    ingest.ingest_batch(spark, c, out)  # nothing new
+    assert ingest.registered_batches(spark, out).count() == 1
+
+
+def test_bounded_batch_keeps_texts_out_of_the_limit(spark, corpus):
+    c = corpus(*[(f"{i:03d}", f"teks {i}") for i in range(40)]).repartition(6)
+    new = ingest.new_lanes(c, None, size=30)
+    assert new.count() == 30
+    # Only keys pass the top-k; the lanes come from the corpus's own partitions.
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    top = [line for line in plan.splitlines() if "TakeOrderedAndProject" in line]
+    assert top and not any("text" in line or "lane" in line for line in top), plan
+    assert new.rdd.getNumPartitions() == 6
+
+
+def test_pure_tables_equal_stored_ones(spark, corpus, tmp_path):
+    c, store = corpus(*DOCS), str(tmp_path / "s")
+    ledger = spark.createDataFrame([("b.md",)], "document string")
+    pure = ingest.batch_tables(c, ledger, size=2)
+    ingest.ingest_batch(spark, c.where("document in ('a.md', 'c.md')"), store)
+    for name, df in ingest.stored_tables(spark, store).items():
+        assert sorted(map(tuple, pure[name].collect())) == sorted(map(tuple, df.select(pure[name].columns).collect()))
