@@ -9,15 +9,17 @@ Shape of the plans:
 * per-term measures (``doc_frequency``, ``tf_idf_summary``) are one
   ``groupBy(lower)`` with partial aggregation, so a term that occurs in every
   document sends one row per map task across the network;
-* corpus totals are one-row global aggregates referenced as *scalar
-  subqueries* (planned once, read as a literal), never cross joins; the
-  document total N is read from the corpus with a cheap exact test or from
-  the stored per-document flag, never by tokenizing twice;
+* the document total N is the sum, over that same aggregate, of a flag that
+  one row per document carries: a scalar subquery whose exchange AQE reuses, so
+  the text is scanned and tokenised once;
 * the summary never joins the document frequency back onto the term rows:
   the IDF is constant within a term, so max/min/mean of tf*idf follow from
-  max/min/mean of tf.  Only the per-row ``tf_idf`` listing needs the join;
-  its build side has one row per term, and AQE either broadcasts it (after
-  measuring it) or splits skewed partitions of the sort-merge join.
+  max/min/mean of tf;
+* the per-row ``tf_idf`` listing and ``rank_word`` read their rows twice: from
+  a corpus they first write them to the shared folder (they run jobs when
+  called, not only when their result is read).  ``tf_idf`` joins two stored
+  tables, so that AQE can split the partition of a word that is in every
+  document (which it can't when one side is an aggregate).
 """
 
 from __future__ import annotations
@@ -25,30 +27,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
 from ..functions.scores import IDF_LOG10, IDF_SERIES, idf
-from ..functions.tokens import has_words, word_array
+from ..functions.tokens import word_array
+from ..storage import stored
 from .terms import _as_term_stats, candidates, doc_info
 
 
 # --- corpus totals -------------------------------------------------------------
 
 
-def _n_terms(src: DataFrame) -> Column:
-    """Documents with at least one term (``COUNT(DISTINCT document)``).
+def _per_term(ts: DataFrame, *aggregates: Column) -> DataFrame:
+    """(lower, docfreq, n_first, aggregates): ``n_first`` adds up to N.
 
-    From a corpus: a cheap exact test per text (``has_words``), not a second
-    tokenization.  From a term table: the one-per-document flag summed.
+    ``n_first`` counts the documents whose flagged row this term is.
     """
-    if "text" in src.columns:
-        return src.where(has_words(F.col("text"))).agg(F.count(F.lit(1)).alias("n")).scalar()
-    ts = _as_term_stats(src)
-    return ts.agg(F.sum(F.col("doc_first").cast("long")).alias("n")).scalar()
+    return ts.groupBy("lower").agg(
+        F.sum(F.col("lower_first").cast("long")).alias("docfreq"),
+        F.sum(F.col("doc_first").cast("long")).alias("n_first"),
+        *aggregates,
+    )
 
 
-def _per_term_df(ts: DataFrame) -> DataFrame:
-    return ts.groupBy("lower").agg(F.sum(F.col("lower_first").cast("long")).alias("docfreq"))
+def _with_total(per_term: DataFrame, name: str = "doctotal") -> DataFrame:
+    """``per_term`` with N, the documents with at least one term, beside it.
+
+    N is a scalar subquery over the same aggregate (``COUNT(DISTINCT
+    document)``, as each document flags one row).  Query and subquery both ask
+    for every column of the aggregate (a condition that always holds), so
+    neither is pruned to a plan of its own: AQE finds the exchange done and
+    reuses it instead of reading the corpus again.
+    """
+    holds = F.lit(True)
+    for c in per_term.columns:
+        if c != "lower":
+            holds = holds & (F.col(c).isNotNull() if c != "tf_sd" else F.col(c).isNull() | (F.col(c) >= 0))
+    n = per_term.agg(F.sum(F.when(holds, F.col("n_first"))).alias("n")).scalar()
+    return per_term.select("*", F.when(holds, n).alias(name))
 
 
 def _n_registry(registry: DataFrame) -> Column:
@@ -62,10 +76,7 @@ def corpus_counts(corpus_or_stats: DataFrame) -> DataFrame:
     One pass: a per-term partial aggregate, then a one-row total.
     """
     ts = _as_term_stats(corpus_or_stats)
-    per_term = ts.groupBy("lower").agg(
-        F.sum(F.col("doc_first").cast("long")).alias("n_first"),
-        F.sum("occurence").alias("occ"),
-    )
+    per_term = _per_term(ts, F.sum("occurence").alias("occ"))
     return per_term.agg(
         F.sum("n_first").cast("long").alias("documents"),
         F.count(F.lit(1)).alias("unique_tokens"),
@@ -101,8 +112,7 @@ def doc_frequency(corpus_or_stats: DataFrame) -> DataFrame:
 
 def doc_frequency_total(corpus_or_stats: DataFrame) -> DataFrame:
     """``doc_frequency`` with the corpus document total beside it."""
-    per_term = _per_term_df(_as_term_stats(corpus_or_stats))
-    return per_term.select("lower", "docfreq", _n_terms(corpus_or_stats).alias("doctotal"))
+    return _with_total(_per_term(_as_term_stats(corpus_or_stats))).select("lower", "docfreq", "doctotal")
 
 
 def tf_idf(corpus_or_stats: DataFrame) -> DataFrame:
@@ -111,25 +121,19 @@ def tf_idf(corpus_or_stats: DataFrame) -> DataFrame:
     The order is total (docfreq, lower, document, term) so that the range
     partitioning behind the sort can split a term that is in every document.
     """
-    n = _n_terms(corpus_or_stats)
     ts = _as_term_stats(corpus_or_stats)
     if "text" in corpus_or_stats.columns:
-        # Both join sides read the term rows: keep them once (spills to
-        # disk when large; lost blocks are recomputed from the scan).
-        ts = ts.persist(StorageLevel.MEMORY_AND_DISK)
+        ts = stored(ts.select("document", "term", "lower", "occurence", "token_total", "lower_first", "doc_first"))
+    per_term = stored(_per_term(ts))
+    n = per_term.agg(F.sum("n_first")).scalar()
     tf = ts.select(
         "document",
         "term",
         "lower",
         (F.col("occurence") / F.col("token_total").cast("double")).alias("tf"),
     )
-    out = tf.join(doc_frequency(ts), "lower").select(
-        "document",
-        "term",
-        "lower",
-        "tf",
-        "docfreq",
-        n.alias("doctotal"),
+    out = tf.join(per_term.select("lower", "docfreq"), "lower").select(
+        "document", "term", "lower", "tf", "docfreq", n.alias("doctotal")
     )
     out = out.withColumn("power_of_idf", idf(F.col("doctotal"), F.col("docfreq"), "ratio"))
     return out.orderBy("docfreq", "lower", "document", "term")
@@ -179,26 +183,21 @@ def tf_idf_summary(
         df = F.count(F.lit(1))
     else:
         raise ValueError("df_mode must be 'documents' or 'rows'")
-    if n_mode == "terms":
-        n = _n_terms(corpus_or_stats)
-    elif n_mode == "registry":
-        n = _n_registry(_registry_for(corpus_or_stats, registry))
-    else:
-        raise ValueError("n_mode must be 'terms' or 'registry'")
-    sd = F.stddev_samp(tf) if with_stddev else F.lit(None).cast("double")
-    per_term = ts.groupBy("lower").agg(
-        F.max(tf).alias("tf_max"),
-        F.min(tf).alias("tf_min"),
-        F.avg(tf).alias("tf_mean"),
-        sd.alias("tf_sd"),
-        df.alias("docfreq"),
+    sd = [F.stddev_samp(tf).alias("tf_sd")] if with_stddev else []
+    per_term = _per_term(
+        ts, F.max(tf).alias("tf_max"), F.min(tf).alias("tf_min"), F.avg(tf).alias("tf_mean"), df.alias("df"), *sd
     )
     # N as its own column: the IDF formula reads it many times, and a
     # non-trivial column referenced repeatedly stays one projection (one
     # subquery) instead of being inlined into every use.
-    per_term = per_term.select("*", n.alias("_n"))
-    w = idf(F.col("_n"), F.col("docfreq"), idf_mode)
-    scored = per_term.select("lower", w.alias("_idf"), "tf_max", "tf_min", "tf_mean", "tf_sd")
+    if n_mode == "terms":
+        per_term = _with_total(per_term, "_n")
+    elif n_mode == "registry":
+        per_term = per_term.select("*", _n_registry(_registry_for(corpus_or_stats, registry)).alias("_n"))
+    else:
+        raise ValueError("n_mode must be 'terms' or 'registry'")
+    w = idf(F.col("_n"), F.col("df"), idf_mode)
+    scored = per_term.select("*", w.alias("_idf"))
     i = F.col("_idf")
     hi = F.when(i >= 0, i * F.col("tf_max")).otherwise(i * F.col("tf_min"))
     lo = F.when(i >= 0, i * F.col("tf_min")).otherwise(i * F.col("tf_max"))
@@ -263,6 +262,8 @@ def rank_word(
     postings = ts.where(F.col("lower") == w).select(
         "document", "term", "lower", "occurence", "frequency"
     )
+    if "text" in corpus_or_stats.columns:  # tokenise the candidates once
+        postings = stored(postings)
     n_post = postings.agg(F.count(F.lit(1)).alias("c")).scalar()
     i = idf(_n_registry(reg), n_post, IDF_LOG10)
     out = postings.select(

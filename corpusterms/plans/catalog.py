@@ -43,7 +43,7 @@ def q_token_kinds(spark, base):
 
 
 def q_term_info(spark, base):
-    return _r(terms.term_info(_docs(spark, base)), "frequency")
+    return terms.term_info(_docs(spark, base))
 
 
 def q_doc_info(spark, base):
@@ -55,11 +55,11 @@ def q_term_doc_info(spark, base):
 
 
 def q_compound_terms(spark, base):
-    return _r(terms.compound_terms(_docs(spark, base)), "frequency")
+    return terms.compound_terms(_docs(spark, base))
 
 
 def q_term_postings(spark, base):
-    return _r(terms.term_postings(_docs(spark, base), WORD), "frequency")
+    return terms.term_postings(_docs(spark, base), WORD)
 
 
 def q_corpus_counts(spark, base):
@@ -71,7 +71,7 @@ def q_doc_tokens(spark, base):
 
 
 def q_term_frequency(spark, base):
-    return _r(scoring.term_frequency(_docs(spark, base)), "frequency")
+    return scoring.term_frequency(_docs(spark, base))
 
 
 def q_doc_frequency(spark, base):
@@ -83,7 +83,7 @@ def q_doc_frequency_total(spark, base):
 
 
 def q_tf_idf(spark, base):
-    return _r(scoring.tf_idf(_docs(spark, base)), "tf", "power_of_idf")
+    return scoring.tf_idf(_docs(spark, base))
 
 
 def q_tf_idf_series(spark, base):
@@ -108,7 +108,7 @@ def q_word_idf(spark, base):
 
 
 def q_rank_word(spark, base):
-    return _r(scoring.rank_word(_docs(spark, base), WORD, k=RANK_K), "frequency", "idf", "tfidf")
+    return _r(scoring.rank_word(_docs(spark, base), WORD, k=RANK_K), "idf", "tfidf")
 
 
 def q_registry_count(spark, base):
@@ -142,7 +142,7 @@ def q_ngram_counts_3(spark, base):
 
 
 def q_conversation_terms(spark, base):
-    return _r(terms.term_info(tables.conversations_corpus(spark, base)), "frequency")
+    return terms.term_info(tables.conversations_corpus(spark, base))
 
 
 def q_benchmark_summary(spark, base):
@@ -212,7 +212,7 @@ def wiki_document(doc_id, lang, source, text):
 
 
 def _dressed(spark, base, dress):
-    d = tables.spread(tables.table(spark, base, "documents"))
+    d = tables.table(spark, base, "documents")
     return d.select(
         F.col("doc_id").alias("document"),
         dress(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("raw"),
@@ -225,7 +225,7 @@ def q_markdown_text(spark, base):
 
 
 def q_markdown_terms(spark, base):
-    return _r(terms.term_info(q_markdown_text(spark, base)), "frequency")
+    return terms.term_info(q_markdown_text(spark, base))
 
 
 def q_front_matter(spark, base):
@@ -245,7 +245,7 @@ def q_page_text(spark, base):
 
 
 def q_page_terms(spark, base):
-    return _r(terms.term_info(q_page_text(spark, base)), "frequency")
+    return terms.term_info(q_page_text(spark, base))
 
 
 QUERIES.update(
@@ -265,7 +265,7 @@ def q_term_tokens(spark, base):
 
 
 def q_stored_frequency(spark, base):
-    return _r(scoring.stored_frequency(_docs(spark, base)), "frequency")
+    return scoring.stored_frequency(_docs(spark, base))
 
 
 QUERIES.update({"term_tokens": q_term_tokens, "stored_frequency": q_stored_frequency})

@@ -55,7 +55,7 @@ dc AS (
 
 def _term_info_sql(src: str = "documents", where: str = "TRUE") -> str:
     return f"""WITH {_terms_ctes(src)}
-SELECT ti.document, term, lower, occurence, {RS("occurence / term_count")} AS frequency
+SELECT ti.document, term, lower, occurence, occurence / term_count AS frequency
 FROM ti JOIN dc ON dc.document = ti.document
 WHERE {where}"""
 
@@ -167,7 +167,7 @@ FROM ti""",
 SELECT document, CAST(SUM(occurence) AS BIGINT) AS token_total FROM ti GROUP BY document""",
     "term_frequency": f"""WITH {_terms_ctes()},
 doc AS (SELECT SUM(occurence) AS tokens, document FROM ti GROUP BY document)
-SELECT ti.document, term, lower, {RS("occurence / CAST(tokens AS DOUBLE)")} AS frequency
+SELECT ti.document, term, lower, occurence / CAST(tokens AS DOUBLE) AS frequency
 FROM ti JOIN doc ON doc.document = ti.document""",
     "doc_frequency": f"""WITH {_terms_ctes()}
 SELECT lower, COUNT(DISTINCT document) AS docfreq FROM ti GROUP BY lower""",
@@ -181,8 +181,8 @@ docfreq AS (
     SELECT COUNT(DISTINCT document) AS docfreq, (SELECT documents FROM counting) AS doctotal, lower
     FROM ti GROUP BY lower
 )
-SELECT ti.document, ti.term, ti.lower, {RS("ti.occurence / CAST(dc.token_total AS DOUBLE)")} AS tf,
-       docfreq, doctotal, {RS("doctotal / CAST(docfreq AS DOUBLE)")} AS power_of_idf
+SELECT ti.document, ti.term, ti.lower, ti.occurence / CAST(dc.token_total AS DOUBLE) AS tf,
+       docfreq, doctotal, doctotal / CAST(docfreq AS DOUBLE) AS power_of_idf
 FROM ti JOIN dc ON dc.document = ti.document JOIN docfreq ON docfreq.lower = ti.lower
 ORDER BY docfreq, ti.lower, ti.document, ti.term""",
     "tf_idf_series": f"""WITH {_terms_ctes()},
@@ -213,7 +213,7 @@ ranked AS (
     SELECT *, coalesce(frequency, 0.0) * idf AS tfidf FROM scored
     ORDER BY tfidf DESC, document, term LIMIT {catalog.RANK_K}
 )
-SELECT document, term, lower, occurence, {RS("frequency")} AS frequency, {RS("idf")} AS idf,
+SELECT document, term, lower, occurence, frequency AS frequency, {RS("idf")} AS idf,
        {RS("tfidf")} AS tfidf
 FROM ranked""",
     "registry_count": "SELECT count(*) AS documents FROM documents",
@@ -244,7 +244,7 @@ ti AS (
     FROM words GROUP BY document, term
 ),
 dc AS (SELECT document, count(*) AS term_count FROM ti GROUP BY document)
-SELECT ti.document, term, lower, occurence, {RS("occurence / term_count")} AS frequency
+SELECT ti.document, term, lower, occurence, occurence / term_count AS frequency
 FROM ti JOIN dc ON dc.document = ti.document
 WHERE {where}"""
 
@@ -307,7 +307,7 @@ ORACLE.update(
     {
         "term_tokens": f"SELECT * FROM ({_TOKENS_SQL}) WHERE kind = 'text'",
         "stored_frequency": f"""WITH {_terms_ctes()}
-SELECT ti.document, ti.term, ti.lower, {RS("ti.occurence / CAST(doc_info.term_count AS DOUBLE)")} AS frequency
+SELECT ti.document, ti.term, ti.lower, ti.occurence / CAST(doc_info.term_count AS DOUBLE) AS frequency
 FROM ti JOIN dc AS doc_info ON doc_info.document = ti.document""",
     }
 )

@@ -17,45 +17,33 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give the per-document work at least one task per core.
-
-    Tokenizing and counting are CPU work done row by row, and a Parquet
-    file is split only at row-group boundaries, so a small corpus stored as
-    one row group would be processed by a single task.  Below the default
-    parallelism the rows are dealt round-robin to that many partitions (a
-    shuffle of the raw text only in that case); a large corpus already has
-    far more splits than cores and is left as it is.
+def _corpus(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``partitions``: deal the rows anew, round-robin, to so many tasks.
+
+    Off by default: tokenising is narrow and follows the scan's splits
+    (``spark.sql.files.maxPartitionBytes``, ``minPartitionNum``; a Parquet file
+    splits at its row groups).  Ask for it only for a corpus stored as fewer
+    row groups than there are cores; it shuffles the whole raw text.
     """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. Spark Connect): leave the plan alone
-        return df
-    return df.repartition(want) if have < want else df
+    return df if partitions is None else df.repartition(partitions)
 
 
-def documents_corpus(spark: SparkSession, base: str) -> DataFrame:
+def documents_corpus(spark: SparkSession, base: str, partitions: int | None = None) -> DataFrame:
     """``documents(doc_id, text, ...)`` with ``doc_id`` as the document key."""
-    return spread(table(spark, base, "documents").select(F.col("doc_id").alias("document"), "text"))
+    return _corpus(table(spark, base, "documents").select(F.col("doc_id").alias("document"), "text"), partitions)
 
 
-def conversations_corpus(spark: SparkSession, base: str) -> DataFrame:
+def conversations_corpus(spark: SparkSession, base: str, partitions: int | None = None) -> DataFrame:
     """``conversations``: one document per turn, keyed ``"<conv_id>/<turn>"``."""
-    return spread(
-        table(spark, base, "conversations").select(
-            F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("document"),
-            "text",
-        )
-    )
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return _corpus(table(spark, base, "conversations").select(key.alias("document"), "text"), partitions)
 
 
-def benchmark_corpus(spark: SparkSession, base: str) -> DataFrame:
-    return spread(table(spark, base, "benchmark").select(F.col("item_id").alias("document"), "text"))
+def benchmark_corpus(spark: SparkSession, base: str, partitions: int | None = None) -> DataFrame:
+    return _corpus(table(spark, base, "benchmark").select(F.col("item_id").alias("document"), "text"), partitions)
 
 
-def pages_corpus(spark: SparkSession, base: str) -> DataFrame:
+def pages_corpus(spark: SparkSession, base: str, partitions: int | None = None) -> DataFrame:
     """``pages(page_id, url, html)`` with the raw HTML as text."""
-    return spread(
-        table(spark, base, "pages").select(F.col("page_id").alias("document"), F.col("html").alias("text"))
-    )
+    pages = table(spark, base, "pages").select(F.col("page_id").alias("document"), F.col("html").alias("text"))
+    return _corpus(pages, partitions)

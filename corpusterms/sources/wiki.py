@@ -106,7 +106,6 @@ def read_wiki_files(spark: SparkSession, path: str) -> DataFrame:
     matter is not JSON), text (the wikitext body).
     """
     from ..functions.markup import split_front_matter
-    from .tables import spread
 
     raw = spark.read.text(path, wholetext=True)
     meta_schema = StructType(
@@ -115,12 +114,10 @@ def read_wiki_files(spark: SparkSession, path: str) -> DataFrame:
     )
     fm = split_front_matter(F.col("value"))
     docs = raw.select(F.col("_metadata.file_name").alias("document"), fm.alias("fm"))
-    return spread(
-        docs.select(
-            "document",
-            F.from_json(F.col("fm.meta"), meta_schema).alias("meta"),
-            F.col("fm.body").alias("text"),
-        )
+    return docs.select(
+        "document",
+        F.from_json(F.col("fm.meta"), meta_schema).alias("meta"),
+        F.col("fm.body").alias("text"),
     )
 
 

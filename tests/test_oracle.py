@@ -11,9 +11,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(BASE), reason="driver test dat
 
 
 def _names():
-    import __spark_entry__ as E
+    from corpusterms.plans.oracle import ORACLE
 
-    return sorted(E.oracle_sql())
+    return sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -31,8 +31,19 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle():
     import __spark_entry__ as E
+    from corpusterms.plans.catalog import QUERIES
+    from corpusterms.plans.oracle import ORACLE
+
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
+def test_no_registered_plan_deals_the_corpus_anew(spark):
+    from corpusterms.plans.catalog import QUERIES
 
-    assert set(E.queries()) == set(E.oracle_sql())
+    for name, query in QUERIES.items():
+        plan = query(spark, BASE)._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning" not in plan, name
 
 
 def test_entry_runs(spark):

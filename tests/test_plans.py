@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import functions as F
+import pytest
 
 from corpusterms.operators import ngrams, scoring, terms
 
@@ -28,12 +28,46 @@ def test_term_and_ngram_tables_do_not_shuffle(spark):
         assert _exchanges_above_input(_plan(df)) == 0, _plan(df)
 
 
-def test_summary_shuffles_once_on_lower(spark):
-    c = _corpus(spark)
-    plan = _plan(scoring.tf_idf_summary(c))
-    # One hash exchange on lower (the N subquery counts documents, no key).
-    assert len(re.findall(r"Exchange hashpartitioning\(lower", plan)) == 1, plan
-    assert "Join" not in plan, plan
+@pytest.fixture
+def stored_corpus(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    _corpus(spark).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("score", [scoring.tf_idf_summary, scoring.doc_frequency_total, scoring.tf_idf_series, scoring.top_terms])
+def test_corpus_total_reuses_the_terms_exchange(spark, stored_corpus, score):
+    df = score(stored_corpus)
+    assert "Join" not in _plan(df)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # The subquery's exchange on lower is the main query's (or the other way
+    # round): the text is scanned once.
+    assert "ReusedExchange" in plan, plan
+
+
+def test_listing_splits_a_hot_word(spark):
+    rows = [(i, "the the alat " + ("muzik " if i % 3 else "")) for i in range(60_000)]
+    c = spark.createDataFrame(rows, "document long, text string").repartition(8)
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        df = scoring.tf_idf(c)
+        assert df.count() > 0 and not spark.sparkContext._jsc.getPersistentRDDs()
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan, plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_stored_word_lookup_pushes_filter(spark, tmp_path):

@@ -112,13 +112,12 @@ def test_has_words_is_exact(spark):
     assert not bad
 
 
-def test_spread_gives_each_core_a_task(spark):
-    from corpusterms.sources.tables import spread
+def test_corpus_is_dealt_anew_only_on_request(spark):
+    from corpusterms.sources.tables import documents_corpus
 
-    one = spark.createDataFrame([(i, "x") for i in range(40)], "document int, text string").coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = one.repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
+    base = "/root/testdata/sf0.001"
+    assert documents_corpus(spark, base).rdd.getNumPartitions() == 1
+    assert documents_corpus(spark, base, partitions=5).rdd.getNumPartitions() == 5
 
 
 WHITE = set("\t\n\x0b\x0c\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
