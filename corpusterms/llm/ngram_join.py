@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, scratch, stored, worker_cache
+from .common import parts, scratch, stored
 from .components import components
 
-#: Shingles that one task sorts at a time; words whose hashes a worker keeps.
+#: Shingles that one task sorts at a time; words whose hashes a task keeps.
 BUCKET = 2_000_000
 CHUNK = 2_000_000
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 #: Shared shingles of the classes that one task compares.
 BLOCK = 1_000_000
 
@@ -60,10 +60,7 @@ def _word_hashes():
             h = self[word] = xxhash.xxh3_64_intdigest(word)
             return h
 
-    cache = worker_cache()
-    if "ngram_words" not in cache:
-        cache["ngram_words"] = Hashes()
-    return cache["ngram_words"]
+    return Hashes()  # a task's own: an idle worker holds no words
 
 
 def shingle_set(text: bytes | None, words: int, hashes) -> np.ndarray:

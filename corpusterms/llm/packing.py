@@ -31,7 +31,7 @@ PIECES = (
     "sequence_id long, offset long, padded_length long"
 )
 #: Ids that a task gathers before it packs them.
-HELD = 16_000_000
+HELD = 4_000_000
 
 
 class OpenWindows:
