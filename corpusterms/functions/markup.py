@@ -1,16 +1,19 @@
-"""Markup to text: ordered ``regexp_replace`` chains.
+"""Markup to text.
 
-Each chain is a list of (pattern, replacement) steps applied in order to a
-string column; every step is one JVM expression, so cleaning a document
-stays inside whole-stage codegen (no Python worker, no parser object per
-row).  Patterns use the subset that Java regex and RE2 read alike (no
-look-around, no back-references, no ``\\s``); replacements write groups as
-``{1}`` and are rendered as ``$1`` (Java) or ``\\1`` (RE2).  Java patterns get
-the UNIX_LINES flag so that only ``\\n`` ends a line, as in RE2.
+Markdown is read by a block and inline scan (``functions.commonmark``).  HTML
+and wikitext are ordered ``regexp_replace`` chains in the JVM; what nests or
+may lack an end (templates, tables, media links, references) is taken out by
+linear scans first (``functions.spans``), so that a chain holds only patterns
+that look at a line or a tag at a time.
+
+Rules for those patterns: no repeated group (Java's engine recurses once per
+turn, and a long line would exhaust the stack), and nothing that runs on past
+the next opener of its kind (an unclosed opener repeated through a document
+would cost the square of its length).  Java patterns get the UNIX_LINES flag
+so that only ``\n`` ends a line; replacements write groups as ``{1}``.
 
 A removed inline construct leaves one space, so markup boundaries stay word
-boundaries (``a*b*c`` gives the words a, b, c), as the reference's join of
-text segments with spaces does.
+boundaries.
 """
 
 from __future__ import annotations
@@ -20,78 +23,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .commonmark import markdown
+from .spans import unescaped, without_wiki_spans
+
 Step = tuple[str, str]
 
-# --- markdown (CommonMark + front matter) --------------------------------------
+# --- front matter ---------------------------------------------------------------
 FRONT_MATTER_RE = r"\A(?:---|\+\+\+)[ \t]*\n(?:(?s:.*?)\n)?(?:---|\+\+\+)[ \t]*(?:\n|\z)"
 _FRONT_MATTER_PARTS_RE = r"\A(?:---|\+\+\+)[ \t]*\n(?:((?s:.*?))\n)?(?:---|\+\+\+)[ \t]*(?:\n|\z)((?s:.*))"
 
-# Named character references decoded in text (fixed values, HTML names):
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
-
-# Block-level HTML tags that open a raw HTML block (fixed values, a subset
-# of the CommonMark list):
-HTML_BLOCK_TAGS = [
-    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure",
-    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav",
-    "ol", "p", "section", "table", "ul",
-]
-
-# Backslash escapes: an escaped markup character is literal text.  These are
-# parked on private-use code points during the chain and restored at the end
-# (fixed: each character with its placeholder).
-ESCAPED_MARKUP = [("*", "\ue000"), ("_", "\ue001"), ("#", "\ue002"), ("[", "\ue003"), ("]", "\ue004"), ("`", "\ue005")]
-_PROTECT: list[Step] = [("\\\\" + re.escape(ch), ph) for ch, ph in ESCAPED_MARKUP]
-_RESTORE: list[Step] = [
-    # any other escaped ASCII punctuation: drop the backslash
-    (r"\\([!-/:-@\[-`{-~])", "{1}"),
-] + [("\\x{%x}" % ord(ph), ch) for ch, ph in ESCAPED_MARKUP]
-
-MARKDOWN_STEPS: list[Step] = [
-    (r"\r\n?", "\n"),
-    (FRONT_MATTER_RE, ""),
-] + _PROTECT + [
-    # fenced code blocks (``` or ~~~), content dropped
-    (r"(?m)^ {0,3}(?:`{3,}[^\n`]*\n(?s:.*?)^ {0,3}`{3,}|~{3,}[^\n]*\n(?s:.*?)^ {0,3}~{3,})[ \t]*$", "\n"),
-    (r"(?s)<!--.*?-->", " "),
-    # link reference definitions: label and title are kept
-    (r'(?m)^ {0,3}\[([^\]\n]+)\]:[ \t]*[^ \t\r\n]+(?:[ \t]+"([^"\n]*)")?[ \t]*$', "{1} {2}"),
-    # images: the title is kept, alt text and source dropped
-    (r'!\[[^\]]*\]\([^() \t\r\n]*(?:[ \t]+"([^"]*)")?\)', " {1} "),
-    (r"!\[[^\]]*\]\[[^\]]*\]", " "),
-    # inline links: the link text is kept
-    (r'\[([^\]]*)\]\([^() \t\r\n]*(?:[ \t]+"[^"]*")?\)', " {1} "),
-    # reference links: the link text is kept
-    (r"\[([^\]]*)\]\[[^\]]*\]", " {1} "),
-    (r"`[^`]+`", " "),
-    # autolinks: the address is the link text
-    (r"<((?:https?|ftp|mailto):[^<> \t\r\n]*)>", " {1} "),
-    # raw HTML blocks whose content is not text
-    (r"(?is)<script\b[^>]*>.*?</script[^>]*>", " "),
-    (r"(?is)<style\b[^>]*>.*?</style[^>]*>", " "),
-    (r"(?is)<pre\b[^>]*>.*?</pre[^>]*>", " "),
-    # HTML blocks: a line opening with a block-level tag starts a raw block
-    # that runs to the next blank line, content included
-    (r"(?im)^ {0,3}</?(?:" + "|".join(HTML_BLOCK_TAGS) + r")(?:[ \t/>]|$)(?s:.*?)(?:\n[ \t]*\n|\z)", "\n"),
-    (r"</?[A-Za-z][^<>]*>", " "),
-    (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""),
-    (r"(?m)^ {0,3}(?:=+|-+)[ \t]*$", ""),
-    (r"(?m)^ {0,3}(?:>[ \t]?)+", ""),
-    (r"(?m)^[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+", ""),
-    (r"(?m)^ {0,3}#{1,6}[ \t]+", ""),
-    (r"\*{1,3}|_{2,3}", " "),
-    # single-underscore emphasis, only at word edges (snake_case stays)
-    (r"(^|[^A-Za-z0-9_])_([^_ \t\n](?:[^_\n]*[^_ \t\n])?)_($|[^A-Za-z0-9_])", "{1} {2} {3}"),
-] + list(ENTITIES) + _RESTORE
-
 # --- HTML pages --------------------------------------------------------------
 HTML_STEPS: list[Step] = [
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script\b[^>]*>.*?</script[^>]*>", " "),
-    (r"(?is)<style\b[^>]*>.*?</style[^>]*>", " "),
-    (r"(?i)<!DOCTYPE[^>]*>", " "),
+    # what is never closed runs to the end
+    (r"(?s)<!--.*?(?:-->|\z)", " "),
+    (r"(?is)<script\b[^<>]*>.*?(?:</script[^<>]*>|\z)", " "),
+    (r"(?is)<style\b[^<>]*>.*?(?:</style[^<>]*>|\z)", " "),
+    (r"(?i)<!DOCTYPE[^<>]*>", " "),
     (r"</?[A-Za-z][^<>]*>", " "),
-] + list(ENTITIES)
+]
 
 # --- MediaWiki wikitext -------------------------------------------------------
 # Namespaces of embedded media and category links (fixed values; English
@@ -99,47 +48,34 @@ HTML_STEPS: list[Step] = [
 MEDIA_NAMESPACES = ["File", "Image", "Category", "Fail", "Imej", "Kategori"]
 
 
-def wikitext_steps(namespaces: list[str] | None = None) -> list[Step]:
-    ns = "|".join(re.escape(n) for n in (namespaces or MEDIA_NAMESPACES))
-    steps: list[Step] = [
-        (r"\r\n?", "\n"),
-        (r"(?s)<!--.*?-->", " "),
-        (r"(?is)<ref[^>]*/>", " "),
-        (r"(?is)<ref[^>]*>.*?</ref>", " "),
-        (r"(?is)<gallery[^>]*>.*?</gallery>", " "),
-        (r"(?is)<math[^>]*>.*?</math>", " "),
-        # behaviour switches such as __NOTOC__
-        (r"__[A-Z]+__", " "),
-    ]
-    # templates, innermost first, nested up to 5 deep
-    steps += [(r"\{\{[^{}]*\}\}", " ")] * 5
-    steps += [(r"(?s)\{\|[^{}]*\|\}", " ")] * 2
-    steps += [
-        (r"(?i)\[\[(?:" + ns + r"):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", " "),
-        # interlanguage links ([[en:Page]])
-        (r"\[\[[a-z]{2,3}(?:-[a-z]{2,8})?:[^\[\]]*\]\]", " "),
-        (r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]", "{1}"),
-        (r"\[\[([^\[\]|]*)\]\]", "{1}"),
-        (r"\[(?:https?:)?//[^ \t\r\n\]]+[ \t]+([^\]]*)\]", "{1}"),
-        (r"\[(?:https?:)?//[^ \t\r\n\]]+\]", " "),
-        (r"'{2,5}", ""),
-        # list markers before headings: ``##`` is not a list
-        (r"(?m)^[*#:;]+[ \t]*", "- "),
-    ]
-    for n in (6, 5, 4, 3, 2):
-        steps.append((r"(?m)^={" + str(n) + r"}[ \t]*(.*?)[ \t]*={" + str(n) + r"}[ \t]*$", "#" * n + " {1}"))
-    steps += [
-        (r"</?[A-Za-z][^<>]*>", " "),
-        (r"[ \t]{2,}", " "),
-    ]
-    return steps
-
-
-WIKITEXT_STEPS = wikitext_steps()
+WIKITEXT_STEPS: list[Step] = [
+    # behaviour switches such as __NOTOC__
+    (r"__[A-Z]+__", " "),
+    # interlanguage links ([[en:Page]])
+    (r"\[\[[a-z]{2,3}(?:-[a-z]{2,8})?:[^\[\]]*\]\]", " "),
+    (r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]", "{1}"),
+    (r"\[\[([^\[\]|]*)\]\]", "{1}"),
+    (r"\[(?:https?:)?//[^ \t\r\n\[\]]+[ \t]+([^\[\]]*)\]", "{1}"),
+    (r"\[(?:https?:)?//[^ \t\r\n\[\]]+\]", " "),
+    (r"'{2,5}", ""),
+    # list markers before headings: ``##`` is not a list
+    (r"(?m)^[*#:;]+[ \t]*", "- "),
+    (r"</?[A-Za-z][^<>]*>", " "),
+    (r"[ \t]{2,}", " "),
+    (r"(?m) $", ""),
+] + [
+    # runs of blanks are single by now, so a heading is read once
+    (r"(?m)^={%d} ?([^=\n](?:[^\n]*[^=\n])??) ?={%d}$" % (n, n), "#" * n + " {1}")
+    for n in (6, 5, 4, 3, 2)
+]
 
 # Trim each line and drop empty lines (the dump splitter did this).
+# White space is Unicode's, as in the splitter; a run is entered at its start only.
+_BLANK = r"[\p{IsWhite_Space}&&[^\n]]"
 SQUEEZE_LINES_STEPS: list[Step] = [
-    (r"(?m)^[ \t]+|[ \t]+$", ""),
+    (r"\r\n?", "\n"),
+    (r"(?m)^" + _BLANK + r"+", ""),
+    (r"(?m)(?<!" + _BLANK + ")" + _BLANK + r"+$", ""),
     (r"\n{2,}", "\n"),
     (r"\A\n|\n\z", ""),
 ]
@@ -155,11 +91,6 @@ def java_replacement(r: str) -> str:
     return _GROUP.sub(lambda m: "$" + m.group(1), r)
 
 
-def re2_replacement(r: str) -> str:
-    r = r.replace("\\", "\\\\")
-    return _GROUP.sub(lambda m: "\\" + m.group(1), r)
-
-
 def java_pattern(p: str) -> str:
     return "(?d)" + p
 
@@ -170,32 +101,24 @@ def apply_steps(c: Column, steps: list[Step]) -> Column:
     return c
 
 
-def steps_sql(expr: str, steps: list[Step]) -> str:
-    """The same chain as DuckDB SQL (RE2), for the oracle."""
-    for p, r in steps:
-        assert "$re$" not in p
-        rep = re2_replacement(r).replace("'", "''")
-        expr = f"regexp_replace({expr}, $re${p}$re$, '{rep}', 'g')"
-    return expr
-
-
 # --- public column functions --------------------------------------------------
 
 
 def markdown_text(md: Column) -> Column:
-    """Markdown (with optional front matter) to plain text."""
-    return apply_steps(F.coalesce(md, F.lit("")), MARKDOWN_STEPS)
+    """Markdown (with optional front matter) to plain text, a block per line."""
+    return markdown(md)
 
 
 def html_text(html: Column) -> Column:
-    """HTML to text: comments, scripts, styles and tags removed."""
-    return apply_steps(F.coalesce(html, F.lit("")), HTML_STEPS)
+    """HTML to text: comments, scripts, styles and tags removed, references decoded."""
+    return unescaped(apply_steps(F.coalesce(html, F.lit("")), HTML_STEPS))
 
 
 def wikitext_clean(wikitext: Column, namespaces: list[str] | None = None) -> Column:
     """Wikitext to light markdown: inline markup gone, headings/lists kept."""
-    steps = WIKITEXT_STEPS if namespaces is None else wikitext_steps(namespaces)
-    return apply_steps(F.coalesce(wikitext, F.lit("")), steps)
+    lines = F.regexp_replace(F.coalesce(wikitext, F.lit("")), "\r\n?", "\n")
+    plain = without_wiki_spans(lines, namespaces or MEDIA_NAMESPACES)
+    return apply_steps(plain, WIKITEXT_STEPS)
 
 
 def squeeze_lines(text: Column) -> Column:

@@ -43,7 +43,7 @@ def round_sig(c: Column, digits: int = 9) -> Column:
     SQL oracle produce and parse back exactly, so scores that differ only in
     the last bits of a floating sum compare equal.
     """
-    return F.format_string(f"%.{digits - 1}e", c).cast("double")
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits - 1}e", c).cast("double"))
 
 
 def format_score(c: Column, places: int = 5) -> Column:

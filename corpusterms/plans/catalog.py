@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..functions.scores import IDF_LOG10, round_sig
 from ..operators import ngrams, registry, scoring, terms, tokens
-from ..sources import tables
+from ..sources import tables, wiki
+from ..streaming import ingest
 
 # Query parameters (the reference takes them on its command line).
 WORD = "the"  # rank / word_idf / postings
@@ -221,7 +222,12 @@ def _dressed(spark, base, dress):
 
 def q_markdown_text(spark, base):
     md = _dressed(spark, base, markdown_document)
-    return md.select("document", markup.markdown_text(F.col("raw")).alias("text"))
+    return _squeezed(md.select("document", markup.markdown_text(F.col("raw")).alias("text")))
+
+
+def _squeezed(df):
+    """White space in ``text`` carries no meaning for tokens: one space each."""
+    return df.withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
 
 
 def q_markdown_terms(spark, base):
@@ -236,12 +242,12 @@ def q_front_matter(spark, base):
 
 def q_wikitext_clean(spark, base):
     wk = _dressed(spark, base, wiki_document)
-    return wk.select("document", markup.wikitext_clean(F.col("raw")).alias("text"))
+    return _squeezed(wk.select("document", markup.wikitext_clean(F.col("raw")).alias("text")))
 
 
 def q_page_text(spark, base):
     p = tables.pages_corpus(spark, base)
-    return p.select("document", markup.html_text(F.col("text")).alias("text"))
+    return _squeezed(p.select("document", markup.html_text(F.col("text")).alias("text")))
 
 
 def q_page_terms(spark, base):
@@ -280,3 +286,122 @@ def q_ngram_rows_window_3(spark, base):
 
 
 QUERIES.update({"ngram_rows_window_2": q_ngram_rows_window_2, "ngram_rows_window_3": q_ngram_rows_window_3})
+
+
+# --- wiki pages ---------------------------------------------------------------
+# A page per document, built from its columns as the dump reader returns pages:
+# the reader itself needs files, everything behind it is checked here.
+
+
+def _pages(spark, base):
+    from ..schemas import REVISION, WIKI_PAGE
+
+    d = tables.table(spark, base, "documents")
+    i = F.col("doc_id").cast("string")
+
+    def revision(number, text):
+        return F.struct(
+            number.alias("id"),
+            F.lit(None).cast("string").alias("parentid"),
+            F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+            F.struct(F.col("source").alias("username"), i.alias("id")).alias("contributor"),
+            F.concat(F.lit("[[Muzik|"), F.col("lang"), F.lit("]] " + _Q3), i, F.lit(_Q3)).alias("comment"),
+            F.lit("wikitext").alias("model"),
+            F.lit("text/x-wiki").alias("format"),
+            F.struct(text.alias("_VALUE")).alias("text"),
+            F.lit(None).cast("string").alias("sha1"),
+        ).cast(REVISION)
+
+    # Every seventh page has no text; every page has a second, older revision.
+    text = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("  "), F.col("text"), F.lit(" \u00a0\n\n\t== "), F.col("lang"), F.lit(" ==  \n")))
+    return d.select(
+        F.concat(F.lit("Page "), i).alias("title"),
+        F.lit(0).cast("long").alias("ns"),
+        F.col("doc_id").alias("id"),
+        F.array(revision(F.concat(F.lit("r"), i), text), revision(F.concat(F.lit("old"), i), F.lit("old"))).alias("revision"),
+    ).select(*[F.col(f.name).cast(f.dataType) for f in WIKI_PAGE.fields])
+
+
+def q_page_documents(spark, base):
+    docs = wiki.page_documents(_pages(spark, base))
+    first = F.get(F.col("meta.revision"), 0)
+    return docs.select("document", "text", "meta.title", first["comment"].alias("comment"), F.size("meta.revision").alias("revisions"))
+
+
+def q_clean_documents(spark, base):
+    docs = wiki.clean_documents(wiki.page_documents(_pages(spark, base)))
+    meta = docs.select("document", F.get(F.col("meta.revision"), 0)["comment"].alias("comment"), F.size("meta.revision").alias("revisions"), "text")
+    return _squeezed(meta)
+
+
+def q_squeeze_lines(spark, base):
+    d = tables.table(spark, base, "documents")
+    lines = F.concat(F.lit(" \t"), F.col("text"), F.lit("  \n \n\n\u2003"), F.col("lang"), F.lit("\u00a0\n"))
+    return d.select(F.col("doc_id").alias("document"), markup.squeeze_lines(lines).alias("text"))
+
+
+def q_skip_done(spark, base):
+    # The labelled documents play the outputs already there.
+    done = tables.table(spark, base, "labels").select(F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit(".wiki.md")).alias("document"))
+    return wiki.clean_documents(wiki.page_documents(_pages(spark, base)), existing=done).select("document")
+
+
+def q_wiki_terms(spark, base):
+    return terms.term_info(wiki.page_corpus(_pages(spark, base)))
+
+
+QUERIES.update(
+    {
+        "page_documents": q_page_documents,
+        "clean_documents": q_clean_documents,
+        "squeeze_lines": q_squeeze_lines,
+        "skip_done": q_skip_done,
+        "wiki_terms": q_wiki_terms,
+    }
+)
+
+
+# --- one ingest batch -----------------------------------------------------------
+# What a batch adds to each table of the store, the labelled documents being
+# those already registered.
+
+
+def _batch(name):
+    def query(spark, base):
+        ledger = tables.table(spark, base, "labels").select(F.col("doc_id").alias("document"))
+        df = ingest.batch_tables(_docs(spark, base), ledger)[name]
+        return terms.term_info(df) if name == "term_info" else df
+
+    return query
+
+
+def q_enriched_summary(spark, base):
+    # A plain term table, as written elsewhere: the context columns come by aggregation.
+    plain = terms.term_info(_docs(spark, base)).drop("frequency")
+    return _r(scoring.tf_idf_summary(plain), "maxtfidf", "meantfidf", "mintfidf")
+
+
+def q_summary_modes(spark, base):
+    s = scoring.tf_idf_summary(
+        _docs(spark, base), idf_mode=IDF_LOG10, with_stddev=True, tf_mode="vocab", df_mode="rows", n_mode="registry"
+    )
+    return _r(s, "maxtfidf", "meantfidf", "mintfidf", "sdtfidf")
+
+
+def q_count_rows_2(spark, base):
+    return ngrams.count_rows(ngrams.ngram_rows(_docs(spark, base), 2))
+
+
+def q_rank_report(spark, base):
+    return scoring.rank_report(scoring.rank_word(_docs(spark, base), WORD, k=RANK_K))
+
+
+QUERIES.update({f"batch_{n}": _batch(n) for n in ("term_info", "doc_info", "term_doc_delta", "ngram_two", "ngram_three")})
+QUERIES.update(
+    {
+        "enriched_summary": q_enriched_summary,
+        "summary_modes": q_summary_modes,
+        "count_rows_2": q_count_rows_2,
+        "rank_report": q_rank_report,
+    }
+)

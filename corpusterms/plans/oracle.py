@@ -3,7 +3,9 @@
 Written the plain relational way -- unnest the tokens, ``GROUP BY``,
 ``COUNT(DISTINCT ...)``, joins, as the reference's SQL recipes do -- so they
 check the in-row counting and the join-free summary of the Spark operators.
-Only the token grammar (one regex, RE2-compatible) is shared.
+Only the token grammar (one regex, RE2-compatible) is shared.  Cleaned texts
+are not cleaned here: the documents' markup is built from their columns, so
+the text that should come out is built from the columns too.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ def _source(name: str) -> tuple[str, str, str]:
         "documents": ("documents", "doc_id", "text"),
         "conversations": ("conversations", "CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)", "text"),
         "benchmark": ("benchmark", "item_id", "text"),
+        "new": ("(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))", "doc_id", "text"),
     }[name]
 
 
@@ -100,14 +103,15 @@ SELECT {RS("maxtfidf")} AS maxtfidf, {RS("meantfidf")} AS meantfidf, {RS("mintfi
 FROM picked"""
 
 
-def _lanes(n: int) -> str:
+def _lanes(n: int, src: str = "documents") -> str:
+    table, key, text = _source(src)
     idx = ", ".join(f"lane[i + {k}] AS w{k}" for k in range(n))
     ok = " AND ".join(f"w{k} IS NOT NULL AND w{k} <> ''" for k in range(n))
     term = " || ' ' || ".join(f"w{k}" for k in range(n))
     lowers = ", ".join(f"lower(w{k}) AS lower{k + 1}" for k in range(n))
     return f"""WITH lanes AS (
-    SELECT doc_id AS document, regexp_extract_all(coalesce(text, ''), {_q(WORD_LANE_RE)}, 1) AS lane
-    FROM documents
+    SELECT {key} AS document, regexp_extract_all(coalesce({text}, ''), {_q(WORD_LANE_RE)}, 1) AS lane
+    FROM {table}
 ),
 pos AS (
     SELECT document, lane, unnest(range(1, len(lane) - {n - 2})) AS i FROM lanes WHERE len(lane) >= {n}
@@ -120,9 +124,9 @@ rows AS (
 )"""
 
 
-def _ngram_rows_sql(n: int) -> str:
+def _ngram_rows_sql(n: int, src: str = "documents") -> str:
     lowers = ", ".join(f"lower{k + 1}" for k in range(n))
-    return _lanes(n) + f"\nSELECT document, term, {lowers}, CAST(1 AS BIGINT) AS occurence FROM rows"
+    return _lanes(n, src) + f"\nSELECT document, term, {lowers}, CAST(1 AS BIGINT) AS occurence FROM rows"
 
 
 def _ngram_counts_sql(n: int) -> str:
@@ -269,21 +273,36 @@ MD_DOC = _concat(
     _lit(' "t") and `kod` <b>html</b>\n\n- item *'), "source",
     _lit('*\n\n![alt](i.png "tajuk")\n\n```\nfenced '), "lang", _lit('\n```\n\n[lab]: http://x "def"\n'),
 )
-WIKI_DOC = _concat(
-    _lit("== "), "source", _lit(" ==\n" + _Q3), "lang", _lit(_Q3 + " "), "text",
-    _lit(" [[Pautan|"), "lang", _lit("]] [[Fail:x.png|thumb|[[a]] cap]] {{cite|"), _ID,
-    _lit("}}<ref>r"), _ID, _lit("</ref>\n* item "), _ID,
-    _lit("\n<!-- c -->[http://x.example/"), _ID, _lit(" luar]\n"),
-)
+_WS = r"'[ \t\r\n]+', ' ', 'g'"
 
-_MD_TEXT = (
-    "(SELECT doc_id AS document, "
-    + M.steps_sql("coalesce(" + MD_DOC + ", '')", M.MARKDOWN_STEPS)
-    + " AS text FROM documents)"
-)
-_PAGE_TEXT = (
-    "(SELECT page_id AS document, " + M.steps_sql("coalesce(html, '')", M.HTML_STEPS) + " AS text FROM pages)"
+
+def _squeezed(x: str) -> str:
+    return f"trim(regexp_replace({x}, {_WS}))"
+
+
+# What the dressed documents say: see catalog.markdown_document, wiki_document.
+_MD_TEXT = f"""(SELECT doc_id AS document, {_squeezed(
+    _concat("source", "' '", "text", "' '", "lang", "' pautan and html item '", "source", "' tajuk lab def'")
+)} AS text FROM documents)"""
+_WIKI_TEXT = _squeezed(
+    _concat("'## '", "source", "' '", "lang", "' '", "text", "' '", "lang", "' - item '", _ID, "' luar'")
 )
+# Pages: cut out the one script and the one style, drop what stands between
+# < and >, then decode the references that occur.
+_PAGE_TEXT = f"""(
+    WITH cut AS (
+        SELECT page_id, array_to_string(list_transform(string_split(html, '<script>'),
+            lambda x, i: CASE WHEN i = 1 THEN x ELSE split_part(x, '</script>', 2) END), ' ') AS h FROM pages
+    ), bare AS (
+        SELECT page_id, array_to_string(list_transform(string_split(h, '<style>'),
+            lambda x, i: CASE WHEN i = 1 THEN x ELSE split_part(x, '</style>', 2) END), ' ') AS h FROM cut
+    ), pieces AS (
+        SELECT page_id, array_to_string(list_transform(string_split(h, '<'),
+            lambda x, i: CASE WHEN i = 1 THEN x ELSE substr(x, strpos(x, '>') + 1) END), ' ') AS t FROM bare
+    )
+    SELECT page_id AS document, {_squeezed(
+        "regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+    )} AS text FROM pieces)"""
 _FM = M._FRONT_MATTER_PARTS_RE
 
 ORACLE.update(
@@ -295,9 +314,7 @@ SELECT document,
        CASE WHEN regexp_matches(raw, {_q(M.FRONT_MATTER_RE)}) THEN regexp_extract(raw, {_q(_FM)}, 1) END AS meta,
        regexp_replace(raw, {_q(M.FRONT_MATTER_RE)}, '') AS body
 FROM d""",
-        "wikitext_clean": "SELECT doc_id AS document, "
-        + M.steps_sql("coalesce(" + WIKI_DOC + ", '')", M.WIKITEXT_STEPS)
-        + " AS text FROM documents",
+        "wikitext_clean": f"SELECT doc_id AS document, {_WIKI_TEXT} AS text FROM documents",
         "page_text": f"SELECT * FROM {_PAGE_TEXT}",
         "page_terms": _term_info_from(_PAGE_TEXT),
     }
@@ -314,3 +331,55 @@ FROM ti JOIN dc AS doc_info ON doc_info.document = ti.document""",
 
 # The window form yields the same bag as the array form.
 ORACLE.update({"ngram_rows_window_2": _ngram_rows_sql(2), "ngram_rows_window_3": _ngram_rows_sql(3)})
+
+# Unicode white space at the ends of lines.
+_BLANKS = "' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8195) || chr(12288)"
+
+
+def _lines(x: str) -> str:
+    """``x`` line by line, trimmed, without empty lines."""
+    return f"""array_to_string(list_filter(list_transform(string_split({x}, chr(10)),
+        lambda l: trim(l, {_BLANKS})), lambda l: l <> ''), chr(10))"""
+
+
+_PAGE = f"CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_lines("text || chr(10) || '== ' || lang || ' =='")} END"
+_CLEAN = f"CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_squeezed("text || ' ## ' || lang")} END"
+
+ORACLE.update(
+    {
+        "page_documents": f"""SELECT 'r' || {_ID} || '.wiki' AS document, {_PAGE} AS text, 'Page ' || {_ID} AS title,
+       '[[Muzik|' || lang || ']] ' || repeat(chr(39), 3) || {_ID} || repeat(chr(39), 3) AS comment, 2 AS revisions
+FROM documents""",
+        "clean_documents": f"""SELECT 'r' || {_ID} || '.wiki.md' AS document, lang || ' ' || {_ID} AS comment, 1 AS revisions,
+       {_CLEAN} AS text FROM documents""",
+        "squeeze_lines": f"SELECT doc_id AS document, {_lines('text || chr(10) || lang')} AS text FROM documents",
+        "skip_done": f"""SELECT 'r' || {_ID} || '.wiki.md' AS document FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+        "wiki_terms": _term_info_from(f"""(SELECT 'r' || {_ID} || '.wiki.md' AS document,
+    CASE WHEN doc_id % 7 = 0 THEN '' ELSE text || ' ' || lang END AS text FROM documents)"""),
+        "batch_term_info": _term_info_sql("new"),
+        "batch_doc_info": f"""WITH {_terms_ctes("new")}
+SELECT d.doc_id AS document, coalesce(dc.term_count, 0) AS term_count
+FROM {_source("new")[0]} d LEFT JOIN dc ON dc.document = d.doc_id""",
+        "batch_term_doc_delta": f"""WITH {_terms_ctes("new")}
+SELECT lower AS term, count(*) AS doc_count FROM ti GROUP BY lower""",
+        "batch_ngram_two": _ngram_rows_sql(2, "new"),
+        "batch_ngram_three": _ngram_rows_sql(3, "new"),
+        "enriched_summary": _summary_sql(),
+        "summary_modes": f"""WITH {_terms_ctes()},
+per AS (
+    SELECT ti.lower, occurence / CAST(term_count AS DOUBLE) AS tf FROM ti JOIN dc ON dc.document = ti.document
+),
+scored AS (
+    SELECT lower, tf * log10((SELECT count(*) FROM documents) / (1.0 + count(*) OVER (PARTITION BY lower))) AS x FROM per
+)
+SELECT lower, {RS("max(x)")} AS maxtfidf, {RS("avg(x)")} AS meantfidf, {RS("min(x)")} AS mintfidf,
+       {RS("stddev_samp(x)")} AS sdtfidf
+FROM scored GROUP BY lower""",
+        "count_rows_2": _ngram_counts_sql(2),
+    }
+)
+ORACLE["rank_report"] = (
+    ORACLE["rank_word"].rsplit("SELECT", 1)[0]
+    + "SELECT 'TFIDF is ' || printf('%.5f', tfidf) || ' for ' || CAST(document AS VARCHAR) || ' ' || term AS line FROM ranked"
+)

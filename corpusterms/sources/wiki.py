@@ -11,17 +11,22 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions.markup import squeeze_lines, wikitext_clean
+from ..functions.markup import markdown_text, split_front_matter, squeeze_lines, wikitext_clean
 from ..schemas import REVISION, WIKI_PAGE
 
+CORRUPT = "_corrupt"
 _REVISION_NO_TEXT = StructType([f for f in REVISION.fields if f.name != "text"])
 
 
 def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a dump: (title, ns, id, revision array<struct<...>>).
 
+    A page that is not well-formed, or has a value of another type, keeps its
+    source in ``_corrupt``; ``page_documents`` leaves it out (it has no key to
+    be registered by), ``corrupt_pages`` returns it.
+
     ``revision.text`` is read as ``struct<_VALUE>`` so that an empty
     ``<text/>`` is NULL rather than ''.
     """
@@ -29,7 +34,8 @@ def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("xml")
         .option("rowTag", "page")
         .option("mode", "PERMISSIVE")
-        .schema(WIKI_PAGE)
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .schema(StructType([*WIKI_PAGE.fields, StructField(CORRUPT, StringType(), True)]))
         .load(path)
     )
 
@@ -52,6 +58,8 @@ def page_documents(pages: DataFrame, squeeze: bool = True) -> DataFrame:
     lines dropped, lines trimmed when ``squeeze``), and ``rendered`` =
     ``---\\n<meta as JSON>\\n---\\n<text>`` (JSON is valid YAML front matter).
     """
+    if CORRUPT in pages.columns:
+        pages = pages.where(F.col(CORRUPT).isNull())
     first = F.get(F.col("revision"), 0)
     text = F.coalesce(first["text"]["_VALUE"], F.lit(""))
     if squeeze:
@@ -75,38 +83,88 @@ def clean_documents(docs: DataFrame, existing: DataFrame | None = None) -> DataF
     ``existing`` (a frame of ``document`` names) are skipped: a left anti
     join, so a rerun does only what is missing.
     """
+    first = F.get(F.col("meta.revision"), 0)
+    cleaned = first.withField("comment", F.col("comment"))
     out = docs.select(
         F.concat(F.col("document"), F.lit(".md")).alias("document"),
+        "meta",
+        wikitext_clean(first["comment"]).alias("comment"),
+        wikitext_clean(F.col("text")).alias("text"),
+    ).select(
+        "document",
         F.col("meta")
-        .withField(
-            "revision",
-            F.transform(
-                F.slice(F.col("meta.revision"), 1, 1),
-                lambda r: r.withField("comment", wikitext_clean(r["comment"])),
-            ),
-        )
+        .withField("revision", F.when(first.isNotNull(), F.array(cleaned)).otherwise(F.col("meta.revision")))
         .alias("meta"),
-        wikitext_clean(F.col("text")).alias("text"),
+        "text",
     )
     if existing is not None:
         out = out.join(existing.select("document"), "document", "left_anti")
     return out
 
 
+def page_corpus(pages: DataFrame) -> DataFrame:
+    """Pages to a corpus ``(document, text)`` of plain text.
+
+    Wikitext becomes markdown, and the markdown's text is the corpus: heading
+    and list marks are no tokens and break no n-gram.
+    """
+    docs = clean_documents(page_documents(pages))
+    return docs.select("document", markdown_text(F.col("text")).alias("text"))
+
+
 def wiki_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Dump to a corpus ``(document, text)`` of cleaned markdown."""
-    return clean_documents(page_documents(read_wiki_pages(spark, path))).select("document", "text")
+    """Dump to a corpus ``(document, text)`` of plain text; corrupt pages are left out.
+
+    Count or keep those with ``corrupt_pages(read_wiki_pages(...))``.
+    """
+    return page_corpus(read_wiki_pages(spark, path))
+
+
+def corrupt_pages(pages: DataFrame) -> DataFrame:
+    """The pages that do not fit the schema: ``(title, id, raw)``, raw their source.
+
+    ``title`` and ``id`` are what could be read of them, if anything.
+    """
+    return pages.where(F.col(CORRUPT).isNotNull()).select("title", "id", F.col(CORRUPT).alias("raw"))
+
+
+def _yaml_value(front: Column, key: str, indent: str) -> Column:
+    """A scalar of block-style YAML, unquoted; NULL where it is absent or null."""
+    raw = F.regexp_extract(front, rf"(?m)^{indent}{key}: (.*)$", 1)
+    bare = F.regexp_replace(F.regexp_replace(raw, r"^'(.*)'$", "$1"), r'^"(.*)"$', "$1")
+    bare = F.replace(bare, F.lit("''"), F.lit("'"))
+    return F.when((raw != "") & ~raw.isin("null", "~"), bare)
+
+
+def _yaml_meta(front: Column) -> Column:
+    """Page fields and the first revision's from YAML, as the splitter writes it."""
+    first = F.regexp_extract(front, r"(?s)\nrevision:\n(- .*?)(?:\n- |\z)", 1)
+    revision = F.struct(
+        *[
+            F.struct(
+                _yaml_value(first, "username", "    ").alias("username"), _yaml_value(first, "id", "    ").alias("id")
+            ).alias(f.name)
+            if f.name == "contributor"
+            else _yaml_value(first, f.name, "(?:- |  )").alias(f.name)
+            for f in _REVISION_NO_TEXT.fields
+        ]
+    )
+    return F.struct(
+        _yaml_value(front, "title", "").alias("title"),
+        _yaml_value(front, "ns", "").try_cast("long").alias("ns"),
+        _yaml_value(front, "id", "").try_cast("long").alias("id"),
+        F.when(first != "", F.array(revision)).alias("revision"),
+    )
 
 
 def read_wiki_files(spark: SparkSession, path: str) -> DataFrame:
     """A folder of ``.wiki`` files (front matter + wikitext) as documents.
 
-    Columns: document (file name), meta (the page struct parsed from JSON
-    front matter, as ``page_documents`` renders it; NULL when the front
-    matter is not JSON), text (the wikitext body).
+    Columns: document (file name), meta (the page struct: from JSON front
+    matter, as ``page_documents`` renders it, or from block-style YAML, where
+    the page's fields and its first revision are read), front_matter (the raw
+    block; NULL without one), text (the wikitext body).
     """
-    from ..functions.markup import split_front_matter
-
     raw = spark.read.text(path, wholetext=True)
     meta_schema = StructType(
         [f for f in WIKI_PAGE.fields if f.name != "revision"]
@@ -114,11 +172,11 @@ def read_wiki_files(spark: SparkSession, path: str) -> DataFrame:
     )
     fm = split_front_matter(F.col("value"))
     docs = raw.select(F.col("_metadata.file_name").alias("document"), fm.alias("fm"))
-    return docs.select(
-        "document",
-        F.from_json(F.col("fm.meta"), meta_schema).alias("meta"),
-        F.col("fm.body").alias("text"),
+    front = F.col("fm.meta")
+    meta = F.when(F.ltrim(front).startswith("{"), F.from_json(front, meta_schema)).when(
+        front.isNotNull(), _yaml_meta(front).cast(meta_schema)
     )
+    return docs.select("document", meta.alias("meta"), front.alias("front_matter"), F.col("fm.body").alias("text"))
 
 
 def clean_wiki_files(spark: SparkSession, path: str, done_path: str | None = None) -> DataFrame:
@@ -131,6 +189,7 @@ def clean_wiki_files(spark: SparkSession, path: str, done_path: str | None = Non
     if done_path is not None:
         try:
             existing = spark.read.parquet(done_path).select("document")
-        except AnalysisException:  # no outputs yet
-            existing = None
+        except AnalysisException as e:  # no outputs yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     return clean_documents(read_wiki_files(spark, path), existing)

@@ -1,6 +1,7 @@
 """Markup to text: goldens (white space squeezed before comparing)."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,11 +23,15 @@ MD = [
     ("- satu\n- dua\n1. tiga", "satu dua tiga"),
     ("Tajuk\n=====\n\n***\n", "Tajuk"),
     ("AT&amp;T &lt;x&gt;", "AT&T <x>"),
-    ("<!-- komen --> teks", "teks"),
-    ("lihat [teks][r] lagi", "lihat teks lagi"),
+    ("<!-- komen --> teks", ""),  # an HTML block: the whole line
+    ("ini <!-- komen --> teks", "ini teks"),
+    ("lihat [teks][r] lagi", "lihat [teks][r] lagi"),
+    ("lihat [teks][r] lagi\n\n[r]: x", "lihat teks lagi r"),
     ("di <https://a.b/c> sana", "di https://a.b/c sana"),
     ("a\n<script>var x = 1;</script>\nb", "a b"),
-    ("a <pre>kod\nblok</pre> b", "a b"),
+    # inside a paragraph only the tags are raw HTML; at a line's start it is a block
+    ("a <pre>kod\nblok</pre> b", "a kod blok b"),
+    ("a\n<pre>kod\nblok</pre>\nb", "a b"),
     ("satu _dua tiga_ empat", "satu dua tiga empat"),
     ("nama_fail kekal", "nama_fail kekal"),
     ("<div class='x'>\nteks dalam\n</div>\n\nluar", "luar"),
@@ -34,6 +39,26 @@ MD = [
     ("a \\*b\\* c", "a *b* c"),
     ("\\# bukan tajuk", "# bukan tajuk"),
     ("x \\. y \\[a\\](b)", "x . y [a](b)"),
+    ("2 * 3", "2 * 3"),
+    ("a__b", "a__b"),
+    ("foo*** bar", "foo*** bar"),
+    ("***bold it*** x", "bold it x"),
+    ("**a *b* c**", "a b c"),
+    ("tahun itu\n1998. lalu", "tahun itu 1998. lalu"),
+    ("tahun itu\n1. lalu", "tahun itu lalu"),
+    ("10) x\n11) y", "x y"),
+    (" x", " x"),
+    ("```\nkod\nlagi", ""),
+    ("para\n\n    kod\n\nlagi", "para lagi"),
+    ("para\n    bukan kod", "para bukan kod"),
+    ("&copy; &#65; &#x42; &eacute; &bogus;", "© A B é &bogus;"),
+    ("- a\n\n      kod\n\n  b\n- c", "a b c"),
+    ("> > a\n> > b\n> c", "a b c"),
+    ("* * *\nx", "x"),
+    ("# x ##", "x"),
+    ("``a ` b`` c", "c"),
+    ("![a [b](c)](d) e", "e"),
+    ("[a](<b c> 'd') e", "a e"),
 ]
 
 
@@ -66,8 +91,30 @@ WIKI = [
     ("__NOTOC__ teks <math>x^2</math> akhir", "teks akhir"),
     ("a <gallery>\nFail:x.jpg|kapsyen\n</gallery> b", "a b"),
     ("teks [[en:Saluang]] [[ms-arab:x]]", "teks"),
+    ("{{a{{b{{c{{d{{e{{f{{g}}}}}}}}}}}}}} teks", "teks"),
+    ("{{" * 50 + "x" + "}}" * 50 + " teks", "teks"),
+    ("{| a {| b {| c |} |} |} teks", "teks"),
+    ("a {{tak tutup b", "a {{tak tutup b"),
+    ("a<ref>tak tutup", "a tak tutup"),
+    ("[[Imej:x.png|" + "[[a|b]] " * 50 + "]] teks", "teks"),
 ]
 
+OPENERS = [
+    "[", "![", "<!-- ", "```\n", "~~~\n", "-", "> ", "- 1. ", "* a ", "_a ", "**a __b ", "`", "`` ` ", "[a](", "[a](b \"", "<a ",
+    "<script>", "&amp", "\\", "[[Fail:", "[[", "{{", "{|", "<ref>", "== ", "='", "''", "* ", " ", "\t", "<", "</", "[http://a ",
+]
+
+
+@pytest.mark.parametrize("clean", [markup.markdown_text, markup.wikitext_clean, markup.html_text, markup.squeeze_lines])
+def test_openers_without_an_end_neither_crash_nor_stall(spark, clean):
+    """Half a megabyte of each, and rulers and captions of 100,000 characters."""
+    texts = [u * (500_000 // len(u)) for u in OPENERS]
+    texts += [c * 100_000 for c in "-=*_#>"] + ["[[Fail:x.png|" + "kapsyen " * 12_500 + "]]", "== " + " " * 100_000 + "x =="]
+    began = time.monotonic()
+    df = spark.createDataFrame([(t,) for t in texts], "raw string").repartition(4)
+    assert df.select(F.length(clean(F.col("raw"))).alias("n")).agg(F.count("n")).first()[0] == len(texts)
+    assert time.monotonic() - began < 60
+
 
 def test_wikitext_goldens(spark):
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(WIKI)], "id int, raw string")
@@ -93,3 +140,5 @@ def test_front_matter_split(spark):
 def test_squeeze_lines(spark):
     df = spark.createDataFrame([("  a  \n\n\n  b\t\n",)], "raw string")
     assert df.select(markup.squeeze_lines(F.col("raw")).alias("t")).first().t == "a\nb"
+    df = spark.createDataFrame([("  a  \r\n　\nb c\x0b",)], "raw string")
+    assert df.select(markup.squeeze_lines(F.col("raw")).alias("t")).first().t == "a\nb c"

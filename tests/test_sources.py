@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from corpusterms.operators import terms
+from corpusterms.operators import ngrams, terms
 from corpusterms.sources import files, wiki
 
 DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/" version="0.11">
@@ -78,6 +78,60 @@ def test_wiki_dump_to_documents(spark, tmp_path):
     assert {r.lower for r in ti.collect()} >= {"saluang", "asal", "muzik", "sumatra"}
 
 
+def test_dump_to_bigrams(spark, tmp_path):
+    """Heading and list marks are no tokens: they break no n-gram."""
+    p = tmp_path / "dump.xml"
+    p.write_text(DUMP.replace("{{Infobox|x=1}}Dari Sumatra.", "* satu dua\n* tiga\nteks"), encoding="utf-8")
+    grams = ngrams.ngram_rows(wiki.wiki_corpus(spark, str(p)), 2)
+    got = [r.term for r in grams.collect()]
+    assert got == ["Asal Saluang", "Saluang ialah", "ialah alat", "alat muzik", "satu dua", "dua tiga", "tiga teks"]
+
+
+def test_corrupt_pages_are_set_aside(spark, tmp_path):
+    p = tmp_path / "dump.xml"
+    p.write_text(DUMP.replace("<ns>0</ns>", "<ns>nol</ns>", 1), encoding="utf-8")
+    pages = wiki.read_wiki_pages(spark, str(p))
+    assert [r.document for r in wiki.page_documents(pages).collect()] == ["102.wiki"]
+    raw = [r.raw for r in wiki.corrupt_pages(pages).collect()]
+    assert len(raw) == 1 and "Saluang" in raw[0]
+
+
+YAML = """---
+title: Saluang
+ns: 0
+id: 10
+revision:
+- id: '101'
+  parentid: null
+  timestamp: 2024-01-01T00:00:00Z
+  contributor:
+    username: Ali
+    id: '7'
+  comment: 'betul ''ejaan'' ya'
+  model: wikitext
+  format: text/x-wiki
+  sha1: abc
+- id: '100'
+  comment: lama
+---
+== Asal ==
+teks"""
+
+
+def test_yaml_front_matter(spark, tmp_path):
+    (tmp_path / "101.wiki").write_text(YAML, encoding="utf-8")
+    (tmp_path / "x.wiki").write_text("tiada", encoding="utf-8")
+    docs = {r.document: r for r in wiki.read_wiki_files(spark, str(tmp_path)).collect()}
+    m = docs["101.wiki"].meta
+    assert (m.title, m.ns, m.id) == ("Saluang", 0, 10) and docs["101.wiki"].text == "== Asal ==\nteks"
+    r = m.revision[0]
+    assert (r.id, r.parentid, r.contributor.username, r.contributor.id, r.comment) == ("101", None, "Ali", "7", "betul 'ejaan' ya")
+    assert docs["101.wiki"].front_matter.startswith("title: Saluang")
+    assert docs["x.wiki"].meta is None and docs["x.wiki"].front_matter is None
+    clean = {r.document: r for r in wiki.clean_wiki_files(spark, str(tmp_path)).collect()}
+    assert clean["101.wiki.md"].meta.title == "Saluang" and clean["x.wiki.md"].meta is None
+
+
 def test_read_documents_folder(spark, tmp_path):
     d = tmp_path / "docs"
     d.mkdir()
