@@ -30,7 +30,7 @@ def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     ``revision.text`` is read as ``struct<_VALUE>`` so that an empty
     ``<text/>`` is NULL rather than ''.
     """
-    return (
+    pages = (
         spark.read.format("xml")
         .option("rowTag", "page")
         .option("mode", "PERMISSIVE")
@@ -38,6 +38,9 @@ def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
         .schema(StructType([*WIKI_PAGE.fields, StructField(CORRUPT, StringType(), True)]))
         .load(path)
     )
+    # A value is only checked if its column is read: this always holds and asks
+    # for every column, so that a page is corrupt for every query or for none.
+    return pages.where(F.hash(*WIKI_PAGE.fieldNames()) >= F.lit(-(2**31)))
 
 
 def _meta(pages: DataFrame) -> Column:
