@@ -5,33 +5,17 @@ from __future__ import annotations
 import os
 import sys
 import types
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..storage import scratch, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name under the shared checkpoint folder of the session."""
-    return os.path.join(checkpoint_dir(spark), f"llm-{uuid.uuid4().hex}")
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts lineage (a lost executor recomputes nothing above it) and gives the
-    following joins plain scans, so that AQE may split skewed partitions.
-    """
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker (workers are reused)."""
     name = "_corpusterms_llm_worker_cache"
@@ -42,11 +26,22 @@ def worker_cache() -> dict:
     return module.entries
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers 8 MB at a time, unless the session says otherwise.
+
+    Both the executor and the worker hold a batch; Spark's own bound is 64 MB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(8 << 20))
+
+
 def parts(spark: SparkSession, per_task: int, total: int) -> int:
     """Shuffle partitions so that each holds about ``per_task`` of ``total``."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(least, -(-int(total) // per_task))
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+def share(*cols) -> Column:
+    """A number from 0 to 1 that a row's columns decide, as good as random."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))

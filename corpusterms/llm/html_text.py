@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that the weights are fitted on, at most.
+from .common import bounded_batches, share
+
+#: Pages drawn to fit the weights on, about.
 SAMPLE = 1000
 #: How many occurrences the prior counts as, and what it says.
 PRIOR, WORD_PRIOR, TAG_PRIOR = 20.0, 0.7, 0.5
@@ -225,9 +227,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], dict[str, float]]:
     """(word weights by element, tag costs by name) from a sample of pages."""
-    marked = pages.where(F.lower("html").rlike("<(article|main)[ >]"))
-    drawn = marked.select("html", F.xxhash64("page_id", F.lit("drawn")).alias("h")).orderBy("h").limit(sample)
-    counts = drawn.select("html").mapInArrow(_counted, COUNTS).groupBy("kind", "name")
+    # Drawn by a hash of the page's number where the page lies: nothing is
+    # sorted, and only counts leave the tasks.
+    rate = min(1.0, sample / max(1, pages.count()))
+    drawn = pages.where(share("page_id", F.lit("drawn")) < rate).where(F.lower("html").rlike("<(article|main)[ >]"))
+    counts = drawn.select(F.col("html").cast("string")).mapInArrow(_counted, COUNTS).groupBy("kind", "name")
     # Names are bounded by the sample; rare ones are as the prior has them.
     rows = counts.agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).where("inside + outside >= 5")
     words, tags = {}, {}
@@ -242,6 +246,7 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float
 
 def main_text(pages: DataFrame, weights: tuple[dict[str, float], dict[str, float]] | None = None) -> DataFrame:
     """``(page_id, url, text)`` of every page."""
+    bounded_batches(pages.sparkSession)
     words, tags = weights or fit_weights(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, share
+
 UNKNOWN = "und"
 ORDER = 4
 #: Bound on the labelled rows that the models are fitted on, per language.
@@ -178,11 +180,6 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def share(*cols) -> Column:
-    """A number from 0 to 1 that a row's columns decide, as good as random."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
 def _margin(scored):
     """How far above the calibrated limit a text of this length may lie."""
     return 1.0 + 3.0 / np.sqrt(np.maximum(scored, 1))
@@ -257,6 +254,7 @@ def identify(docs: DataFrame, models: SimpleNamespace | None) -> DataFrame:
     ``lang_pred`` is the best language even where ``accepted`` is false, and
     ``und`` only without a letter (or without models).
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(_scorer(models), _scored_type(rows))
 
