@@ -43,7 +43,7 @@ LEAST = 1000
 BLANK = "\r\n\r\n"
 #: Entries of a run; entries that one merge task takes.
 RUN = 100_000
-RANGE = 500_000
+RANGE = 100_000
 
 ENTRIES = (
     "url_key string, captured timestamp, page_id long, url string, record_type string, refers_to long, "
