@@ -179,9 +179,14 @@ def test_an_unreadable_registry_is_an_error(spark, corpus, tmp_path):
         ingest.ingest_batch(spark, corpus(*DOCS), str(store))
 
 
-def test_stream_wants_a_shared_checkpoint(spark, tmp_path):
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        pytest.skip("another test has set a checkpoint folder")
+def test_stream_wants_a_shared_checkpoint(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusterms.session import shared_dir
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    bare = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    monkeypatch.setattr(ingest, "shared_dir", lambda _: shared_dir(bare))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ingest.ingest_stream(spark, _write_docs(tmp_path / "in", DOCS[:1]), str(tmp_path / "s"))
 
