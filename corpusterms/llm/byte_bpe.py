@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import bounded_batches, worker_cache
 
 #: Characters of a text that are encoded at once.
 PIECE = 65_536
@@ -109,6 +109,7 @@ def encode_column(docs: DataFrame, ranks: str, pattern: str, text: str = "text")
                 ids = [encode(enc, t.as_py()).tobytes() for t in texts[lo:hi]]
                 yield pa.RecordBatch.from_arrays([keys[lo:hi], pa.array(ids, pa.binary())], [key, "ids"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, ids binary")
 

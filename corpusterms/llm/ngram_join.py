@@ -7,7 +7,9 @@ named by a 64-bit hash together with their size).  Two sets link when
 1. Documents with the same set form a class; everything below works on
    classes, so thousands of copies cost as much as one.
 2. All shingles are ordered by (document frequency over the corpus, hash).
-   Counting runs over packed arrays, bucket by bucket.  A shingle of one
+   Counting runs over packed arrays, bucket by bucket; shingles known to be
+   very common come last in the order and skip the buckets, so that no bucket
+   gathers the sets of a shingle that is everywhere.  A shingle of one
    class alone can't be in an intersection: only the others go on, and a set's
    *prefix* (the rarest ``n - ceil(t*n) + 1``) is what is left of it then.
    Two sets that link share a shingle of both prefixes.
@@ -37,13 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, scratch, stored
+from .common import bounded_batches, parts, scratch, stored
 from .components import components
 
-#: Shingles that one task sorts at a time; words whose hashes a task keeps.
+#: Shingles of a bucket, of a chunk that is packed, and of one that is looked
+#: through for repeated ones; words whose hashes a task keeps.
 BUCKET = 2_000_000
 CHUNK = 2_000_000
+SCAN = 500_000
 WORDS_KEPT = 200_000
+#: A shingle of so many sets (or of a millionth of all shingles, if that is
+#: more) is common: its sets are not gathered in one bucket.  It is found by
+#: the chunks in which it occurs so many times.
+COMMON = 500_000
+REPEATED = 8
 #: Shared shingles of the classes that one task compares.
 BLOCK = 1_000_000
 
@@ -88,18 +97,42 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
+SETS = "doc_id long, n long, key long, token long, held long"
+
+
 def _document_sets(words: int):
+    """A row per document (size and name of its set); and rows ``(token, held)``
+    for the shingles that many distinct sets of a chunk hold."""
+
+    def rows(doc, n, key, token, held):
+        return pa.RecordBatch.from_arrays(
+            [doc, *(pa.array(x, pa.int64()) for x in (n, key, token, held))], [c.split()[0] for c in SETS.split(", ")]
+        )
+
+    def repeated(sets):
+        token, held = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        token, held = token[held >= REPEATED].view(np.int64), held[held >= REPEATED]
+        none = [None] * len(token)
+        return rows(pa.array(none, pa.int64()), none, none, token, held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _word_hashes()
+        sets, gathered = {}, 0
         for b in batches:
-            n, key = [], []
+            n, keys = [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), words, hashes)
                 n.append(len(s))
-                key.append(set_key(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n", "key"]
-            )
+                keys.append(set_key(s) if len(s) else None)
+                if len(s) and keys[-1] not in sets:
+                    sets[keys[-1]] = s
+                    gathered += len(s)
+                    if gathered >= SCAN:
+                        yield repeated(sets)
+                        sets, gathered = {}, 0
+            yield rows(b.column(0), n, keys, [None] * len(n), [None] * len(n))
+        if sets:
+            yield repeated(sets)
 
     return run
 
@@ -114,32 +147,46 @@ def _unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-PACKED = "bucket int, tokens binary, places binary, keys binary"
+PACKED = "bucket long, tokens binary, places binary, keys binary"
+
 
+def _packed_shingles(words: int, bits: int, common: np.ndarray):
+    """Shingles of the distinct sets of a chunk, packed by hash bucket.
 
-def _packed_shingles(words: int, bits: int):
-    """Shingles of the distinct sets of a chunk, packed by hash bucket."""
+    The ``common`` ones (sorted) are a bucket of the chunk's own, below zero:
+    that they are shared is known, so they need not meet those of other chunks.
+    """
 
-    def pack(sets: dict[int, np.ndarray]):
+    def pack(sets: dict[int, np.ndarray], own: int):
         keys = np.fromiter(sets, np.int64, len(sets))
         tokens = np.concatenate(list(sets.values()))
         places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets.values()])
-        order = np.argsort(tokens, kind="stable")
+        sets.clear()
+        order = np.argsort(tokens)
         tokens, places = tokens[order], places[order]
+        del order
         bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+            bucket[common[at] == tokens] = own
+            order = np.argsort(bucket, kind="stable")
+            bucket, tokens, places = bucket[order], tokens[order], places[order]
         cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             used, place = np.unique(places[lo:hi], return_inverse=True)
             yield int(bucket[lo]), _planes(tokens[lo:hi]), place.astype(np.uint16).tobytes(), keys[used].tobytes()
 
-    def batch(sets):
-        cols = list(zip(*pack(sets), strict=True))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    def batch(sets, own):
+        cols = list(zip(*pack(sets, own), strict=True))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, ["bucket", "tokens", "places", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         hashes = _word_hashes()
+        own = -1 - (TaskContext.get().partitionId() << 32)
         sets, held = {}, 0
         for b in batches:
             for t in b.column(0):
@@ -148,10 +195,10 @@ def _packed_shingles(words: int, bits: int):
                     sets[key] = s
                     held += len(s)
                     if held >= CHUNK or len(sets) == 65_536:
-                        yield batch(sets)
-                        sets, held = {}, 0
+                        yield batch(sets, own)
+                        held, own = 0, own - 1
         if sets:
-            yield batch(sets)
+            yield batch(sets, own)
 
     return run
 
@@ -173,6 +220,8 @@ def _shared_shingles(t: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
     df = np.diff(np.r_[first, len(tokens)])
     df = np.repeat(df, df)
+    if t.column("bucket")[0].as_py() < 0:  # common: behind all others in the order, whatever the count here
+        df[:] = 1 << 40
     many = df > 1
     return pa.table(
         {
@@ -279,9 +328,11 @@ def _verified(percent: int):
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)``, a row per document."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = scratch(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = stored(text.mapInArrow(_document_sets(words), "doc_id long, n long, key long"), f"{path}/sets")
+    found = stored(text.mapInArrow(_document_sets(words), SETS), f"{path}/sets")
+    sets = found.where("token is null").select("doc_id", "n", "key")
     classes = stored(
         sets.where("key is not null")
         .groupBy("key")
@@ -291,9 +342,16 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = min(24, (total // BUCKET).bit_length())
 
-    packed = text.select("text").mapInArrow(_packed_shingles(words, bits), PACKED)
+    # At most a million shingles can be common, by what they add up to.
+    common = found.where("token is not null").groupBy("token").agg(F.sum("held").alias("held"))
+    common = common.where(F.col("held") >= max(COMMON, total // 1_000_000)).select("token").collect()
+    common = np.sort(np.array([r["token"] for r in common], np.int64).view(np.uint64))
+
+    packed = text.select("text").mapInArrow(_packed_shingles(words, bits, common), PACKED)
     shared = packed.groupBy("bucket").applyInArrow(_shared_shingles, "key long, token long, df long")
+    # Rarest first.  A common shingle may come once for each chunk with the set.
     tokens = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+    tokens = F.array_distinct(tokens)
     lists = shared.groupBy("key").agg(tokens.alias("tokens")).join(classes, "key")
     # What is left of the prefix behind the shingles that no other set has.
     need = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")

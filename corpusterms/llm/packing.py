@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode, encoding
+from .common import bounded_batches
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
@@ -150,5 +151,6 @@ def pack_documents(
     docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_id: int = 0, held: int = HELD
 ) -> DataFrame:
     """A row per piece: its ids, and where it lies in which sequence."""
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return given.mapInArrow(_packer(vocabulary, pattern, size, end_id, held), PIECES)

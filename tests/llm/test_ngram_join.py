@@ -46,9 +46,15 @@ def test_awkward_rows(documents, rows):
     same(ngram_join.ngram_join(documents), brute(rows))
 
 
-@pytest.mark.parametrize("block", [1_000_000, 300])  # 300: clusters are cut into blocks
-def test_families(spark, monkeypatch, block):
+# 300: clusters are cut into blocks; common 6: shared passages skip the buckets
+@pytest.mark.parametrize("block, common", [(1_000_000, 500_000), (300, 500_000), (1_000_000, 6), (300, 6)])
+def test_families(spark, monkeypatch, block, common):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "REPEATED", 2)
+    monkeypatch.setattr(ngram_join, "CHUNK", 3000)
+    monkeypatch.setattr(ngram_join, "SCAN", 2000)
+    monkeypatch.setattr(ngram_join, "BUCKET", 3000)
     rnd = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
     passage = " ".join(rnd.choice(vocabulary) for _ in range(30))
