@@ -44,15 +44,15 @@ from .components import components
 
 #: Shingles of a bucket, of a chunk that is packed, and of one that is looked
 #: through for repeated ones; words whose hashes a task keeps.
-BUCKET = 2_000_000
-CHUNK = 2_000_000
-SCAN = 500_000
-WORDS_KEPT = 200_000
+BUCKET = 1_000_000
+CHUNK = 1_000_000
+SCAN = 250_000
+WORDS_KEPT = 100_000
 #: A shingle of so many sets (or of a millionth of all shingles, if that is
 #: more) is common: its sets are not gathered in one bucket.  It is found by
 #: the chunks in which it occurs so many times.
 COMMON = 500_000
-REPEATED = 8
+REPEATED = 4
 #: Shared shingles of the classes that one task compares.
 BLOCK = 1_000_000
 
