@@ -9,11 +9,20 @@ sidebars, notices, adverts, forms, comments, scripts: known by element, role,
 or the words of ``class`` and ``id``) is left out; it scores nothing, so an
 advert in the middle of an article does not end it.
 
+The words of ``class`` and ``id`` also occur in the names of what holds the
+article (``has-sidebar``, ``tag-advertising``).  So a box named like that is
+kept, with the boxes around it, where its own words (those in no further such
+box) are more than those of any other such box and more than twice those in
+none, and no ``article`` or ``main`` element without such a name has words; or
+where it is an ``article`` in no such box, has more words than any other such
+article and more than the articles not named like that.  Boxes inside it are
+judged by their own names.
+
 Labelled pages are those that mark their article themselves (one ``article`` or
 ``main`` element); weights are fitted on a bounded sample of them and are the
 prior's where there are none.  The marks themselves are not looked at when a
 page is extracted, but that an ``article`` inside a box named like an
-advert ends that box's exclusion.
+advert ends that box's exclusion, and as said above.
 
 Everything is linear in the page: unclosed comments, tags, scripts run to the
 end.  Defined results: null or empty html, or a page without content words,
@@ -108,19 +117,24 @@ def _left_out(name: str, source: str, in_article: bool) -> int:
     return 0
 
 
-def read_page(page: str):
-    """The page's tokens, in order: ``(kind, name, text, block, marked)``.
+def word_count(text: str) -> int:
+    return len(text.split())
 
-    kind: 0 a word run (``name``: the element around it), 1 a tag, 2 a break
-    inside a block.  What is left out yields nothing.  ``block`` numbers the
-    blocks; ``marked`` says whether an article or main element is open.
+
+def _scan(page: str, kept: frozenset[int] = frozenset(), around: dict | None = None):
+    """The page's tokens, in order: ``(kind, name, text, block, marked, box)``.
+
+    ``box``: the innermost box that is left out for its class or id, by the
+    place of its tag; 0 in none.  Boxes of ``kept`` are not left out.  What is
+    left out for what it is yields nothing.  ``around`` takes, for each such
+    box, the one around it and whether it is an article.
     """
-    stack: list[tuple[str, int, bool]] = []  # name, left out (inherited), inside an article
+    stack: list[tuple[str, int, bool, int]] = []  # name, left out (inherited), inside an article, box
     opened: Counter = Counter()
     block, at, size = 0, 0, len(page)
 
     def top():
-        return stack[-1] if stack else ("", 0, False)
+        return stack[-1] if stack else ("", 0, False, 0)
 
     def close(count: int):
         for _ in range(count):
@@ -129,9 +143,9 @@ def read_page(page: str):
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
-        name, out, inside = top()
-        if end > at and not out:
-            yield 0, name, page[at:end], block, inside
+        name, out, inside, box = top()
+        if end > at and out < 2:
+            yield 0, name, page[at:end], block, inside, box
         if not m:
             break
         at = m.end()
@@ -145,6 +159,7 @@ def read_page(page: str):
                 while stack[-up][0] != tag:
                     up += 1
                 out = stack[-up][1] and (stack[-up - 1][1] if len(stack) > up else 0)
+                box = (stack[-up][3] and stack[-up - 1][3]) if len(stack) > up else 0
                 inside = stack[-up][2]
                 close(up)
         else:
@@ -156,11 +171,17 @@ def read_page(page: str):
                         break
                     if stack[-up][0] in WALL:
                         break
-            _, out, inside = top()
+            _, out, inside, box = top()
             mine = _left_out(tag, source.strip(" /\t\r\n"), inside)
+            if mine == 1 and end + 1 in kept:
+                mine = 0
             inside = inside or (tag in ("article", "main") and mine == 0)
             if tag in ("article", "main") and mine == 0 and out == 1:
-                out = 0
+                out = box = 0
+            if mine == 1 and out < 2 and tag not in VOID:
+                if around is not None:
+                    around[end + 1] = (box, tag == "article")
+                box = end + 1
             out = max(out, mine)
             if tag in RAW and not source.endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -168,16 +189,50 @@ def read_page(page: str):
                 after = page.find(">", at)
                 at = after + 1 if stop and after >= 0 else size
             elif tag not in VOID and not source.endswith("/"):
-                stack.append((tag, out, inside))
+                stack.append((tag, out, inside, box))
                 opened[tag] += 1
         if tag in BLOCK:
             block += 1
-        if not out:
-            yield (2 if tag == "br" else 1), tag, "", block, inside
+        if out == 0 or (out == 1 and box):
+            yield (2 if tag == "br" else 1), tag, "", block, inside, box
 
 
-def word_count(text: str) -> int:
-    return len(text.split())
+def _boxes_kept(tokens: list, around: dict[int, tuple[int, bool]]) -> frozenset[int]:
+    """The boxes that hold the page's text for all their names, and those around them."""
+    own: Counter = Counter()
+    marked = 0
+    for kind, _, text, _, inside, box in tokens:
+        if kind == 0:
+            n = word_count(text)
+            own[box] += n
+            marked += n if inside and not box else 0
+    best = max(around, key=lambda b: own[b])
+    found = {best} if not marked and own[best] > 2 * own[0] else set()
+    articles = [b for b, (outer, article) in around.items() if article and not outer]
+    best = max(articles, key=lambda b: own[b], default=0)
+    if best and own[best] > marked:
+        found.add(best)
+    kept: set[int] = set()
+    for b in found:
+        while b:
+            kept.add(b)
+            b = around[b][0]
+    return frozenset(kept)
+
+
+def read_page(page: str):
+    """The page's tokens, in order: ``(kind, name, text, block, marked)``.
+
+    kind: 0 a word run (``name``: the element around it), 1 a tag, 2 a break
+    inside a block.  What is left out yields nothing.  ``block`` numbers the
+    blocks; ``marked`` says whether an article or main element is open.
+    """
+    around: dict[int, tuple[int, bool]] = {}
+    tokens = list(_scan(page, around=around))
+    kept = _boxes_kept(tokens, around) if around else None
+    for token in _scan(page, kept) if kept else tokens:
+        if not token[5]:
+            yield token[:5]
 
 
 def extract(page: str | None, words: dict[str, float], tags: dict[str, float]) -> str:

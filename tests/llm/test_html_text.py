@@ -32,6 +32,22 @@ def test_article_without_its_surroundings():
     assert H.extract(PAGE.replace("article>", "div>"), {}, {}) == WANT.replace("The évent & more\n\n", "")
 
 
+def test_names_of_what_holds_the_article():
+    paragraphs = "".join(f"<p>Paragraph {i} has some words of the article in it.</p>" for i in range(12))
+    want = "\n\n".join(f"Paragraph {i} has some words of the article in it." for i in range(12))
+    aside = "<div class=sidebar><p>Read these other things as well.</p></div>"
+    thread = "<div id=comments>" + "<div class=comment><p>I disagree entirely with this, says a reader.</p></div>" * 20 + "</div>"
+    for held in (
+        f'<article class="post category-social tag-advertising">{paragraphs}{aside}</article>',
+        f'<div class="layout has-sidebar"><div><div>{paragraphs}</div>{aside}</div></div>',
+        f'<div class="layout has-sidebar"><article class="post tag-social">{paragraphs}</article>{aside}</div>',
+        f'<div class="layout has-sidebar"><div>{paragraphs}</div>{aside}{thread}</div>',
+        f'<article class="post tag-promo">{paragraphs}</article>{thread}',
+        f"<div>{paragraphs}</div>{thread}{aside}",
+    ):
+        assert H.extract(f"<html><body>{held}<footer>&copy; us</footer></body></html>", {}, {}) == want
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<html>", "<script>x", "<!-- x", "<nav>menu", "&amp"])
 def test_nothing_to_extract(page):
     assert H.extract(page, {}, {}) == ("&" if page == "&amp" else "<" if page == "<" else "")
