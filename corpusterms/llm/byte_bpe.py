@@ -8,7 +8,8 @@ Decoding puts the raw bytes of the ids together (an id may end inside a
 character, so no text is decoded before the end).
 
 Defined results: a null text counts as empty and has no ids; strings that
-look like special tokens are ordinary text; repeated rows are encoded each;
+look like special tokens are ordinary text, unless the added tokens of a JSON
+file are given to ``encode``, which then have their own ids; repeated rows are encoded each;
 an empty table gives no rows; the ``ids`` are little-endian unsigned 32-bit
 integers in a binary column, so they cross to the JVM without a copy per id.
 """
@@ -59,6 +60,22 @@ def encoding(path: str, pattern: str):
     return cache[key]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The ids of the added tokens of a ``.json`` file, kept by the worker."""
+    cache = worker_cache()
+    key = ("added_tokens", path)
+    if key not in cache:
+        given = []
+        if path.endswith(".json"):
+            with open(path, "rb") as f:
+                given = json.load(f).get("added_tokens", ())
+        for t in given:
+            if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+                raise ValueError(f"added token {t['content']!r} takes in what stands around it")
+        cache[key] = {t["content"]: t["id"] for t in given}
+    return cache[key]
+
+
 #: Between a letter and a following space that a letter follows: a run of
 #: letters ends before the space, and the space goes with the letters behind
 #: it, whatever stands further left or right.
@@ -77,9 +94,18 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def encode(enc, text: str | None) -> np.ndarray:
-    """The ids of a whole text."""
-    found = [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(text or "") if p]
+def encode(enc, text: str | None, added: dict[str, int] | None = None) -> np.ndarray:
+    """The ids of a whole text; ``added`` tokens part it and have ids of their own."""
+    parts = [text or ""]
+    if added and any(a in parts[0] for a in added):
+        longest = sorted(added, key=len, reverse=True)
+        parts = re.split("(" + "|".join(map(re.escape, longest)) + ")", parts[0])
+    found = []
+    for i, part in enumerate(parts):
+        if i % 2:
+            found.append(np.array([added[part]], np.uint32))
+        else:
+            found += [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(part) if p]
     if not found:
         return np.empty(0, np.uint32)
     return (found[0] if len(found) == 1 else np.concatenate(found)).astype("<u4", copy=False)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import encode, encoding
+from .byte_bpe import added_tokens, encode, encoding
 from .common import bounded_batches
 
 PIECES = (
@@ -132,10 +132,11 @@ def _packer(vocabulary: str, pattern: str, size: int, end_id: int, held: int):
 
         task, first = TaskContext.get().partitionId(), 0
         enc, end = encoding(vocabulary, pattern), np.array([end_id], "<u4")
+        added = added_tokens(vocabulary)
         docs, gathered = [], 0
         for b in batches:
             for key, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.concatenate([encode(enc, text.as_py()), end])
+                ids = np.concatenate([encode(enc, text.as_py(), added), end])
                 docs.append((key.as_py(), ids))
                 gathered += len(ids)
                 if gathered >= held:

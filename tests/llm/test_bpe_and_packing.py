@@ -83,6 +83,21 @@ def test_packing_in_batches(documents, rows):
     check_packing(got.collect(), rows)
 
 
+def test_packed_ids_are_the_library_s(spark):
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark} it's", f"word{mark}word <|endoftext", f"{mark}\n\n", "plain"]
+    texts.append(("some words " * 5000 + mark) * 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = defaultdict(dict)
+    for r in packing.pack_documents(docs, path, P.PATTERN).collect():
+        found[r.doc_id][r.start] = np.frombuffer(bytes(r.ids), "<u4").tolist()
+    for d, text in enumerate(texts):
+        ids = [i for _, part in sorted(found[d].items()) for i in part]
+        assert ids == t.encode(text, add_special_tokens=False).ids + [0]
+
+
 def test_best_fit_is_tightest():
     rnd = np.random.default_rng(1)
     lengths = rnd.integers(1, 65, 400)
