@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import least_rows, scratch, stored
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: A chunk: 256 to 4096 characters, ended where a word of the text ends in
@@ -46,7 +46,9 @@ def _clash_ranks(cut: DataFrame, clashes: DataFrame) -> DataFrame:
     listed = named.groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_list(item)).alias("items"))
     recipe = F.transform("items", lambda i: F.struct(i["h"].alias("h"), i["r"].alias("r")))
     rows = cut.select("doc_id", "text_sha256")
-    return rows.join(listed.select("doc_id", "text_sha256", recipe.alias("recipe")), ["doc_id", "text_sha256"], "left").select(
+    listed = listed.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), recipe.alias("recipe"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha"))
+    return rows.join(listed, same, "left").select(
         "doc_id", "text_sha256", F.coalesce("recipe", F.array().cast("array<struct<h:bigint,r:int>>")).alias("recipe")
     )
 
@@ -104,6 +106,5 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """The rows of ``docs`` that stay, one for each text, with all their columns."""
+    return least_rows(docs, lambda rows: exact_groups(rows).select("doc_id", F.col("keep_id").alias("group")))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, parts, scratch, stored
+from .common import bounded_batches, least_rows, parts, scratch, stored
 from .components import components
 
 #: Shingles of a bucket, of a chunk that is packed, and of one that is looked
@@ -419,6 +419,9 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the least of its component."""
-    keep = ngram_join(docs, words, percent).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One row of ``docs`` for each component: that of the least ``doc_id``."""
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return ngram_join(rows, words, percent).select("doc_id", F.col("component_id").alias("group"))
+
+    return least_rows(docs, grouped)

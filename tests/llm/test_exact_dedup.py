@@ -42,3 +42,16 @@ def test_dropping_keeps_columns_and_is_native(documents, rows):
 
 def test_empty_table(documents):
     assert exact_dedup.exact_groups(documents.limit(0)).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    long = ["".join(f"{w} word{i} stands here. " for i in range(300)) for w in ("one", "two", "three")]
+    rows = [(None, long[0], "a"), (None, long[1], "b"), (None, long[1], "c"), (7, long[2], "d"), (7, "alone", "e")]
+    rows += [(3, long[2], "f"), (9, "twice", "g"), (9, "twice", "g"), (None, "twice", "h"), (None, None, "i"), (4, "", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((r.doc_id or -1, r.text, r.source) for r in exact_dedup.drop_copies(docs).collect())
+    assert {x[2] for x in got} - {"b", "c"} == {"a", "e", "f", "g", "j"} and len(got) == 6
+    for bits in (64, 3):
+        sizes = {(r.doc_id, r.text_sha256): r.group_size for r in exact_dedup.exact_groups(docs, bits).collect()}
+        sha = [hashlib.sha256(re.sub(" +", " ", t).encode()).hexdigest() for t in long]
+        assert [sizes[None, sha[0]], sizes[None, sha[1]], sizes[7, sha[2]]] == [1, 2, 2]

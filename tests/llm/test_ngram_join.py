@@ -83,3 +83,18 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
+    def text(w, n=60):
+        return " ".join(f"{w}{i}" for i in range(n))
+
+    rows = [(None, text("a"), "a"), (None, text("b"), "b"), (None, text("b", 59), "c"), (5, text("d"), "d")]
+    rows += [(5, text("e", 59), "e"), (2, text("e"), "f"), (8, text("g"), "g"), (8, text("g", 59), "h"), (8, text("g"), "g")]
+    rows += [(None, None, "i"), (1, " ", "j")]  # without shingles: alike to nothing
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = ngram_join.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    got = sorted(r.source for r in got.collect())
+    assert len(got) == 7 and {"a", "d", "f", "i", "j"} <= set(got)
+    assert len({"b", "c"} & set(got)) == 1 and len({"g", "h"} & set(got)) == 1
