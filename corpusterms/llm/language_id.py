@@ -5,6 +5,8 @@ of labelled rows.  All models share sorted arrays of n-gram hashes; beside
 each hash stands, for every language, the log probability of the n-gram's
 last character after the others (for an n-gram that a language has never
 seen, already backed off), and the log of its back-off weight as a context.
+Every label is learnt; ``TOGETHER`` languages at a time share their arrays, so
+that the models grow with the number of languages and not with its square.
 A text is scored whole: each character costs one binary search, and more only
 where its longest n-gram is unknown.  The language of the lowest
 length-normalised cross-entropy wins.
@@ -12,7 +14,9 @@ length-normalised cross-entropy wins.
 *Rejection* is calibrated on training rows the models have not been fitted
 on: per language, the highest cross-entropy that the rows of that language
 show, plus a margin that shrinks with the length of the text.  Above it, the
-text is in none of the languages.
+text is in none of the languages.  A language of too few rows to hold any back
+is fitted on all; as its models know these, its limit is the highest of the
+other languages', if that is more than its own.
 
 Defined results: a null text or one without a letter is ``und`` and rejected;
 ties go to the language that sorts first; without a labelled row everything is
@@ -31,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, share
+from .common import bounded_batches, scratch, share, stored
 
 UNKNOWN = "und"
 ORDER = 4
 #: Bound on the labelled rows that the models are fitted on, per language.
 SAMPLE = 400
-LANGUAGES = 50
+#: Languages whose models share arrays.
+TOGETHER = 50
+#: Below so many labelled rows, none is held back to calibrate.
+FEW = 40
 #: Characters of a batch scored at once.
 SLICE = 1 << 20
 
@@ -104,11 +111,13 @@ def cross_entropies(m: SimpleNamespace, text: str) -> tuple[np.ndarray, int]:
     return (-total / scored if scored else total), scored
 
 
-def fit(rows: pa.Table) -> SimpleNamespace:
+def fit(rows: pa.Table, alphabet: int | None = None) -> SimpleNamespace:
     """Interpolated Kneser-Ney from counts of n-grams by language.
 
     ``hashes[k]`` is sorted; ``logp[k]`` and ``back[k]`` have a row for each of
-    them and a column for each language.
+    them and a column for each language.  ``alphabet``: how many characters
+    all languages have, these and any others; so models fitted apart give what
+    they give when fitted together.
     """
     col = {c: np.array(rows.column(c)) for c in ("order", "gram", "context", "tail", "count")}
     for c in ("gram", "context", "tail"):
@@ -126,7 +135,7 @@ def fit(rows: pa.Table) -> SimpleNamespace:
     for k in range(2, ORDER + 1):
         ahead[k - 1] = np.searchsorted(hashes[k - 2], col["context"][of[k - 1]][found[k - 1][1]])
         tail[k - 1] = np.searchsorted(hashes[k - 2], col["tail"][of[k - 1]][found[k - 1][1]])
-    alphabet = max(size[0], 1)
+    alphabet = max(alphabet or size[0], 1)
     floor = np.full(len(languages), -np.log(alphabet + 1.0), np.float32)
     for j, lang in enumerate(languages):
         seen = []
@@ -185,30 +194,43 @@ def _margin(scored):
     return 1.0 + 3.0 / np.sqrt(np.maximum(scored, 1))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> SimpleNamespace | None:
+def train(labelled: DataFrame, sample: int = SAMPLE, together: int = TOGETHER) -> SimpleNamespace | None:
     """Models from ``labelled(doc_id, text, lang)``; None without usable rows.
 
-    About ``sample`` rows for each of the ``languages`` most frequent labels,
-    drawn by a hash of ``doc_id``: three quarters to fit, one to calibrate.
+    About ``sample`` rows for each label, drawn by a hash of ``doc_id`` and
+    text: three quarters to fit, one to calibrate, or all for both where a
+    label has few.
     """
     labelled = labelled.where("lang is not null").select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, sample / r["count"])))])
-    drawn = labelled.where(share("doc_id", F.lit("drawn")) < F.try_element_at(rate, F.col("lang")))
-    fitted = share("doc_id", F.lit("fitted")) < 0.75
-    few = max(r["count"] for r in counts) < 40  # too few to hold any back
-    grams = drawn.where(F.lit(True) if few else fitted).select("lang", "text").mapInArrow(_count_grams, GRAMS)
+    spark = labelled.sparkSession
+    kind = "lang string, rate double, few boolean"
+    given = [(r["lang"], float(min(1.0, sample / r["count"])), r["count"] < FEW) for r in counts]
+    drawn = labelled.join(F.broadcast(spark.createDataFrame(given, kind)), "lang")
+    drawn = drawn.where(share("doc_id", "text", F.lit("drawn")) < F.col("rate"))
+    fitted = share("doc_id", "text", F.lit("fitted")) < 0.75
+    grams = drawn.where(F.col("few") | fitted).select("lang", "text").mapInArrow(_count_grams, GRAMS)
     grams = grams.groupBy("lang", "order", "gram").agg(
         F.first("context").alias("context"), F.first("tail").alias("tail"), F.sum("count").alias("count")
     )
-    rows = grams.toArrow()
-    if not rows.num_rows:
+    groups = []
+    if len(counts) <= together:
+        rows = grams.toArrow()
+        groups = [fit(rows)] if rows.num_rows else []
+    else:
+        grams = stored(grams, f"{scratch(spark)}/grams")
+        alphabet = grams.where("order = 1").select("gram").distinct().count()
+        for lo in range(0, len(counts), together):
+            rows = grams.where(F.col("lang").isin([r["lang"] for r in counts[lo : lo + together]])).toArrow()
+            groups += [fit(rows, alphabet)] if rows.num_rows else []
+    if not groups:
         return None
-    models = fit(rows)
-    held = drawn if few else drawn.where(~fitted)
-    scored = held.select(F.struct("lang", "text").alias("row")).mapInArrow(_scorer(models), _scored_type(held.select(F.struct("lang", "text").alias("row"))))
+    # Labels are sorted, so the groups' languages in a row are, too.
+    models = SimpleNamespace(groups=groups, languages=[lang for g in groups for lang in g.languages], limit=None)
+    held = drawn.where(F.col("few") | ~fitted).select(F.struct("lang", "text").alias("row"))
+    scored = held.mapInArrow(_scorer(models), _scored_type(held))
     tops = (
         scored.where("row.lang = lang_pred")
         .groupBy("lang_pred")
@@ -216,8 +238,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES)
         .collect()
     )
     top = {r["lang_pred"]: r["top"] for r in tops}
-    spare = max(top.values(), default=np.inf)
-    models.limit = np.array([top.get(lang, spare) for lang in models.languages])
+    few = {lang for lang, _, is_few in given if is_few}
+    spare = max((t for lang, t in top.items() if lang not in few), default=max(top.values(), default=np.inf))
+    models.limit = np.array([max(top.get(lang, spare), spare) if lang in few else top.get(lang, spare) for lang in models.languages])
     return models
 
 
@@ -231,7 +254,8 @@ def _scorer(m: SimpleNamespace | None):
         core = letters(text)
         if m is None or not core:
             return UNKNOWN, 0.0, None, False
-        nats, scored = cross_entropies(m, core)
+        found = [cross_entropies(g, core) for g in m.groups]
+        nats, scored = np.concatenate([f[0] for f in found]), found[0][1]
         best = int(np.argmin(nats))  # the first, alphabetically, of equals
         score = 1.0 / np.exp(-(nats - nats[best]) * min(scored, 50)).sum()
         ok = m.limit is None or nats[best] <= m.limit[best] + _margin(scored)
@@ -260,9 +284,10 @@ def identify(docs: DataFrame, models: SimpleNamespace | None) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """One row in five, by ``doc_id``; none without one."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a language learnt from its labelled rows."""
-    return identify(docs, train(docs.where(~held_out()))).where("accepted").select("row.*")
+    """The rows of ``docs`` in a language learnt from its labelled rows, all of them."""
+    return identify(docs, train(docs)).where("accepted").select("row.*")

@@ -110,3 +110,33 @@ def test_pipeline_form_keeps_clean_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = L.drop_unknown(docs)
     assert kept.columns == docs.columns and kept.count() >= 0.99 * docs.count()
+
+
+def test_every_label_is_learnt(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(60):  # each language has letters of its own, the last one a single row
+        letters = [chr(0x4E00 + 12 * i + j) for j in range(12)]
+        for _ in range(60 if i == 0 else 2 if i < 59 else 1):
+            rows.append((len(rows), " ".join("".join(rnd.choices(letters, k=4)) for _ in range(40)), f"l{i:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    models = L.train(docs)
+    assert models.languages == sorted({r[2] for r in rows})
+    got = L.identify(docs, models).select("row.*", "lang_pred", "accepted").collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred and r.accepted for r in got)
+    assert L.drop_unknown(docs).count() == len(rows)
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert L.drop_unknown(nulls).count() == len(rows)
+
+
+def test_languages_fitted_apart_are_as_fitted_together(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.limit(40).select("doc_id", "text")
+    a, b = [
+        sorted((r.row.doc_id, r.lang_pred, r.score, r.cross_entropy) for r in L.identify(some, L.train(docs, together=n)).collect())
+        for n in (50, 1)
+    ]
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert np.allclose([x[2:] for x in a], [x[2:] for x in b], rtol=1e-4)
