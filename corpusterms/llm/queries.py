@@ -103,7 +103,7 @@ def op10_winnowing(spark, sf_dir):
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *[winnowing.winnow(F.col(c)).alias(c) for c in ("text", "edited", "next_text")],
+        *[winnowing.winnow(F.col(c), cut=winnowing.aligned).alias(c) for c in ("text", "edited", "next_text")],
     )
     return prints.select(
         "doc_id",

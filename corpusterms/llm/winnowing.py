@@ -1,7 +1,10 @@
 """Document fingerprints by winnowing (native).
 
 A text is read as units: runs of up to four characters other than white
-space, in lower case, counted from the start of each word.  Every ``k`` units
+space, in lower case, counted from the start of each word; single
+characters (``aligned``, which the query takes) in scripts without spaces and
+in words of more than ``LONG`` characters, so that shared text there is found
+wherever it begins.  Every ``k`` units
 in a row have a hash; of every ``w`` hashes in a row the least is taken, the
 rightmost of equals.  The fingerprint is the chosen (position, hash) pairs.
 Guarantee: whatever shares ``w + k - 1`` units in a row shares a fingerprint
@@ -25,14 +28,36 @@ from pyspark.sql import functions as F
 from .common import scratch, stored
 
 UNIT = r"[^\x20\x09-\x0D]{1,4}"
+#: Letters of scripts that are written without spaces.
+SPACELESS = "".join(rf"\p{{Is{s}}}" for s in "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split())
+#: A word (without such letters) longer than this is read by character.
+LONG = 64
 K, W = 4, 8
 #: The place takes the lower bits, the hash the ones above (63 in all).
 PLACE = 2**31
 
 
-def winnow(text: Column, k: int = K, w: int = W) -> Column:
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def blocks(text: Column) -> Column:
+    """Units of up to four characters everywhere."""
+    return _all(text, UNIT)
+
+
+def aligned(text: Column) -> Column:
+    """Units of one character in scripts without spaces and in long words, else blocks."""
+    other = rf"[^\x20\x09-\x0D{SPACELESS}]"
+    words = _all(text, f"[{SPACELESS}]|{other}+")
+    mixed = F.transform(words, lambda x: F.when(F.length(x) > LONG, _all(x, "(?s).")).otherwise(_all(x, "(?s).{1,4}")))
+    long_words = text.rlike(f"{other}{{{LONG + 1}}}")
+    return F.when(long_words, F.flatten(mixed)).otherwise(_all(text, f"[{SPACELESS}]|{other}{{1,4}}"))
+
+
+def winnow(text: Column, k: int = K, w: int = W, cut=blocks) -> Column:
     """The fingerprint as an array of packed (hash, place), by place."""
-    units = F.transform(F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
+    units = F.transform(cut(F.lower(text)), lambda u: F.xxhash64(u))
 
     def packed(h: Column, i: Column) -> Column:
         return F.shiftrightunsigned(h, 32) * PLACE + (PLACE - 1 - i)

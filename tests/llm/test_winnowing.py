@@ -95,3 +95,17 @@ def test_shared_passage_is_found(spark):
     passage = " ".join(f"word{i}" for i in range(30))
     df = spark.createDataFrame([("xx yy " + passage, passage + " zz qq ww")], "a string, b string")
     assert df.select(winnowing.likeness(winnowing.winnow(F.col("a")), winnowing.winnow(F.col("b"))).alias("j")).first().j > 0.5
+
+
+def test_shared_text_is_found_at_every_alignment(spark):
+    import random
+
+    rnd = random.Random(2)
+    han = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(500))
+    thai = "".join(chr(rnd.randrange(0x0E01, 0x0E2E)) for _ in range(500))
+    token = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=500))
+    rows = [(front[:s] + t, t) for t, front in ((han, han[::-1]), (thai, thai[::-1]), (token, token[::-1])) for s in range(9)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    a, b = (winnowing.winnow(F.col(c), cut=winnowing.aligned) for c in "ab")
+    got = [r.j for r in df.select(winnowing.likeness(a, b).alias("j")).collect()]
+    assert len(got) == 27 and min(got) > 0.9
