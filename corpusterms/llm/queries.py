@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, html_text, language_id, ngram_join, packing, sharding, warc, winnowing
+from . import best_fit, byte_bpe, chat_format, exact_dedup, html_text, language_id, ngram_join, packing, sharding, warc, winnowing
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,16 @@ def op3_html_text(spark, sf_dir):
 
 
 QUERIES["op3_html_text"] = op3_html_text
+
+
+def op12_best_fit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = best_fit.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Digests before the pieces are placed: the ids themselves need not move.
+    digests = pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "task", "rank"
+    )
+    return best_fit.place(digests, counted=pieces)
+
+
+QUERIES["op12_best_fit"] = op12_best_fit
