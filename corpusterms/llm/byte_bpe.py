@@ -94,6 +94,25 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+#: White space of the split patterns, more of it in a row than their look-ahead
+#: is trusted with: the run is a match but for its last character, which goes
+#: with what follows (at the end of a text the run is whole).
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+
+
+def _encoded(enc, text: str) -> Iterator[np.ndarray]:
+    at = 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        for p in pieces(text[at : run.start()]):
+            yield enc.encode_to_numpy(p, disallowed_special=())
+        # One match, and so one piece of the merges: the library's call for that.
+        yield np.array(enc._encode_single_piece(text[run.start() : end]), np.uint32)
+        at = end
+    for p in pieces(text[at:] if at else text):
+        yield enc.encode_to_numpy(p, disallowed_special=())
+
+
 def encode(enc, text: str | None, added: dict[str, int] | None = None) -> np.ndarray:
     """The ids of a whole text; ``added`` tokens part it and have ids of their own."""
     parts = [text or ""]
@@ -105,7 +124,7 @@ def encode(enc, text: str | None, added: dict[str, int] | None = None) -> np.nda
         if i % 2:
             found.append(np.array([added[part]], np.uint32))
         else:
-            found += [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(part) if p]
+            found += _encoded(enc, part)
     if not found:
         return np.empty(0, np.uint32)
     return (found[0] if len(found) == 1 else np.concatenate(found)).astype("<u4", copy=False)

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,28 @@ def test_safe_boundaries(text):
     assert [i for p in cut for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("path", [MULTI, P.path("byte_bpe_50k.json")])
+@pytest.mark.parametrize("space", [" ", "\n", "\u00a0", " \n\t", "\u3000\r\n"])
+@pytest.mark.parametrize("behind", ["", "x", "x y", " 1", "!", "'s", "\x1c"])
+def test_white_space_runs_of_every_kind(path, space, behind):
+    enc = byte_bpe.encoding(path, P.PATTERN)
+    for many in (999, 1000, 1001, 5000):
+        for front in ("", "a", "\x1f", "漢"):
+            text = front + space * many + behind + space * many
+            assert byte_bpe.encode(enc, text).tolist() == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("behind", ["", "word", "\nword"])
+@pytest.mark.parametrize("space", [" ", "\n"])
+def test_white_space_by_the_million(space, behind):
+    text = space * 3_000_000 + behind
+    path = P.path("byte_bpe_50k.json")
+    ids = byte_bpe.encode(byte_bpe.encoding(path, P.PATTERN), text)
+    assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    multi = byte_bpe.encoding(MULTI, P.PATTERN)
+    assert multi.decode(byte_bpe.encode(multi, text).tolist()) == text
+
+
 def test_json_and_special_strings():
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
