@@ -1,12 +1,13 @@
 """Document fingerprints by winnowing (native).
 
-A text is read as units: runs of up to four characters other than white
-space, in lower case, counted from the start of each word; single
-characters (``aligned``, which the query takes) in scripts without spaces and
-in words of more than ``LONG`` characters, so that shared text there is found
-wherever it begins.  Every ``k`` units
-in a row have a hash; of every ``w`` hashes in a row the least is taken, the
-rightmost of equals.  The fingerprint is the chosen (position, hash) pairs.
+A text is read in lower case as units: pieces of words of up to six characters
+that end behind a cut letter (the rest of a word is a unit, too), and single
+characters in scripts without spaces.  Units are parted by what stands there,
+not by counting from a start, so shared text has the same units wherever it
+begins, from its first cut letter or word on; only a run without white space
+and cut letters is read in blocks from its start.  Every ``k`` units in a row
+have a hash; of every ``w`` hashes in a row the least is taken, the rightmost
+of equals.  The fingerprint is the chosen (position, hash) pairs.
 Guarantee: whatever shares ``w + k - 1`` units in a row shares a fingerprint
 hash, and nothing shorter than ``k`` units ever matches.
 
@@ -25,39 +26,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
-
-UNIT = r"[^\x20\x09-\x0D]{1,4}"
-#: Letters of scripts that are written without spaces.
-SPACELESS = "".join(rf"\p{{Is{s}}}" for s in "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split())
-#: A word (without such letters) longer than this is read by character.
-LONG = 64
+#: Scripts that are written without spaces: Thai, Lao; Tibetan; Myanmar; Khmer;
+#: kana; Han.
+SPACELESS = (
+    r"\u0E00-\u0EFF\u0F00-\u0FFF\u1000-\u109F\u1780-\u17FF"
+    r"\u3041-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+)
+#: Letters and digits that end a unit, a few of each script (about one in ten).
+CUTS = "ts37" "\u0442\u0441" "\u03c4\u03c3" "\u05ea\u05e9" "\u062a\u0644" "\u0924\u0938"
+_INNER = rf"[^\x20\x09-\x0D{CUTS}{SPACELESS}]"
+UNIT = rf"{_INNER}{{1,5}}+[{CUTS}]?|[{CUTS}{SPACELESS}]"
 K, W = 4, 8
 #: The place takes the lower bits, the hash the ones above (63 in all).
 PLACE = 2**31
+#: Ranges that rows are dealt into at most: the bounds of all go to every task.
+RANGES = 1 << 16
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-
-def blocks(text: Column) -> Column:
-    """Units of up to four characters everywhere."""
-    return _all(text, UNIT)
-
+def units(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
-def aligned(text: Column) -> Column:
-    """Units of one character in scripts without spaces and in long words, else blocks."""
-    other = rf"[^\x20\x09-\x0D{SPACELESS}]"
-    words = _all(text, f"[{SPACELESS}]|{other}+")
-    mixed = F.transform(words, lambda x: F.when(F.length(x) > LONG, _all(x, "(?s).")).otherwise(_all(x, "(?s).{1,4}")))
-    long_words = text.rlike(f"{other}{{{LONG + 1}}}")
-    return F.when(long_words, F.flatten(mixed)).otherwise(_all(text, f"[{SPACELESS}]|{other}{{1,4}}"))
 
-
-def winnow(text: Column, k: int = K, w: int = W, cut=blocks) -> Column:
+def winnow(text: Column, k: int = K, w: int = W) -> Column:
     """The fingerprint as an array of packed (hash, place), by place."""
-    units = F.transform(cut(F.lower(text)), lambda u: F.xxhash64(u))
+    found = F.transform(units(F.lower(text)), lambda u: F.xxhash64(u))
 
     def packed(h: Column, i: Column) -> Column:
         return F.shiftrightunsigned(h, 32) * PLACE + (PLACE - 1 - i)
@@ -75,7 +67,7 @@ def winnow(text: Column, k: int = K, w: int = W, cut=blocks) -> Column:
         many = F.transform(F.sequence(F.lit(0), last), lambda i: F.least(*[F.get(g, i + j) for j in range(w)]))
         return F.when(F.size(g) == 0, g).when(last < 0, F.array(F.array_min(g))).otherwise(F.array_distinct(many))
 
-    return _let(_let(units, grams), minima)
+    return _let(_let(found, grams), minima)
 
 
 def _let(value: Column, then) -> Column:
@@ -108,38 +100,73 @@ def likeness(a: Column, b: Column) -> Column:
     return _let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), of)
 
 
+def _numbers(values) -> Column:
+    """An array of longs from one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def with_next(docs: DataFrame, rows_per_range: int = 2000) -> DataFrame:
-    """``(doc_id, text, next_text)``: the next row by descending ``doc_id``.
+    """``docs`` with ``next_row``: the row that follows by descending ``doc_id``.
 
     After the last row comes the first again; rows of one ``doc_id`` are
     ordered by a hash of their text, a null ``doc_id`` comes last.  Rows are
-    dealt into ranges of ``doc_id`` (a few thousand rows each).  The window of
-    a range sees, besides its own rows, the first row of the range that
-    follows, so every text moves once and none to a common task.
+    dealt into ranges of (``doc_id``, hash) that measured quantiles bound, so
+    neither ids far apart nor one id in very many rows make a large range.  The
+    window of a range sees, besides its own rows, the first row of the range
+    that follows: every row moves once.  Rows alike in both are one text, so
+    where they would fill ranges they are spread, each followed by its like.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    order = [F.col("doc_id").isNull().cast("long"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), F.xxhash64("text")]
+    names = ["null_id", "falling", "hash"]
+    keys = docs.select(*[c.cast("long").alias(n) for c, n in zip(order, names, strict=True)])
+    total = docs.count()
+    count = max(1, min(RANGES, total // rows_per_range))
+    least = keys.repartitionByRange(count, *names).groupBy(F.spark_partition_id().alias("range"))
+    bounds = sorted(tuple(r.key) for r in least.agg(F.min(F.struct(*names)).alias("key")).collect())
+    if not bounds:
+        bounds = [(0, 0, 0)]
+    crowd = 4 * max(rows_per_range, total // RANGES)
+    heavy = keys.groupBy(*names).count().where(F.col("count") > crowd).collect()  # less than RANGES of them
+
+    arrays = [_numbers(b[i] for b in bounds) for i in range(3)]
+    key = F.struct(*[c.cast("long") for c in order])
+
+    def bound(i: Column) -> Column:
+        return F.struct(*[F.get(a, i) for a in arrays])
+
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    found = F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda i, step: F.when((i + step < len(bounds)) & (bound(i + step) <= key), i + step).otherwise(i),
     )
-    span = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    low, high = span[0] or 0, span[1] or 0
-    width = max(1, (high - low + 1) // max(1, span[2] // rows_per_range))
-    rows = rows.withColumn("range", F.coalesce(F.expr(f"(doc_id - {low}L) div {width}L"), F.lit(-1)))
-    # The first row of each range that has rows, and the range before it: one
-    # row a range, in order of the ranges; the last range is followed by the first.
-    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"))
-    heads = heads.select("range", "head", F.lead("range").over(Window.orderBy("range")).alias("into"))
-    heads = stored(heads, f"{scratch(docs.sparkSession)}/heads")
-    least = heads.agg(F.min("range")).first()[0]
-    heads = heads.select("range", "head", F.coalesce("into", F.lit(least)).alias("into"))
-    same = (rows["range"] == heads["range"]) & rows["doc_id"].eqNullSafe(heads["head"])
-    handed = rows.join(heads, same).select("doc_id", "text", F.col("into").alias("range"), F.lit(1).alias("handed"))
-    both = rows.select("doc_id", "text", "range", F.lit(0).alias("handed")).union(handed)
-    order = Window.partitionBy("range").orderBy("handed", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    return both.withColumn("next_text", F.lead("text").over(order)).where("handed = 0").drop("handed", "range")
+    spread = F.lit(0)
+    for r in heavy:
+        like = key == F.struct(*[F.lit(r[n]).cast("long") for n in names])
+        spread = F.when(like, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-r["count"] // crowd))).cast("int")).otherwise(spread)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    dealt = docs.select(row.alias("row"), key.alias("key"), found.alias("range"), spread.alias("spread"))
+    own = F.struct("range", F.lit(0).alias("handed"))
+    before = F.struct(F.pmod(F.col("range") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("handed"))
+    first = (F.col("key") == bound(F.col("range"))) & (F.col("spread") == 0)
+    places = F.when(first, F.array(own, before)).otherwise(F.array(own))
+    dealt = dealt.select("row", "key", "spread", F.inline(places))
+    ordered = Window.partitionBy("range", "spread").orderBy("handed", "key")
+    dealt = dealt.withColumn("next_row", F.lead("row").over(ordered)).where("handed = 0")
+    return dealt.select("row.*", F.coalesce("next_row", "row").alias("next_row"))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """``with_next`` and ``edited``: the last half replaced by the next's first."""
-    half = F.expr("length(text) div 2").cast("int")
-    edited = F.concat(F.expr("left(text, length(text) - cast(length(text) div 2 as int))"), F.left("next_text", half))
-    return with_next(docs).withColumn("edited", edited)
+    """``(doc_id, text, mark, edited, next_mark)``: marks are fingerprints.
+
+    ``edited`` is the text with its last half replaced by the first half of
+    the next row's.  Each text's fingerprint is made once and goes along.
+    """
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    both = with_next(rows.withColumn("mark", winnow(F.col("text"))))
+    half = F.expr("cast(length(text) div 2 as int)")
+    kept = F.expr("left(text, length(text) - cast(length(text) div 2 as int))")
+    edited = F.concat(kept, F.left(F.col("next_row.text"), half))
+    return both.select("doc_id", "text", "mark", edited.alias("edited"), F.col("next_row.mark").alias("next_mark"))

@@ -1,5 +1,5 @@
 import hashlib
-import re
+import random
 import struct
 
 import xxhash
@@ -22,8 +22,28 @@ def _hash_longs(values):
     return seed
 
 
+def cut(text):
+    """Units, character by character."""
+    single = [(0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x31F0, 0x31FF)]
+    single += [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+    out, now = [], ""
+    for c in text + " ":
+        alone = any(a <= ord(c) <= b for a, b in single)
+        if now and (alone or c in " \t\n\v\f\r" or (len(now) == 5 and c not in winnowing.CUTS)):
+            out.append(now)
+            now = ""
+        if alone:
+            out.append(c)
+        elif c in winnowing.CUTS:
+            out.append(now + c)
+            now = ""
+        elif c not in " \t\n\v\f\r":
+            now += c
+    return out
+
+
 def brute(text, k=winnowing.K, w=winnowing.W):
-    units = [_signed(xxhash.xxh64(u.encode(), seed=42).intdigest()) for u in re.findall(r"[^\x20\x09-\x0D]{1,4}", text.lower())]
+    units = [_signed(xxhash.xxh64(u.encode(), seed=42).intdigest()) for u in cut(text.lower())]
     if not units:
         return []
     grams = [_hash_longs(units[i : i + k]) >> 32 for i in range(max(1, len(units) - k + 1))]
@@ -69,20 +89,38 @@ def test_awkward_rows(documents, rows):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def following(pairs):
+    """(doc_id, text, the next one's text) as a bag."""
+    return sorted(((r.doc_id, r.text, r.next_row.text) for r in pairs), key=repr)
+
+
+def by_definition(rows):
+    def key(r):
+        h = _signed(xxhash.xxh64(r[1].encode(), seed=42).intdigest())
+        return (r[0] is None, -(r[0] or 0), h)
+
+    order = sorted(rows, key=key)
+    return sorted(((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)), key=repr)
+
+
 def test_next_goes_round_over_ranges(documents, rows):
+    given = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    want = by_definition([(d, t or "") for d, t in rows])
     for size in (1, 4, 1000):
-        pairs = winnowing.with_next(documents, rows_per_range=size).collect()
-        assert sorted((r.doc_id, r.text) for r in pairs) == sorted((d, t or "") for d, t in rows)
-        order = sorted({d for d, _ in rows}, reverse=True)
-        texts = dict(rows)
-        for r in pairs:
-            i = order.index(r.doc_id)
-            # the repeated row follows its twin
-            after = {texts[order[(i + 1) % len(order)]] or ""} | ({r.text} if r.doc_id == 6 else set())
-            assert r.next_text in after
+        assert following(winnowing.with_next(given, rows_per_range=size).collect()) == want
     assert winnowing.with_edits(documents.limit(0)).collect() == []
 
 
+def test_any_ids(spark):
+    ends = [(-(2**63), "a"), (5, "b"), (2**63 - 1, "c"), (None, "d"), (0, "e")]
+    outlier = [(i, f"t{i}") for i in range(300)] + [(2**62, "far")]
+    hot = [(7, f"t{i % 50}") for i in range(200)] + [(None, "same")] * 200 + [(i, "") for i in range(100)]
+    for case in (ends, outlier, hot, hot[200:]):
+        df = spark.createDataFrame(case, "doc_id long, text string").repartition(3)
+        for size in (1, 20, 1000):
+            assert following(winnowing.with_next(df, rows_per_range=size).collect()) == by_definition(case)
+
+
 def test_one_row_is_its_own_next(spark):
     one = spark.createDataFrame([(5, "abcdef"), (None, None)], "doc_id long, text string")
     got = {r.doc_id: r.edited for r in winnowing.with_edits(one).collect()}
@@ -98,14 +136,31 @@ def test_shared_passage_is_found(spark):
 
 
 def test_shared_text_is_found_at_every_alignment(spark):
-    import random
-
     rnd = random.Random(2)
     han = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(500))
     thai = "".join(chr(rnd.randrange(0x0E01, 0x0E2E)) for _ in range(500))
-    token = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=500))
-    rows = [(front[:s] + t, t) for t, front in ((han, han[::-1]), (thai, thai[::-1]), (token, token[::-1])) for s in range(9)]
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rnd.choices(x, k=500)) for x in (letters, letters.upper(), "0123456789abcdef", "0123456789")]
+    cyrillic = "".join(chr(rnd.randrange(0x430, 0x450)) for _ in range(500))
+    rows = [(t[::-1][:s] + t, t) for t in (han, thai, cyrillic, *tokens) for s in range(9)]
     df = spark.createDataFrame(rows, "a string, b string")
-    a, b = (winnowing.winnow(F.col(c), cut=winnowing.aligned) for c in "ab")
+    a, b = (winnowing.winnow(F.col(c)) for c in "ab")
     got = [r.j for r in df.select(winnowing.likeness(a, b).alias("j")).collect()]
-    assert len(got) == 27 and min(got) > 0.9
+    assert len(got) == 63 and min(got) > 0.8
+
+
+def test_a_character_more_changes_little_whatever_the_length(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (60, 64, 65, 66, 200)]
+    df = spark.createDataFrame([(" ".join(words), " ".join("x" + w for w in words))], "a string, b string")
+    a, b = (winnowing.winnow(F.col(c)) for c in "ab")
+    assert df.select(winnowing.likeness(a, b).alias("j")).first().j > 0.5
+
+
+def test_units_by_definition(spark):
+    rnd = random.Random(4)
+    signs = "abst37.é漢\u0e01\u0442ж \t\n\u00a0\U00020001\U0001f642"
+    texts = ["".join(rnd.choices(signs, k=rnd.randrange(60))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", winnowing.units(F.col("t")).alias("u")).collect():
+        assert r.u == cut(r.t)
