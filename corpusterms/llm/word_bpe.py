@@ -8,6 +8,7 @@ one after another, and a run that comes again is looked up instead of encoded.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import numpy as np
 from .common import worker_cache
 
 #: Runs kept by a worker (they are forgotten together), and the longest one kept.
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 600_000, 64
 #: Bytes of a text that are split at once.
 SLICE = 1 << 20
 
@@ -27,29 +28,26 @@ class Words:
     """The ids of runs of characters between white space."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker a core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def _learn(self, runs: list[bytes]) -> dict[bytes, list[int]]:
-        # Run by run: a batch would start the library's own threads in every worker.
-        got = {r: self.library.encode(r.decode(), add_special_tokens=False).ids for r in set(runs)}
-        if len(self.known) + len(got) > KEPT:
-            self.known.clear()
-        self.known.update((r, i) for r, i in got.items() if len(r) <= LONGEST)
-        return got
-
-    def ids(self, runs: list[bytes]) -> list[int]:
-        known = self.known
-        missing = [r for r in runs if r not in known]
+        self.known: dict[bytes, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+
+    def ids(self, runs: list[bytes]) -> np.ndarray:
+        missing = set(runs).difference(self.known)
+        if len(self.known) + len(missing) > KEPT:
+            self.known = {}
+            missing = set(runs)
         if missing:
-            kept = dict(known) if len(known) + len(missing) > KEPT else known
-            known = {**kept, **self._learn(missing)}
-        out: list[int] = []
-        for r in runs:
-            out += known[r]
-        return out
+            some = list(missing)
+            got = self.library.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
+            self.known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(some, got, strict=True))
+        found = np.frombuffer(b"".join(map(self.known.__getitem__, runs)), "<u4")
+        for r in missing:
+            if len(r) > LONGEST:
+                del self.known[r]
+        return found
 
 
 def words(path: str) -> Words:
@@ -75,5 +73,5 @@ def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
 
 def encode(table: Words, text: bytes) -> np.ndarray:
     """The ids of a whole text in UTF-8."""
-    found = [np.array(table.ids(part.split()), "<u4") for part in slices(text)]
+    found = [table.ids(part.split()) for part in slices(text)]
     return found[0] if len(found) == 1 else np.concatenate(found)
