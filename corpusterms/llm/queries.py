@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, chat_format, exact_dedup, html_text, language_id, ngram_join, packing, sharding, warc, winnowing
+from . import best_fit, byte_bpe, chat_format, exact_dedup, html_text, language_id, ngram_join, packing, phrases, sharding, spelling, warc, winnowing
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,21 +98,15 @@ QUERIES["op2_sharding"] = op2_sharding
 
 def op10_winnowing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = winnowing.with_edits(docs)
-    prints = both.select(
+    prints = winnowing.with_edits(docs).withColumn("edited_mark", winnowing.winnow(F.col("edited")))
+    return prints.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *[winnowing.winnow(F.col(c), cut=winnowing.aligned).alias(c) for c in ("text", "edited", "next_text")],
-    )
-    return prints.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        winnowing.spelled(F.col("text")).alias("fingerprint"),
-        winnowing.spelled(F.col("edited")).alias("edited_fingerprint"),
-        winnowing.likeness(F.col("text"), F.col("edited")).alias("near_edited"),
-        winnowing.likeness(F.col("text"), F.col("next_text")).alias("near_next"),
+        winnowing.spelled(F.col("mark")).alias("fingerprint"),
+        winnowing.spelled(F.col("edited_mark")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"),
+        winnowing.likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
     )
 
 
@@ -190,3 +184,62 @@ def op12_best_fit(spark, sf_dir):
 
 
 QUERIES["op12_best_fit"] = op12_best_fit
+
+
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES["op13_phrases"] = op13_phrases
+ORACLE["op13_phrases"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d
+), words AS (
+  SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(w) AS w FROM p) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM words GROUP BY lang
+), two AS (
+  SELECT lang, g[1] AS w1, g[2] AS w2, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS g FROM p) GROUP BY ALL
+), three AS (
+  SELECT lang, g[1] AS w1, g[2] AS w2, g[3] AS w3, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM p) GROUP BY ALL
+), long AS (
+  SELECT t.lang, t.w1, t.w2, t.w3, t.f AS a, a.f AS l1, b.f AS r1, c.f AS l2, e.f AS r2,
+    (1000000::HUGEINT * t.f * t.f) // (a.f::HUGEINT * b.f) AS s1, (1000000::HUGEINT * t.f * t.f) // (c.f::HUGEINT * e.f) AS s2
+  FROM three t
+  JOIN words a ON a.lang = t.lang AND a.w = t.w1
+  JOIN two b ON b.lang = t.lang AND b.w1 = t.w2 AND b.w2 = t.w3
+  JOIN two c ON c.lang = t.lang AND c.w1 = t.w1 AND c.w2 = t.w2
+  JOIN words e ON e.lang = t.lang AND e.w = t.w3
+  WHERE t.f >= 10
+), held AS (
+  SELECT lang, w1, w2, max(a) AS a
+  FROM (SELECT lang, w1, w2, a FROM long UNION ALL SELECT lang, w2, w3, a FROM long) GROUP BY ALL
+), scored AS (
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3 AS phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END AS l,
+    CASE WHEN s1 <= s2 THEN r1 ELSE r2 END AS r, least(s1, s2) AS score FROM long
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2, t.f, a.f, b.f, (1000000::HUGEINT * t.f * t.f) // (a.f::HUGEINT * b.f)
+  FROM two t
+  JOIN words a ON a.lang = t.lang AND a.w = t.w1
+  JOIN words b ON b.lang = t.lang AND b.w = t.w2
+  LEFT JOIN held h ON h.lang = t.lang AND h.w1 = t.w1 AND h.w2 = t.w2
+  WHERE t.f >= 10 AND (h.a IS NULL OR 100 * h.a < 50 * t.f)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank FROM scored
+)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op11_spelling"] = op11_spelling
