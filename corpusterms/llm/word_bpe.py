@@ -1,13 +1,17 @@
 """Ids of a word-level BPE by the ``tokenizers`` library, one cached word at a time.
 
-Vocabularies of this kind (lower case, white space dropped, word ends marked)
-never let a token, a composed character or an added token reach across ASCII
-white space.  A text's ids are therefore those of its runs between white space,
-one after another, and a run that comes again is looked up instead of encoded.
+Vocabularies of this kind lower the case, drop white space and part what is
+left into words by a pattern; a token, a composed character or an added token
+never reaches across ASCII white space.  For a text's Latin-1 letters, digits
+and ASCII signs the words are found here, by the same pattern, and each new
+word goes to the library's BPE model once.  A run between white space with
+any other character goes to the library whole, and so does a text that may
+hold an added token, or every text of a file with other rules.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -16,38 +20,86 @@ import numpy as np
 
 from .common import worker_cache
 
-#: Runs kept by a worker (they are forgotten together), and the longest one kept.
-KEPT, LONGEST = 600_000, 64
+#: Words kept by a worker (they are forgotten together), and the longest one kept.
+KEPT, LONGEST = 300_000, 48
 #: Bytes of a text that are split at once.
 SLICE = 1 << 20
 
+# --- fixed values (the file's rules that the patterns below stand for) --------
+NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# -----------------------------------------------------------------------------
+
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+# In UTF-8: a Latin-1 letter beyond ASCII; a character that is known here.
+_LETTER = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_KNOWN = rb"(?:[^\x80-\xff \t-\r]|" + _LETTER + rb")"
+#: A run with another character, whole; else the words by the split pattern.
+_WORD = re.compile(
+    rb"(?<![^ \t-\r])" + _KNOWN + rb"*+[\x80-\xff][^ \t-\r]*+"
+    rb"|'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|" + _LETTER + rb")+|[0-9]|[^a-z0-9\x80-\xff \t-\r]+"
+)
+_SIMPLE = re.compile(_KNOWN + rb"*")
+
+
+def _spelled() -> str:
+    """The characters that byte-level vocabularies write bytes as, by byte.
+
+    The printable Latin-1 ones are written as themselves, the others as the
+    characters from U+0100 on, in order.
+    """
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    hidden = iter(range(256))
+    return "".join(chr(b) if b in shown else chr(256 + next(hidden)) for b in range(256))
 
 
 class Words:
-    """The ids of runs of characters between white space."""
+    """The ids of the words of texts, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker a core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}  # ids as little-endian unsigned 32-bit integers
-
-    def ids(self, runs: list[bytes]) -> np.ndarray:
-        missing = set(runs).difference(self.known)
+        self.model = self.library.model
+        self.spelled = _spelled()
+        with open(path, "rb") as f:  # installed on every worker, like the library
+            spec = json.load(f)
+        splits = [p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", ())]
+        self.ruled = spec["normalizer"].get("normalizers") == NORMALIZERS and splits == [SPLIT, None]
+        self.added = [t["content"].encode().lower() for t in spec.get("added_tokens", ())]
+        self.known: dict[bytes, bytes] = {}
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learnt(self, word: bytes) -> bytes:
+        if not _SIMPLE.fullmatch(word):
+            return self._whole(word)
+        written = word.decode().lower().encode().decode("latin-1").translate(self.spelled)
+        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+
+    def ids(self, text: bytes) -> np.ndarray:
+        """The ids of a text (or of a part of one between white space)."""
+        lowered = text.lower()
+        if not self.ruled or any(a in lowered for a in self.added):
+            return np.frombuffer(self._whole(text), "<u4")
+        some = _WORD.findall(lowered)
+        missing = set(some).difference(self.known)
         if len(self.known) + len(missing) > KEPT:
             self.known = {}
-            missing = set(runs)
-        if missing:
-            some = list(missing)
-            got = self.library.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
-            self.known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(some, got, strict=True))
-        found = np.frombuffer(b"".join(map(self.known.__getitem__, runs)), "<u4")
-        for r in missing:
-            if len(r) > LONGEST:
-                del self.known[r]
-        return found
+            missing = set(some)
+        for w in missing:
+            self.known[w] = self._learnt(w)
+        found = b"".join(map(self.known.__getitem__, some))
+        for w in missing:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return np.frombuffer(found, "<u4")
 
 
 def words(path: str) -> Words:
@@ -73,5 +125,5 @@ def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
 
 def encode(table: Words, text: bytes) -> np.ndarray:
     """The ids of a whole text in UTF-8."""
-    found = [table.ids(part.split()) for part in slices(text)]
+    found = [table.ids(part) for part in slices(text)]
     return found[0] if len(found) == 1 else np.concatenate(found)

@@ -1,3 +1,5 @@
+import functools
+import json
 import random
 import zlib
 
@@ -14,8 +16,13 @@ from .conftest import SF
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(VOCABULARY)
+
+
 def library_ids(text):
-    return Tokenizer.from_file(VOCABULARY).encode(text or "", add_special_tokens=False).ids
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def brute(lengths, size):
@@ -67,6 +74,7 @@ def test_runs_stay_within_the_stated_bound():
 def test_words_give_the_librarys_ids():
     rnd = random.Random(3)
     marks = ["é", "́", "ΑΣ", "İ", "\x1c", "\x85", " ", "　", "'s", "don't", "A1b2", "<|endoftext|>", "<|startoftext|>x"]
+    marks += ["DON'T", "<|EndOfText|>", "\"'s", "x'll''t", "_a-b'", "\x00", "12a", "#!?", "'", "é's", "'ÉS"]
     marks += ["한", "한", "🙂", "ß", "ﬁ", "\t", "\n", "\r\n", " ", "  ", "\x0b", "\x0c", "...", "a" * 100, "̈́"]
     table = word_bpe.words(VOCABULARY)
     for _ in range(400):
@@ -74,12 +82,29 @@ def test_words_give_the_librarys_ids():
         assert word_bpe.encode(table, text.encode()).tolist() == library_ids(text), repr(text)
 
 
+def test_every_latin_character_and_sign_gives_the_librarys_ids():
+    table = word_bpe.words(VOCABULARY)
+    for c in [*map(chr, range(0x250)), "̈", "̸", "ﬀ", "Ⅷ", "²"]:
+        for text in (c, f"a{c}b", f"{c}{c}", f"x {c}'s", f"É{c}", f"1{c}2", f"<{c}", f"{c} é"):
+            assert word_bpe.encode(table, text.encode()).tolist() == library_ids(text), repr(text)
+
+
+def test_files_of_other_rules_go_to_the_library(tmp_path):
+    other = json.loads(open(VOCABULARY).read())
+    other["normalizer"]["normalizers"].pop()
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    text = "Hello World, it's ÉTÉ"
+    want = Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    assert word_bpe.encode(word_bpe.Words(str(path)), text.encode()).tolist() == want != library_ids(text)
+
+
 def test_slices_and_a_forgetting_table(monkeypatch):
     monkeypatch.setattr(word_bpe, "KEPT", 5)
     text = " ".join(f"word{i % 13} x\n" for i in range(500))
     table = word_bpe.Words(VOCABULARY)
-    assert [i for s in word_bpe.slices(text.encode(), 100) for i in table.ids(s.split()).tolist()] == library_ids(text)
-    assert len(table.known) <= 18
+    assert [i for s in word_bpe.slices(text.encode(), 100) for i in table.ids(s).tolist()] == library_ids(text)
+    assert table.ruled and len(table.known) <= 18
 
 
 @pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "x", "a" * 200_000, "!" * 200_000])
