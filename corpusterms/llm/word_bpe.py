@@ -21,7 +21,7 @@ import numpy as np
 from .common import worker_cache
 
 #: Words kept by a worker (they are forgotten together), and the longest one kept.
-KEPT, LONGEST = 300_000, 48
+KEPT, LONGEST = 200_000, 48
 #: Bytes of a text that are split at once.
 SLICE = 1 << 20
 
@@ -43,7 +43,8 @@ _WORD = re.compile(
     rb"(?<![^ \t-\r])" + _KNOWN + rb"*+[\x80-\xff][^ \t-\r]*+"
     rb"|'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|" + _LETTER + rb")+|[0-9]|[^a-z0-9\x80-\xff \t-\r]+"
 )
-_SIMPLE = re.compile(_KNOWN + rb"*")
+_SIMPLE = re.compile(_KNOWN + rb"*+")
+_ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t-\r]+")
 
 
 def _spelled() -> str:
@@ -78,9 +79,11 @@ class Words:
         return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learnt(self, word: bytes) -> bytes:
-        if not _SIMPLE.fullmatch(word):
-            return self._whole(word)
-        written = word.decode().lower().encode().decode("latin-1").translate(self.spelled)
+        if not word.isascii():
+            if not _SIMPLE.fullmatch(word):
+                return self._whole(word)
+            word = word.decode().lower().encode()
+        written = word.decode("latin-1").translate(self.spelled)
         return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
 
     def ids(self, text: bytes) -> np.ndarray:
@@ -88,7 +91,7 @@ class Words:
         lowered = text.lower()
         if not self.ruled or any(a in lowered for a in self.added):
             return np.frombuffer(self._whole(text), "<u4")
-        some = _WORD.findall(lowered)
+        some = (_ASCII_WORD if lowered.isascii() else _WORD).findall(lowered)
         missing = set(some).difference(self.known)
         if len(self.known) + len(missing) > KEPT:
             self.known = {}
