@@ -39,7 +39,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from corpusterms.functions import markup
-    from corpusterms.operators import ngrams, scoring, terms, tokens
+    from corpusterms.operators import markdown, ngrams, scoring, terms, tokens
     from corpusterms.plans import catalog
     from corpusterms.sources import tables
     from corpusterms.storage import scratch as new_folder
@@ -110,7 +110,9 @@ def main() -> None:
         "rank_word_8_batches": lambda: look_up(batches),
         "rank_word_compacted": lambda: look_up(compacted),
         "ngram_rows_window_2": lambda: _materialise(ngrams.ngram_rows_from_tokens(tokens.tokens(docs()), 2)),
-        "markdown_text": lambda: text(dressed(catalog.markdown_document), markup.markdown_text),
+        "markdown_text": lambda: _materialise(
+            markdown.markdown_text(dressed(catalog.markdown_document).withColumnRenamed("raw", "text"))
+        ),
         "wikitext_clean": lambda: text(dressed(catalog.wiki_document), markup.wikitext_clean),
         "page_text": lambda: text(pages, markup.html_text),
     }

@@ -1,16 +1,12 @@
-"""Text of CommonMark documents, block by block.
+"""The inline scan of one CommonMark block.
 
-``plain_text`` keeps what a reader of the running text sees: paragraphs and
-headings, link text, titles of images, labels and titles of link definitions;
-code, raw HTML, thematic breaks and images' alt texts go.  Where a markup
-construct is taken out, a space stays, so that markup never joins two words.
+What a reader of the running text sees is kept: text, link text, titles of
+images; code spans, raw HTML and images' alt texts go.  Where a construct is
+taken out, a space stays, so that markup never joins two words.
 
-Lines are read once for the block structure (quotes, lists, fences, HTML
-blocks) and every block's characters once for the inline structure; emphasis
-is matched by delimiter runs with a linked list.  Nothing rescans the rest of
-a document for each opener: unclosed constructs cost no more than closed ones.
-
-``markdown`` wraps it as a column function (Arrow batches, one value per row).
+A block's characters are read once; emphasis is matched by delimiter runs with
+a linked list, and no search for an opener passes a place twice for its kind.
+The block structure is found by column expressions (``functions.blocks``).
 """
 
 from __future__ import annotations
@@ -29,38 +25,7 @@ from pyspark.sql import functions as F
 # installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# --- fixed values (CommonMark) -----------------------------------------------
-# Tags that open a raw HTML block which a blank line ends.
-HTML_BLOCK_TAGS = (
-    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt "
-    "fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link "
-    "main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead "
-    "title tr track ul"
-).split()
-# Opening and end of the other raw HTML blocks.
-HTML_BLOCKS = [
-    (r"<(?:script|pre|style|textarea)(?:[ \t>]|$)", r"</(?:script|pre|style|textarea)>"),
-    (r"<!--", r"-->"),
-    (r"<\?", r"\?>"),
-    (r"<![A-Za-z]", r">"),
-    (r"<!\[CDATA\[", r"\]\]>"),
-]
-# -----------------------------------------------------------------------------
-
-_FRONT = re.compile(r"\A(---|\+\+\+)[ \t]*\n")
-_QUOTE = re.compile(r" {0,3}>[ \t]?")
-_ITEM = re.compile(r" {0,3}(?:[-*+]|(\d{1,9})[.)])(?=[ \n]|$)")
-_FENCE = re.compile(r" {0,3}(?:(`{3,})[^`]*$|(~{3,}))")
-_HEADING = re.compile(r" {0,3}#{1,6}(?: |$)")
-_UNDERLINE = re.compile(r" {0,3}(?:=+|-+) *$")
-_HTML_ENDS = [(re.compile(r" {0,3}" + a, re.I), re.compile(b, re.I)) for a, b in HTML_BLOCKS]
-_HTML_FLOW = re.compile(r" {0,3}</?(?:" + "|".join(HTML_BLOCK_TAGS) + r")(?:[ \t>]|/>|$)", re.I)
 _TAG = r"(?:<[A-Za-z][A-Za-z0-9-]*+(?:\s[^<>]*+)?>|</[A-Za-z][A-Za-z0-9-]*+\s*+>|<[A-Za-z][A-Za-z0-9-]*+/>)"
-_HTML_ALONE = re.compile(r" {0,3}" + _TAG + r" *$")
-_DEFINITION = re.compile(
-    r" {0,3}\[([^\[\]]*\S[^\[\]]*)\]:[ \n]*(?:<[^<>\n]*>|[^\s<]\S*)"
-    r"(?:[ \n]+(?:\"([^\"]*)\"|'([^']*)'|\(([^()]*)\)))?[ ]*(?:\n|\Z)"
-)
 _TARGET = re.compile(
     r"\([ \n]*(?:<[^<>\n]*>|[^\s()<][^\s()]*(?:\([^\s()]*\)[^\s()]*)*|)"
     r"(?:[ \n]+(?:\"([^\"]*)\"|'([^']*)'|\(([^()]*)\)))?[ \n]*\)"
@@ -74,159 +39,6 @@ _INLINE = re.compile(
 )
 
 
-def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip(" "))
-
-
-def _is_rule(line: str) -> bool:
-    marks = line.replace(" ", "")
-    return len(marks) >= 3 and marks[0] in "*-_" and marks.count(marks[0]) == len(marks) and _indent(line) < 4
-
-
-def _tabs(line: str) -> str:
-    """Tabs in the white space a line begins with, as spaces."""
-    body = line.lstrip(" \t")
-    return line[: len(line) - len(body)].expandtabs(4) + body if "\t" in line else line
-
-
-def _body(text: str) -> str:
-    """Without the front matter (a block between two lines of --- or +++)."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    m = _FRONT.match(text)
-    if not m:
-        return text
-    at = m.end()
-    while at < len(text):
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        if text[at:end].rstrip(" \t") == m[1]:
-            return text[end + 1 :]
-        at = end + 1
-    return text
-
-
-def _html_start(line: str, in_paragraph: bool):
-    """What ends the HTML block that ``line`` opens: a pattern, "" for a blank line, or None."""
-    for opens, ends in _HTML_ENDS:
-        if opens.match(line):
-            return ends
-    if _HTML_FLOW.match(line) or (not in_paragraph and _HTML_ALONE.match(line)):
-        return ""
-    return None
-
-
-def blocks(text: str) -> list[str]:
-    """The inline source of each paragraph and heading, in order."""
-    out: list[str] = []
-    para: list[str] = []
-    nest: list[int] = []  # open containers: 0 a quote, else a list item's content indent
-    fence = None  # (character, length, depth)
-    raw = None  # (end pattern or "", depth)
-
-    def flush():
-        if para:
-            out.append("\n".join(para))
-            para.clear()
-
-    for line in map(_tabs, _body(text).split("\n")):
-        at, depth = 0, 0  # marks are skipped by position: a line of them costs its length
-        for indent in nest:
-            if not indent:
-                m = _QUOTE.match(line, at)
-                if not m:
-                    break
-                at = m.end()
-            elif not line[at : at + indent].strip(" "):
-                at = min(len(line), at + indent)  # indented so far, or blank
-            else:
-                break
-            depth += 1
-        rest = _tabs(line[at:])
-        if fence:
-            if depth >= fence[2]:
-                mark = rest.strip()
-                if _indent(rest) < 4 and len(mark) >= fence[1] and mark.count(fence[0]) == len(mark):
-                    fence = None
-                continue
-            fence = None
-        if raw:
-            if depth >= raw[1]:
-                if (not rest.strip()) if raw[0] == "" else raw[0].search(rest):
-                    raw = None
-                continue
-            raw = None
-        kept = depth == len(nest)  # the line is still inside the open containers
-        at, marks_from = 0, len(rest.rstrip("-*_ "))
-        while True:  # containers that begin here
-            m = _QUOTE.match(rest, at)
-            if m:
-                indent, behind = 0, m.end()
-            else:
-                m = _ITEM.match(rest, at)
-                if not m or (at >= marks_from and _is_rule(rest[at:])):
-                    break
-                behind = m.end()
-                while behind < len(rest) and behind < m.end() + 5 and rest[behind] == " ":
-                    behind += 1
-                empty = behind == len(rest)
-                if para and kept and (empty or m[1] not in (None, "1")):
-                    break  # can't interrupt a paragraph
-                behind = m.end() if empty else m.end() + 1 if behind - m.end() > 4 else behind
-                indent = max(behind, m.end() + 1) - at
-            flush()
-            if kept or depth < len(nest):
-                del nest[depth:]
-            nest.append(indent)
-            depth, kept, at = depth + 1, True, behind
-        rest = _tabs(rest[at:])
-        if not rest.strip():
-            flush()
-            del nest[depth:]
-            continue
-        plain = para and _indent(rest) >= 4
-        html_end = None if plain else _html_start(rest, bool(para))
-        fenced = None if plain else _FENCE.match(rest)
-        starts = not plain and (html_end is not None or fenced or _HEADING.match(rest) or _is_rule(rest))
-        if not kept:
-            if para and not starts:  # a paragraph goes on without its containers' marks
-                para.append(rest.strip(" "))
-                continue
-            flush()
-            del nest[depth:]
-        if not para and _indent(rest) >= 4:
-            continue  # indented code
-        if para and not plain and _UNDERLINE.match(rest):
-            flush()
-        elif not starts:
-            para.append(rest.lstrip(" "))
-        else:
-            flush()
-            if fenced:
-                mark = fenced[1] or fenced[2]
-                fence = (mark[0], len(mark), depth)
-            elif _HEADING.match(rest):
-                title = rest.strip(" ").lstrip("#").strip(" ")
-                bare = title.rstrip("#")
-                out.append(bare if not bare or bare.endswith(" ") else title)
-            elif html_end is not None:
-                raw = None if html_end != "" and html_end.search(rest) else (html_end, depth)
-    flush()
-    return out
-
-
-def _label(text: str) -> str:
-    return " ".join(text.split()).casefold()
-
-
-def _definitions(source: str) -> tuple[list[tuple[str, str]], str]:
-    """(label, title) of the definitions a paragraph begins with, and the rest."""
-    found, at = [], 0
-    while m := _DEFINITION.match(source, at):
-        found.append((m[1], m[2] or m[3] or m[4] or ""))
-        at = m.end()
-    return found, source[at:]
-
-
 class _Runs:
     """Delimiter runs of a block, in a list linked both ways."""
 
@@ -269,7 +81,7 @@ class _Runs:
                 kind = (self.mark[i], self.opens[i], self.whole[i] % 3)
                 stop = bottom.get(kind, below)
                 j = self.prev[i]
-                while j != stop and j != below and j >= 0:
+                while j > max(stop, below):  # places in the list rise; ``stop`` may have left it
                     odd = (self.closes[j] or self.opens[i]) and (self.whole[j] + self.whole[i]) % 3 == 0
                     odd = odd and (self.whole[j] % 3 or self.whole[i] % 3)
                     if self.opens[j] and self.mark[j] == self.mark[i] and self.count[j] and not odd:
@@ -299,7 +111,7 @@ def _punctuation(c: str) -> bool:
 
 
 def inline_text(source: str, labels: set[str]) -> str:
-    """The text of a block's inline content."""
+    """The text of a block's inline content; ``labels``: the names in it that are defined."""
     nodes: list[str] = []
     runs = _Runs()
     brackets: list[tuple[int, bool, int]] = []  # node, image?, place behind it
@@ -353,7 +165,7 @@ def inline_text(source: str, labels: set[str]) -> str:
             if not target and labels:
                 close = source.find("]", at + 1, at + 1001) if source.startswith("[", at) else -1
                 name = source[at + 1 : close] if close > at + 1 else source[begin : m.start()]
-                if len(name) < 1000 and _label(name) in labels:
+                if name in labels:
                     end = close + 1 if close > at else at
             if end is None:
                 nodes.append(got)
@@ -382,23 +194,21 @@ def inline_text(source: str, labels: set[str]) -> str:
     return "".join(nodes)
 
 
-def plain_text(text: str) -> str:
-    """The text of a document: its blocks' texts, a line each."""
-    parts: list = []
-    labels: set[str] = set()
-    for source in blocks(text):
-        found, rest = _definitions(source)
-        for label, title in found:
-            labels.add(_label(label))
-            parts.append(f"{label} {html.unescape(title)}")
-        if rest.strip():
-            parts.append((rest,))
-    lines = (" ".join((p if isinstance(p, str) else inline_text(p[0], labels)).split()) for p in parts)
-    return "\n".join(x for x in lines if x)
+#: Without any of these a source is its own text.
+PLAIN = r"^[^\x00\\`*_\[\]<&]*$"
+#: Begins a definition's text, in which only character references are read.
+DEFINED = "\x00"
+
+
+def texts(sources: Column, labels: Column) -> Column:
+    """The texts of blocks, given their sources and the names in them that are defined."""
 
+    def one(source: str, names: set[str]) -> str:
+        return html.unescape(source[1:]) if source.startswith(DEFINED) else inline_text(source, names)
 
-def markdown(c: Column) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(plain_text)
+    def run(sources: pd.Series, labels: pd.Series) -> pd.Series:
+        return pd.Series([[one(s, set(n)) for s in some] for some, n in zip(sources, labels, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, "string")(F.coalesce(c, F.lit("")))
+    marked = F.filter(sources, lambda s: ~s.rlike(PLAIN))
+    read = F.pandas_udf(run, "array<string>")(marked, labels)
+    return F.when(F.size(marked) == 0, F.array().cast("array<string>")).otherwise(read)

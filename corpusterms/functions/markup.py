@@ -1,7 +1,7 @@
 """Markup to text.
 
-Markdown is read by a block and inline scan (``functions.commonmark``).  HTML
-and wikitext are ordered ``regexp_replace`` chains in the JVM; what nests or
+Markdown is an operator of its own (``operators.markdown``).  HTML and wikitext
+are ordered ``regexp_replace`` chains in the JVM; what nests or
 may lack an end (templates, tables, media links, references) is taken out by
 linear scans first (``functions.spans``), so that a chain holds only patterns
 that look at a line or a tag at a time.
@@ -23,7 +23,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .commonmark import markdown
 from .spans import unescaped, without_wiki_spans
 
 Step = tuple[str, str]
@@ -104,11 +103,6 @@ def apply_steps(c: Column, steps: list[Step]) -> Column:
 # --- public column functions --------------------------------------------------
 
 
-def markdown_text(md: Column) -> Column:
-    """Markdown (with optional front matter) to plain text, a block per line."""
-    return markdown(md)
-
-
 def html_text(html: Column) -> Column:
     """HTML to text: comments, scripts, styles and tags removed, references decoded."""
     return unescaped(apply_steps(F.coalesce(html, F.lit("")), HTML_STEPS))

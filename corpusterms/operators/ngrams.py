@@ -12,7 +12,7 @@ row by sort + run length, so neither form shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import with_value_counts
@@ -86,27 +86,30 @@ def count_rows(bag: DataFrame) -> DataFrame:
     return bag.groupBy(*keys).agg(F.sum("occurence").cast("long").alias("occurence"))
 
 
-def ngram_rows_from_tokens(tokens_df: DataFrame, n: int = 2) -> DataFrame:
+def ngram_rows_from_tokens(tokens_df: DataFrame, n: int = 2, block: int = 100_000) -> DataFrame:
     """The n-gram bag from a token table (document, pos, token, kind).
 
-    For token tables already stored (``operators.tokens.tokens``): ``lead``
-    over a window per document ordered by position, keeping windows whose
-    members are all word tokens.  It shuffles the token rows by document
-    (one document's tokens per window partition, spilled if large); from raw
-    text ``ngram_rows`` is cheaper, as it needs no shuffle.
+    For token tables already stored (``operators.tokens.tokens``): members
+    stand at positions one after another, all word tokens.  ``lead`` runs over
+    a window per (document, ``block`` positions); a block is handed the first
+    ``n - 1`` tokens of the next, so no window holds a whole document and a
+    long one is dealt over tasks.  From raw text ``ngram_rows`` is cheaper, as
+    it needs no shuffle.
     """
-    from pyspark.sql import Window
-
     if n not in (2, 3):
         raise ValueError("n must be 2 or 3")
-    w = Window.partitionBy("document").orderBy("pos")
-    ahead = []
-    for k in range(1, n):
-        ahead += [F.lead("token", k).over(w).alias(f"t{k}"), F.lead("kind", k).over(w).alias(f"k{k}")]
-    t = tokens_df.select("document", "token", "kind", *ahead)
-    ok = F.col("kind") == "text"
+    block = max(int(block), n - 1)  # a halo reaches one block
+    own = F.expr(f"pos div {block}")
+    # The first tokens of a block also go to the block before.
+    halo = (F.col("pos") % block < n - 1) & (own > 0)
+    places = F.when(halo, F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = tokens_df.select("document", "pos", "token", "kind", F.explode(places).alias("block"))
+    w = Window.partitionBy("document", "block").orderBy("pos")
+    ahead = [F.lead(F.struct("token", "kind", "pos"), k).over(w).alias(f"t{k}") for k in range(1, n)]
+    t = dealt.select("document", "pos", "block", "token", "kind", *ahead)
+    ok = (F.col("kind") == "text") & (own == F.col("block"))
     for k in range(1, n):
-        ok = ok & (F.col(f"k{k}") == "text")
-    members = [F.col("token")] + [F.col(f"t{k}") for k in range(1, n)]
+        ok = ok & (F.col(f"t{k}.kind") == "text") & (F.col(f"t{k}.pos") == F.col("pos") + k)
+    members = [F.col("token")] + [F.col(f"t{k}.token") for k in range(1, n)]
     g = t.where(ok).select("document", F.concat_ws(" ", *members).alias("term"))
     return g.select("document", "term", *_lowers(F.col("term"), n), F.lit(1).cast("long").alias("occurence"))

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.scores import IDF_LOG10, round_sig
-from ..operators import ngrams, registry, scoring, terms, tokens
-from ..sources import tables, wiki
+from ..operators import long_texts, markdown, ngrams, registry, scoring, terms, tokens
+from ..sources import files, tables, wiki
+from ..storage import scratch
 from ..streaming import ingest
 
 # Query parameters (the reference takes them on its command line).
@@ -222,7 +223,7 @@ def _dressed(spark, base, dress):
 
 def q_markdown_text(spark, base):
     md = _dressed(spark, base, markdown_document)
-    return _squeezed(md.select("document", markup.markdown_text(F.col("raw")).alias("text")))
+    return _squeezed(markdown.markdown_text(md.withColumnRenamed("raw", "text")))
 
 
 def _squeezed(df):
@@ -288,6 +289,43 @@ def q_ngram_rows_window_3(spark, base):
 QUERIES.update({"ngram_rows_window_2": q_ngram_rows_window_2, "ngram_rows_window_3": q_ngram_rows_window_3})
 
 
+# --- texts in pieces ------------------------------------------------------------
+# Pieces of a thousand characters: most texts of the driver's tables have some.
+
+LEAST = 1000
+
+
+def q_pieced_tokens(spark, base):
+    return long_texts.tokens(_docs(spark, base), LEAST)
+
+
+def q_pieced_term_info(spark, base):
+    return long_texts.term_info(_docs(spark, base), LEAST)
+
+
+def q_pieced_doc_info(spark, base):
+    return long_texts.doc_info(_docs(spark, base), LEAST)
+
+
+def q_pieced_ngram_rows_2(spark, base):
+    return long_texts.ngram_rows(_docs(spark, base), 2, LEAST)
+
+
+def q_pieced_ngram_counts_3(spark, base):
+    return long_texts.ngram_counts(_docs(spark, base), 3, LEAST)
+
+
+QUERIES.update(
+    {
+        "pieced_tokens": q_pieced_tokens,
+        "pieced_term_info": q_pieced_term_info,
+        "pieced_doc_info": q_pieced_doc_info,
+        "pieced_ngram_rows_2": q_pieced_ngram_rows_2,
+        "pieced_ngram_counts_3": q_pieced_ngram_counts_3,
+    }
+)
+
+
 # --- wiki pages ---------------------------------------------------------------
 # A page per document, built from its columns as the dump reader returns pages:
 # the reader itself needs files, everything behind it is checked here.
@@ -312,8 +350,8 @@ def _pages(spark, base):
             F.lit(None).cast("string").alias("sha1"),
         ).cast(REVISION)
 
-    # Every seventh page has no text; every page has a second, older revision.
-    text = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("  "), F.col("text"), F.lit(" \u00a0\n\n\t== "), F.col("lang"), F.lit(" ==  \n")))
+    # Every page has a second, older revision.
+    text = F.when(F.col("text").isNotNull(), F.concat(F.lit("  "), F.col("text"), F.lit(" \u00a0\n\n\t== "), F.col("lang"), F.lit(" ==  \n")))
     return d.select(
         F.concat(F.lit("Page "), i).alias("title"),
         F.lit(0).cast("long").alias("ns"),
@@ -350,6 +388,23 @@ def q_wiki_terms(spark, base):
     return terms.term_info(wiki.page_corpus(_pages(spark, base)))
 
 
+def q_dump_documents(spark, base):
+    # The pages written as an XML dump to the shared folder, and read back.
+    path = f"{scratch(spark)}/dump"
+    wiki.write_wiki_dump(_pages(spark, base), path)
+    docs = wiki.page_documents(wiki.read_wiki_pages(spark, path))
+    first = F.get(F.col("meta.revision"), 0)
+    return docs.select("document", "text", "meta.title", first["comment"].alias("comment"), F.size("meta.revision").alias("revisions"))
+
+
+def q_folder_terms(spark, base):
+    # The documents written as files, one each, to the shared folder, and read back.
+    path = f"{scratch(spark)}/files"
+    files.write_document_files(_docs(spark, base), path)
+    return terms.term_info(files.read_document_files(spark, path))
+
+
+QUERIES.update({"dump_documents": q_dump_documents, "folder_terms": q_folder_terms})
 QUERIES.update(
     {
         "page_documents": q_page_documents,

@@ -342,8 +342,8 @@ def _lines(x: str) -> str:
         lambda l: trim(l, {_BLANKS})), lambda l: l <> ''), chr(10))"""
 
 
-_PAGE = f"CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_lines("text || chr(10) || '== ' || lang || ' =='")} END"
-_CLEAN = f"CASE WHEN doc_id % 7 = 0 THEN '' ELSE {_squeezed("text || ' ## ' || lang")} END"
+_PAGE = f"CASE WHEN text IS NULL THEN '' ELSE {_lines("text || chr(10) || '== ' || lang || ' =='")} END"
+_CLEAN = f"CASE WHEN text IS NULL THEN '' ELSE {_squeezed("text || ' ## ' || lang")} END"
 
 ORACLE.update(
     {
@@ -356,7 +356,7 @@ FROM documents""",
         "skip_done": f"""SELECT 'r' || {_ID} || '.wiki.md' AS document FROM documents
 WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
         "wiki_terms": _term_info_from(f"""(SELECT 'r' || {_ID} || '.wiki.md' AS document,
-    CASE WHEN doc_id % 7 = 0 THEN '' ELSE text || ' ' || lang END AS text FROM documents)"""),
+    CASE WHEN text IS NULL THEN '' ELSE text || ' ' || lang END AS text FROM documents)"""),
         "batch_term_info": _term_info_sql("new"),
         "batch_doc_info": f"""WITH {_terms_ctes("new")}
 SELECT d.doc_id AS document, coalesce(dc.term_count, 0) AS term_count
@@ -383,3 +383,8 @@ ORACLE["rank_report"] = (
     ORACLE["rank_word"].rsplit("SELECT", 1)[0]
     + "SELECT 'TFIDF is ' || printf('%.5f', tfidf) || ' for ' || CAST(document AS VARCHAR) || ' ' || term AS line FROM ranked"
 )
+
+# Texts in pieces give what whole ones give, a dump read back what its pages gave.
+ORACLE.update({"pieced_" + n: ORACLE[n] for n in ("tokens", "term_info", "doc_info", "ngram_rows_2", "ngram_counts_3")})
+ORACLE["dump_documents"] = ORACLE["page_documents"]
+ORACLE["folder_terms"] = _term_info_from("(SELECT CAST(doc_id AS VARCHAR) AS document, text FROM documents)")

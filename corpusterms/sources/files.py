@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.markup import markdown_text
+from ..operators.markdown import markdown_text
 
 
 def read_documents(spark: SparkSession, path: str, markdown: bool = True) -> DataFrame:
@@ -19,18 +20,41 @@ def read_documents(spark: SparkSession, path: str, markdown: bool = True) -> Dat
     packs many files, or compact them to Parquet once.
     """
 
-    raw = spark.read.text(path, wholetext=True)
-    return _as_corpus(raw, markdown)
+    corpus = raw_corpus(spark.read.text(path, wholetext=True))
+    return markdown_text(corpus) if markdown else corpus
 
 
-def _as_corpus(raw: DataFrame, markdown: bool) -> DataFrame:
-    text = F.col("value")
-    return raw.select(
-        F.col("_metadata.file_name").alias("document"),
-        (markdown_text(text) if markdown else text).alias("text"),
-    )
+def raw_corpus(raw: DataFrame) -> DataFrame:
+    """``(document, text)`` of a whole-file text source."""
+    return raw.select(F.col("_metadata.file_name").alias("document"), F.col("value").alias("text"))
 
 
 def write_documents(docs: DataFrame, path: str, text_col: str = "text") -> None:
     """Write a corpus as Parquet (the compact form of a document folder)."""
     docs.select("document", text_col).write.mode("overwrite").parquet(path)
+
+
+def write_document_files(docs: DataFrame, path: str) -> None:
+    """A file per document: ``<path>/document=<key>/part-*.txt`` (one line end is added).
+
+    Spark's own partitioned text sink, so any file system and any key will do.
+    Documents are dealt by key first: a task opens one file after the other.
+    """
+    rows = docs.select(F.col("document").cast("string").alias("document"), F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("document").write.mode("overwrite").partitionBy("document").text(path)
+
+
+def read_document_files(spark: SparkSession, path: str, markdown: bool = False) -> DataFrame:
+    """Corpus ``(document, text)`` of a folder that ``write_document_files`` wrote.
+
+    Many small files: Spark lists them (in a job of its own from
+    ``spark.sql.sources.parallelPartitionDiscovery.threshold`` folders on) and
+    deals them to tasks by size, each file counted with
+    ``spark.sql.files.openCostInBytes`` more, so tasks hold about
+    ``spark.sql.files.maxPartitionBytes``, not a file each.
+    """
+    schema = StructType([StructField("value", StringType()), StructField("document", StringType())])
+    raw = spark.read.schema(schema).text(path, wholetext=True)
+    text = F.regexp_replace("value", r"\r?\n\z", "")
+    corpus = raw.select("document", text.alias("text"))
+    return markdown_text(corpus) if markdown else corpus

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions.markup import markdown_text, split_front_matter, squeeze_lines, wikitext_clean
+from ..functions.markup import split_front_matter, squeeze_lines, wikitext_clean
+from ..operators.markdown import markdown_text
 from ..schemas import REVISION, WIKI_PAGE
+from ..storage import stored
 
 CORRUPT = "_corrupt"
 _REVISION_NO_TEXT = StructType([f for f in REVISION.fields if f.name != "text"])
@@ -43,6 +45,30 @@ def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.where(F.hash(*WIKI_PAGE.fieldNames()) >= F.lit(-(2**31)))
 
 
+#: What a dump begins with: elements outside pages, which the reader leaves out.
+DUMP_HEADER = (
+    '<mediawiki xml:lang="en"><siteinfo><sitename>Wiki</sitename>'
+    '<namespaces><namespace key="0" case="first-letter" /></namespaces></siteinfo>'
+)
+# Characters that XML 1.0 can't hold.
+_NOT_XML = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
+
+
+def write_wiki_dump(pages: DataFrame, path: str) -> None:
+    """Pages as a MediaWiki XML dump: a folder of files, each page whole in one.
+
+    The header (``siteinfo``) is a file of its own.  Every first revision is
+    marked minor by a self-closing element, as dumps have it; characters that
+    XML can't hold become U+FFFD, a null text is left out.
+    """
+    page = F.struct(*[F.col(f.name) for f in WIKI_PAGE.fields])
+    xml = F.to_xml(page, {"rowTag": "page", "nullValue": "", "indent": ""})
+    xml = F.regexp_replace(xml, _NOT_XML, "\ufffd")
+    xml = F.regexp_replace(xml, r"(?s)\A(.*?<revision>)", "$1<minor />")
+    pages.select(xml.alias("value")).write.mode("overwrite").text(path)
+    pages.sparkSession.range(1).select(F.lit(DUMP_HEADER).alias("value")).write.mode("append").text(path)
+
+
 def _meta(pages: DataFrame) -> Column:
     """All page fields, revision text removed."""
     return F.struct(
@@ -108,11 +134,10 @@ def clean_documents(docs: DataFrame, existing: DataFrame | None = None) -> DataF
 def page_corpus(pages: DataFrame) -> DataFrame:
     """Pages to a corpus ``(document, text)`` of plain text.
 
-    Wikitext becomes markdown, and the markdown's text is the corpus: heading
-    and list marks are no tokens and break no n-gram.
+    Wikitext becomes markdown, which is stored, and the markdown's text is the
+    corpus: heading and list marks are no tokens and break no n-gram.
     """
-    docs = clean_documents(page_documents(pages))
-    return docs.select("document", markdown_text(F.col("text")).alias("text"))
+    return markdown_text(stored(clean_documents(page_documents(pages)).select("document", "text")))
 
 
 def wiki_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -37,12 +37,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.tokens import word_lane
+from ..operators.markdown import markdown_text
 from ..operators.ngrams import ngram_rows
 from ..operators.registry import new_documents
 from ..operators.terms import doc_terms_from_words, term_stats
 from ..schemas import TERM_STATS
 from ..session import shared_dir
-from ..sources.files import _as_corpus
+from ..sources.files import raw_corpus
 
 TABLES = ("term_info", "ngram_two", "ngram_three", "doc_info")
 BATCH_KEY = ["run_id", "batch_id"]
@@ -99,13 +100,22 @@ def _write(df: DataFrame, store: str, name: str) -> None:
 
 
 def new_lanes(
-    corpus: DataFrame, ledger: DataFrame | None = None, size: int | None = None, dedupe: bool = False
+    corpus: DataFrame,
+    ledger: DataFrame | None = None,
+    size: int | None = None,
+    dedupe: bool = False,
+    markdown: bool = False,
 ) -> DataFrame:
-    """(document, lane) of the documents not in ``ledger``, at most ``size``."""
+    """(document, lane) of the documents not in ``ledger``, at most ``size``.
+
+    ``markdown``: texts are markdown; only those of new documents are read.
+    """
     new = corpus.select("document", "text")
     if dedupe:
         new = new.dropDuplicates(["document"])
     new = new_documents(new, ledger, size)
+    if markdown:
+        new = markdown_text(new)
     return new.select("document", word_lane(F.col("text")).alias("lane"))
 
 
@@ -143,13 +153,14 @@ def ingest_batch(
     run_id: str | None = None,
     batch_id: int = 0,
     dedupe: bool = False,
+    markdown: bool = False,
 ) -> tuple[str, int]:
     """Ingest the documents of ``corpus`` not yet registered in ``store``.
 
     ``size`` bounds the run to the first ``size`` new documents by key (0
     does nothing).  ``dedupe`` keeps one row per document key (needed when
-    files of the same name come from several folders).  Returns the batch's
-    key ``(run_id, batch_id)``: pass it again to replay the batch.
+    files of the same name come from several folders); ``markdown``: the texts
+    are markdown.  Returns the batch's key ``(run_id, batch_id)``: pass it again to replay the batch.
     """
     run_id = run_id or f"batch-{uuid.uuid4().hex}"
     key = (run_id, int(batch_id))
@@ -157,7 +168,8 @@ def ingest_batch(
         return key
     # One regex pass per document, reused by every table of the batch.  The
     # cache only saves work: what an executor loses is computed anew.
-    lanes = new_lanes(corpus, registry(spark, store, exclude=key), size, dedupe).persist(StorageLevel.MEMORY_AND_DISK)
+    lanes = new_lanes(corpus, registry(spark, store, exclude=key), size, dedupe, markdown)
+    lanes = lanes.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if lanes.isEmpty():  # nothing new: leave every table as it is
             return key
@@ -203,13 +215,13 @@ def ingest_stream(
     reader = spark.readStream.format("text").option("wholetext", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    corpus = _as_corpus(reader.load(source_dir), markdown)
+    corpus = raw_corpus(reader.load(source_dir))
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         session = batch.sparkSession
         # Kept in the checkpoint: the same after a restart, another without it.
         query = session.sparkContext.getLocalProperty("sql.streaming.queryId")
-        ingest_batch(session, batch, store, run_id=f"stream-{query}", batch_id=int(epoch_id), dedupe=True)
+        ingest_batch(session, batch, store, run_id=f"stream-{query}", batch_id=int(epoch_id), dedupe=True, markdown=markdown)
 
     if checkpoint is None:
         tag = hashlib.sha1(f"{source_dir}->{store}".encode()).hexdigest()[:12]
