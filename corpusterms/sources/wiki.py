@@ -45,27 +45,33 @@ def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.where(F.hash(*WIKI_PAGE.fieldNames()) >= F.lit(-(2**31)))
 
 
-#: What a dump begins with: elements outside pages, which the reader leaves out.
+#: What a dump holds beside its pages, which the reader leaves out.
 DUMP_HEADER = (
     '<mediawiki xml:lang="en"><siteinfo><sitename>Wiki</sitename>'
-    '<namespaces><namespace key="0" case="first-letter" /></namespaces></siteinfo>'
+    '<namespaces><namespace key="0" case="first-letter" /></namespaces></siteinfo></mediawiki>'
 )
 # Characters that XML 1.0 can't hold.
 _NOT_XML = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
 
 
 def write_wiki_dump(pages: DataFrame, path: str) -> None:
-    """Pages as a MediaWiki XML dump: a folder of files, each page whole in one.
+    """Pages as a MediaWiki XML dump: a folder of files, written by all tasks.
 
-    The header (``siteinfo``) is a file of its own.  Every first revision is
-    marked minor by a self-closing element, as dumps have it; characters that
-    XML can't hold become U+FFFD, a null text is left out.
+    Every revision is marked minor by an empty element, as dumps have it, and
+    the header (``siteinfo``) is a file of its own.  Characters that XML can't
+    hold become U+FFFD; a null text is left out.
     """
-    page = F.struct(*[F.col(f.name) for f in WIKI_PAGE.fields])
-    xml = F.to_xml(page, {"rowTag": "page", "nullValue": "", "indent": ""})
-    xml = F.regexp_replace(xml, _NOT_XML, "\ufffd")
-    xml = F.regexp_replace(xml, r"(?s)\A(.*?<revision>)", "$1<minor />")
-    pages.select(xml.alias("value")).write.mode("overwrite").text(path)
+
+    def held(c: Column) -> Column:
+        return F.regexp_replace(c, _NOT_XML, "\ufffd")
+
+    def marked(r: Column) -> Column:
+        text = F.when(r["text"]["_VALUE"].isNotNull(), F.struct(held(r["text"]["_VALUE"]).alias("_VALUE")))
+        return r.withField("text", text).withField("comment", held(r["comment"])).withField("minor", F.lit(""))
+
+    rows = pages.select(held(F.col("title")).alias("title"), "ns", "id", F.transform("revision", marked).alias("revision"))
+    dump = rows.write.mode("overwrite").format("xml")
+    dump.option("rootTag", "mediawiki").option("rowTag", "page").option("declaration", "").save(path)
     pages.sparkSession.range(1).select(F.lit(DUMP_HEADER).alias("value")).write.mode("append").text(path)
 
 
