@@ -91,6 +91,18 @@ LEFT_OUT_WORDS = _set(
     "notice notices overlay pager pagination popup promo promotion promotions recommendations recommended related "
     "replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets"
 )
+#: Words that may stand beside those in a name without changing what it says.
+BESIDE_WORDS = _set(
+    "area bar block body bottom box btn button buttons card col column container content discussion entry form frame "
+    "global group head header heading holder icon icons inner item items left link links list main media mobile module "
+    "outer page pane panel placeholder post posts reader right row section side site slot social space stories strip "
+    "text thread title top unit user view wrap wrapper"
+)
+#: Elements of running text: what they are called says nothing of what they hold.
+TEXT = _set(
+    "a abbr article b blockquote br caption cite code col dd del dfn dt em figcaption figure h1 h2 h3 h4 h5 h6 i img ins "
+    "kbd li mark p pre q s samp small span strong sub summary sup tbody td tfoot th thead time tr u var"
+)
 #: Only outside the article: its own header holds its title.
 PAGE_HEADER = _set("header")
 _WHOLE = _set("html body main")
@@ -111,9 +123,14 @@ def _left_out(name: str, source: str, in_article: bool) -> int:
         return 2
     if re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         return 2
-    words = {w.lower() for w in _NAME_WORD.findall(given.get("class", "") + " " + given.get("id", ""))}
-    if words & LEFT_OUT_WORDS or (words & PAGE_HEADER and not in_article):
-        return 1
+    if name in TEXT:
+        return 0
+    listed = LEFT_OUT_WORDS if in_article else LEFT_OUT_WORDS | PAGE_HEADER
+    for given_name in f"{given.get('class', '')} {given.get('id', '')}".split():
+        words = {w.lower() for w in _NAME_WORD.findall(given_name)}
+        # ``comment-list`` names a list of comments, ``comment-on-law`` something else.
+        if words & listed and words <= listed | BESIDE_WORDS:
+            return 1
     return 0
 
 
@@ -287,10 +304,10 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float
     rate = min(1.0, sample / max(1, pages.count()))
     drawn = pages.where(share("page_id", F.lit("drawn")) < rate).where(F.lower("html").rlike("<(article|main)[ >]"))
     counts = drawn.select(F.col("html").cast("string")).mapInArrow(_counted, COUNTS).groupBy("kind", "name")
-    # Names are bounded by the sample; rare ones are as the prior has them.
+    # At most a fifth of the names in a sample's tags; rare ones are as the prior has them.
     rows = counts.agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).where("inside + outside >= 5")
     words, tags = {}, {}
-    for r in rows.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "name").limit(1000).collect():
+    for r in rows.collect():
         seen = r["inside"] + r["outside"]
         if r["kind"] == 0:
             words[r["name"]] = (r["inside"] + PRIOR * WORD_PRIOR) / (seen + PRIOR)

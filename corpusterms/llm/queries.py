@@ -151,8 +151,9 @@ FROM c GROUP BY conv_id
 
 def op9_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    # The table has no capture times: a second a page, from a fixed day on.
-    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)))
+    # The table has no capture times: a second a page, from a fixed day on, over
+    # some thirty years (then again; pages of one second are told apart by id).
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(10**9)))
     path = f"{scratch(spark)}/archives"
     warc.write_archives(warc.captures(pages.withColumn("captured", when)), path)
     index = warc.read_index(spark, path)

@@ -97,3 +97,29 @@ def test_awkward_rows(spark):
     got = sorted((r.page_id or 0, len(r.text)) for r in H.main_text(df).collect())
     assert got[1:3] == [(1, 0), (2, 0)] and got[3] == got[4] and got[0] == (0, 5 * 50_000 - 1)
     assert H.main_text(df.limit(0)).collect() == []
+
+
+def test_names_in_an_article_take_no_text():
+    from corpusterms.llm.html_text import extract
+
+    inner = [
+        "<h2 id=social-impact>Social impact</h2>", "<p class=share-price>The share price fell by a tenth on Monday.</p>",
+        "<p class=notice-board>A notice board stood there.</p>", "<div class='comment-on-law'>A comment on the law.</div>",
+        "<li class=ad>An ad is a text.</li>", "<div class='post category-social tag-advertising'>A post of two tags.</div>",
+        "<div class='layout has-sidebar'>In a layout.</div>",
+    ]
+    page = "<article><p>" + "Plain words of the article go on and on. " * 5 + "</p>" + "".join(inner) + "</article>"
+    text = extract(page, {}, {})
+    for part in inner:
+        assert part[part.index(">") + 1 : part.rindex("<")] in text
+
+
+def test_boxes_named_like_adverts_and_comments_go():
+    from corpusterms.llm.html_text import extract
+
+    words = "Plain words of the article go on and on. " * 10
+    for name in ("ad", "ad-slot", "sidebar widget", "comments-list", "commentBox", "share-buttons", "cookie_banner", "related-posts"):
+        page = f"<div><p>{words}</p><div class='{name}'><p>Not of the article at all.</p></div><p>{words}</p></div>"
+        assert "Not of the article" not in extract(page, {}, {}), name
+    page = "<article class='post social-advertising'><p>" + words + "</p></article>"
+    assert words.strip() in extract(page, {}, {})
