@@ -460,3 +460,24 @@ QUERIES.update(
         "rank_report": q_rank_report,
     }
 )
+
+
+def _two_batches(spark, base):
+    # The documents ingested by a store in two batches, the labelled ones first.
+    store = f"{scratch(spark)}/store"
+    docs = _docs(spark, base)
+    labelled = tables.table(spark, base, "labels").select(F.col("doc_id").alias("document"))
+    ingest.ingest_batch(spark, docs.join(labelled, "document", "left_semi"), store)
+    ingest.ingest_batch(spark, docs, store)
+    return store
+
+
+def q_store_summary(spark, base):
+    return _r(ingest.stored_summary(spark, _two_batches(spark, base)), "maxtfidf", "meantfidf", "mintfidf")
+
+
+def q_store_term_doc_info(spark, base):
+    return ingest.stored_term_doc_info(spark, _two_batches(spark, base))
+
+
+QUERIES.update({"store_summary": q_store_summary, "store_term_doc_info": q_store_term_doc_info})

@@ -388,3 +388,5 @@ ORACLE["rank_report"] = (
 ORACLE.update({"pieced_" + n: ORACLE[n] for n in ("tokens", "term_info", "doc_info", "ngram_rows_2", "ngram_counts_3")})
 ORACLE["dump_documents"] = ORACLE["page_documents"]
 ORACLE["folder_terms"] = _term_info_from("(SELECT CAST(doc_id AS VARCHAR) AS document, text FROM documents)")
+ORACLE["store_summary"] = ORACLE["tf_idf_summary"]
+ORACLE["store_term_doc_info"] = ORACLE["term_doc_info"]

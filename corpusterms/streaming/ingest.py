@@ -6,6 +6,7 @@ Store layout (Parquet, one folder per table, partitioned by the writer's
     <store>/term_info/run_id=<r>/batch_id=<n>/       enriched term rows (terms.term_stats)
     <store>/ngram_two/run_id=<r>/batch_id=<n>/       bigram occurrences (the bag, as built)
     <store>/ngram_three/run_id=<r>/batch_id=<n>/     trigram occurrences
+    <store>/term_state/run_id=<r>/batch_id=<n>/      the batch's mergeable statistics of each term
     <store>/term_doc_delta/run_id=<r>/batch_id=<n>/  term_doc_info counts of the batch
     <store>/doc_info/run_id=<r>/batch_id=<n>/        the registry; written last
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
@@ -34,8 +36,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions.scores import IDF_SERIES, idf
 from ..functions.tokens import word_lane
 from ..operators.markdown import markdown_text
 from ..operators.ngrams import ngram_rows
@@ -44,6 +48,7 @@ from ..operators.terms import doc_terms_from_words, term_stats
 from ..schemas import TERM_STATS
 from ..session import shared_dir
 from ..sources.files import raw_corpus
+from ..storage import stored
 
 TABLES = ("term_info", "ngram_two", "ngram_three", "doc_info")
 BATCH_KEY = ["run_id", "batch_id"]
@@ -138,6 +143,67 @@ def term_doc_delta(ts: DataFrame) -> DataFrame:
     return ts.groupBy(F.col("lower").alias("term")).agg(F.count(F.lit(1)).alias("doc_count"))
 
 
+def term_state(ts: DataFrame) -> DataFrame:
+    """Per lower-cased term what a summary needs, in a form that merges.
+
+    Term rows, documents, documents flagged by this term (they add up to N),
+    and greatest, least and sum of the term frequency over a document's words
+    (``tf``) and over its distinct terms (``vocab``).
+    """
+    tf = F.col("occurence") / F.col("token_total").cast("double")
+    per = [
+        f(x).alias(f"{name}_{part}")
+        for name, x in (("tf", tf), ("vocab", F.col("frequency")))
+        for part, f in (("max", F.max), ("min", F.min), ("sum", F.sum))
+    ]
+    return ts.groupBy(F.col("lower").alias("term")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("lower_first").cast("long")).alias("documents"),
+        F.sum(F.col("doc_first").cast("long")).alias("flagged"),
+        *per,
+    )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """The states of several batches as one: one row a term."""
+    how = {"max": F.max, "min": F.min}
+    numbers = [c for c in states.columns if c not in ("term", *BATCH_KEY)]
+    return states.groupBy("term").agg(*[how.get(c.rsplit("_", 1)[-1], F.sum)(c).alias(c) for c in numbers])
+
+
+def stored_summary(
+    spark: SparkSession,
+    store: str,
+    idf_mode: str = IDF_SERIES,
+    tf_mode: str = "tokens",
+    df_mode: str = "documents",
+    n_mode: str = "terms",
+) -> DataFrame | None:
+    """``scoring.tf_idf_summary`` of the whole store from the batches' term states.
+
+    Reads a row per batch and term, never the term rows: what a new batch
+    costs does not grow with the documents stored.
+    """
+    states = stored_table(spark, store, "term_state")
+    if states is None:
+        return None
+    both = stored(merged_states(states))
+    if n_mode == "terms":
+        n = both.agg(F.sum("flagged")).scalar()
+    else:
+        n = registry(spark, store).agg(F.count(F.lit(1))).scalar()
+    name = {"tokens": "tf", "vocab": "vocab"}[tf_mode]
+    scored = both.select("*", n.alias("_n"))
+    scored = scored.select("*", idf(F.col("_n"), F.col({"documents": "documents", "rows": "rows"}[df_mode]), idf_mode).alias("_idf"))
+    i, most, least = F.col("_idf"), F.col(f"{name}_max"), F.col(f"{name}_min")
+    return scored.select(
+        F.when(i >= 0, i * most).otherwise(i * least).alias("maxtfidf"),
+        (i * F.col(f"{name}_sum") / F.col("rows")).alias("meantfidf"),
+        F.when(i >= 0, i * least).otherwise(i * most).alias("mintfidf"),
+        F.col("term").alias("lower"),
+    ).orderBy(F.desc("maxtfidf"), "lower")
+
+
 def batch_tables(
     corpus: DataFrame, ledger: DataFrame | None = None, size: int | None = None, dedupe: bool = False
 ) -> dict[str, DataFrame]:
@@ -183,11 +249,14 @@ def ingest_batch(
         with ThreadPoolExecutor(max_workers=3) as pool:
             for f in [pool.submit(_write, tables[n], store, n) for n in ("term_info", "ngram_two", "ngram_three")]:
                 f.result()
-        # The term_doc_info delta from the partition just written (a scan of
-        # one column), so the table is maintained incrementally.
-        written = read_table(spark, store, "term_info")
-        written = written.where((F.col("run_id") == run_id) & (F.col("batch_id") == key[1]))
-        _write(term_doc_delta(written).select("*", *mark), store, "term_doc_delta")
+        # The terms' states from the partition just written, and from those the
+        # term_doc_info delta, so both are maintained incrementally.
+        def written(name: str) -> DataFrame:
+            return read_table(spark, store, name).where((F.col("run_id") == run_id) & (F.col("batch_id") == key[1]))
+
+        _write(term_state(written("term_info")).select("*", *mark), store, "term_state")
+        delta = written("term_state").select("term", F.col("rows").alias("doc_count"))
+        _write(delta.select("*", *mark), store, "term_doc_delta")
         _write(tables["doc_info"], store, "doc_info")  # last: marks the documents done
     finally:
         lanes.unpersist()
@@ -234,9 +303,12 @@ def ingest_stream(
 def term_doc_info_stream(spark: SparkSession, store: str) -> DataFrame:
     """Streaming ``term_doc_info``: rows per lower-cased term, kept up to date.
 
-    Reads the batches' deltas as they arrive (run it in ``complete`` or
-    ``update`` output mode).  The state of a term is the set of its counts by
-    batch, so the file that a replay writes anew adds nothing to it.
+    Reads the batches' deltas as they arrive (run it in ``update`` output mode:
+    a row is a term's new count).  The state of a term is the sum of its
+    settled counts and, for each run, the last batch and its count: a batch
+    that follows settles the one before, the file that a replay writes anew
+    replaces the count it repeats.  So the state does not grow with the
+    batches of a run.
     """
     delta = read_table(spark, store, "term_doc_delta")
     schema = (
@@ -252,9 +324,30 @@ def term_doc_info_stream(spark: SparkSession, store: str) -> DataFrame:
         )
     )
     rows = spark.readStream.schema(schema).parquet(table_path(store, "term_doc_delta"))
-    counts = F.collect_set(F.struct(*BATCH_KEY, "doc_count"))
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["doc_count"])
-    return rows.groupBy("term").agg(total.alias("doc_count"))
+    return rows.groupBy("term").applyInPandasWithState(
+        _settle, "term string, doc_count long", TERM_COUNTS, "update", GroupStateTimeout.NoTimeout
+    )
+
+
+#: A term's settled count; per run its last batch and that batch's count.
+TERM_COUNTS = "settled long, runs array<string>, batches array<int>, counts array<long>"
+
+
+def _settle(key: tuple, frames: Iterator, state) -> Iterator:
+    import pandas as pd
+
+    settled, runs, batches, counts = state.get if state.exists else (0, [], [], [])
+    last = {r: (int(b), int(c)) for r, b, c in zip(runs, batches, counts, strict=True)}
+    # A run's batches in order; of one batch written twice the later file holds the same.
+    for r in pd.concat(list(frames)).sort_values(["run_id", "batch_id"]).itertuples():
+        batch, count = last.get(r.run_id, (-1, 0))
+        if r.batch_id > batch:
+            settled += count
+        if r.batch_id >= batch:  # an older one is a replay of what is settled
+            last[r.run_id] = (int(r.batch_id), int(r.doc_count))
+    names = list(last)
+    state.update((int(settled), names, [last[r][0] for r in names], [last[r][1] for r in names]))
+    yield pd.DataFrame({"term": [key[0]], "doc_count": [settled + sum(c for _, c in last.values())]})
 
 
 def stored_term_doc_info(spark: SparkSession, store: str) -> DataFrame | None:
@@ -286,8 +379,11 @@ def compact(spark: SparkSession, store: str, out: str) -> tuple[str, int]:
     mark = [F.lit(key[0]).alias("run_id"), F.lit(key[1]).cast("int").alias("batch_id")]
     tables = stored_tables(spark, store)
     tables["term_doc_delta"] = stored_term_doc_info(spark, store)
-    order = {"term_info": ["lower", "document", "term"], "doc_info": ["document"], "term_doc_delta": ["term"]}
-    for name in ("term_info", "ngram_two", "ngram_three", "term_doc_delta", "doc_info"):
+    states = stored_table(spark, store, "term_state")
+    tables["term_state"] = None if states is None else merged_states(states)
+    order = {"term_info": ["lower", "document", "term"], "doc_info": ["document"]}
+    order |= {"term_doc_delta": ["term"], "term_state": ["term"]}
+    for name in ("term_info", "ngram_two", "ngram_three", "term_state", "term_doc_delta", "doc_info"):
         by = order.get(name, ["lower1", "document"])
         if tables.get(name) is not None:
             ranged = tables[name].repartitionByRange(*by).sortWithinPartitions(*by)

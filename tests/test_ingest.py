@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusterms.operators import ngrams, terms
+from corpusterms.operators import ngrams, scoring, terms
 from corpusterms.streaming import ingest
 
 DOCS = [
@@ -23,6 +23,19 @@ def snapshot(spark, store):
     return ti, di, ng
 
 
+def updates(counts, checkpoint):
+    """What a running count says of each term it changes, and the query."""
+    seen = {}
+
+    def take(batch, _):
+        seen.update({r.term: r.doc_count for r in batch.collect()})
+
+    q = counts.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(checkpoint))
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return seen, q
+
+
 def test_batches_equal_one_batch(spark, corpus, tmp_path):
     c = corpus(*DOCS)
     one = str(tmp_path / "one")
@@ -85,10 +98,7 @@ def test_stream_ingest(spark, tmp_path):
     assert len(di2) == 6 and ("f.md", 2) in di2
 
     agg = ingest.term_doc_info_stream(spark, store)
-    w = agg.writeStream.outputMode("complete").format("memory").queryName("tdi_test")
-    sq = w.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck2")).start()
-    sq.awaitTermination(300)
-    got = {r.term: r.doc_count for r in spark.sql("SELECT * FROM tdi_test").collect()}
+    got = updates(agg, tmp_path / "ck2")[0]
     assert got["saluang"] == 3  # a.md: Saluang + saluang; f.md: Saluang
 
 
@@ -98,19 +108,77 @@ def test_term_doc_info_maintained_per_batch(spark, corpus, tmp_path):
     ingest.ingest_batch(spark, c, store, size=2)
     run, batch = ingest.ingest_batch(spark, c, store, size=2)
 
-    def streamed(name):
-        w = ingest.term_doc_info_stream(spark, store).writeStream.outputMode("complete").format("memory").queryName(name)
-        w.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination(300)
-        return {r.term: r.doc_count for r in spark.sql(f"SELECT * FROM {name}").collect()}
+    def streamed():
+        return updates(ingest.term_doc_info_stream(spark, store), tmp_path / "ck")[0]
 
-    assert streamed("tdi_1")["saluang"] == 2
+    first = streamed()
+    assert first["saluang"] == 2
     ingest.ingest_batch(spark, c, store, size=2, run_id=run, batch_id=batch)  # replay
     ingest.ingest_batch(spark, c, store)
     got = sorted(tuple(r) for r in ingest.stored_term_doc_info(spark, store).collect())
     want = sorted(tuple(r) for r in terms.term_doc_info(c).collect())
     assert got == want
     # The stream has seen the replayed batch's file twice: counted once.
-    assert streamed("tdi_2") == dict(want)
+    assert first | streamed() == dict(want)
+
+
+def test_running_counts_have_a_state_that_batches_do_not_grow(spark, corpus, tmp_path):
+    store, c = str(tmp_path / "s"), corpus(*DOCS)
+    held, rows = {}, []
+    for batch in range(4):
+        ingest.ingest_batch(spark, c, store, size=1, run_id="r", batch_id=batch)
+        if batch == 2:  # replayed before and after the stream has seen it
+            ingest.ingest_batch(spark, c, store, size=1, run_id="r", batch_id=batch)
+        got, query = updates(ingest.term_doc_info_stream(spark, store), tmp_path / "ck")
+        held |= got
+        states = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+        rows += [(max(states), len(held))] if states else []
+    assert len(rows) > 2 and all(a == b for a, b in rows)
+    assert held == {r.term: r.doc_count for r in ingest.stored_term_doc_info(spark, store).collect()}
+
+
+def test_a_run_settles_its_batches_in_order():
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+
+    def add(*rows):
+        frame = pd.DataFrame(rows, columns=["run_id", "batch_id", "doc_count"])
+        return next(iter(ingest._settle(("t",), [frame], state))).doc_count[0]
+
+    assert add(("r", 0, 5)) == 5
+    assert add(("r", 1, 2), ("q", 0, 1)) == 8
+    assert add(("r", 1, 2)) == 8  # replayed: replaced
+    assert add(("r", 0, 5)) == 8  # settled long ago
+    assert add(*[("r", i, 1) for i in range(2, 500)]) == 506
+    assert sorted(state.get[1]) == ["q", "r"]
+
+
+def test_the_stores_summary_comes_from_the_terms_states(spark, corpus, tmp_path):
+    store, c = str(tmp_path / "s"), corpus(*DOCS)
+    for _ in range(3):
+        ingest.ingest_batch(spark, c, store, size=2)
+    ingest.ingest_batch(spark, c, store)
+    columns = ["maxtfidf", "meantfidf", "mintfidf"]
+
+    def rounded(df):
+        return sorted((r.lower, *[None if r[x] is None else round(r[x], 9) for x in columns]) for r in df.collect())
+
+    for modes in ({}, {"idf_mode": "log10", "tf_mode": "vocab", "df_mode": "rows", "n_mode": "registry"}, {"idf_mode": "ratio"}):
+        whole = rounded(scoring.tf_idf_summary(c, **modes))
+        assert rounded(ingest.stored_summary(spark, store, **modes)) == whole
+    plan = ingest.stored_summary(spark, store)
+    assert not any("/term_info/" in f for f in plan.inputFiles())
+    compacted = str(tmp_path / "compacted")
+    ingest.compact(spark, store, compacted)
+    assert rounded(ingest.stored_summary(spark, compacted)) == rounded(scoring.tf_idf_summary(c))
+    assert ingest.stored_summary(spark, str(tmp_path / "none")) is None
 
 
 def _write_docs(folder, docs):
