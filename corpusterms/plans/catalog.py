@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.scores import IDF_LOG10, round_sig
-from ..operators import long_texts, markdown, ngrams, registry, scoring, terms, tokens
+from ..operators import long_texts, markdown, ngrams, postings, registry, scoring, terms, tokens
 from ..sources import files, tables, wiki
 from ..storage import scratch
 from ..streaming import ingest
@@ -481,3 +481,12 @@ def q_store_term_doc_info(spark, base):
 
 
 QUERIES.update({"store_summary": q_store_summary, "store_term_doc_info": q_store_term_doc_info})
+
+
+def q_rank_word_blocks(spark, base):
+    docs, path = _docs(spark, base), f"{scratch(spark)}/postings"
+    postings.write_postings(terms.term_info(docs), path)
+    return _r(postings.top_postings(spark, path, WORD, terms.doc_info(docs), RANK_K), "idf", "tfidf")
+
+
+QUERIES["rank_word_blocks"] = q_rank_word_blocks

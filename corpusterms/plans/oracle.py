@@ -390,3 +390,4 @@ ORACLE["dump_documents"] = ORACLE["page_documents"]
 ORACLE["folder_terms"] = _term_info_from("(SELECT CAST(doc_id AS VARCHAR) AS document, text FROM documents)")
 ORACLE["store_summary"] = ORACLE["tf_idf_summary"]
 ORACLE["store_term_doc_info"] = ORACLE["term_doc_info"]
+ORACLE["rank_word_blocks"] = ORACLE["rank_word"]
