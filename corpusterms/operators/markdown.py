@@ -83,6 +83,8 @@ def _long(corpus: DataFrame, chunk: int) -> DataFrame:
     # So many tasks in any case: reading a chunk costs more than its bytes tell.
     tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     each = stored(each.select("document", "row", "chunk", ended.alias("source")).repartition(tasks, "row", "chunk"))
+    if each.isEmpty():
+        return each.select("document", "row", "chunk", F.col("source").alias("text"))
     effects = each.select("row", "chunk", blocks.effect(blocks.lines(F.col("source"))).alias("effect"))
     # A document's effects one after another: the state before each chunk.
     clean = blocks.clean()
