@@ -120,7 +120,7 @@ def main() -> None:
     for name, fn in (q | more).items():
         fn()  # warm-up
         runs = []
-        for _ in range(repeat if name in q else min(repeat, 3)):
+        for _ in range(repeat if name in q else 1):
             t = time.perf_counter()
             fn()
             runs.append(time.perf_counter() - t)
