@@ -25,16 +25,32 @@ from pyspark.sql import functions as F
 from .common import least_rows, scratch, stored
 
 WHITE = r"[\x20\x09-\x0D]+"
-#: A chunk: 256 to 4096 characters, ended where a word of the text ends in
-#: one of a few letters and the next starts with one of a few others, which
-#: happens every few hundred characters of prose.
-CHUNK = r"(?s).{256,4096}?(?<=[dnrst] )(?=[acdehiost])|.{1,4096}"
+#: Where a text may be cut, in its UTF-8 bytes, so that one pattern serves every
+#: script: where a word ends in one of a few Latin letters and the next starts
+#: with one of a few others; behind two characters beyond ASCII whose last bytes
+#: are among eight of 64; behind a digit or a rare letter and another one (tables,
+#: codes).  Each happens every few hundred bytes of such text.
+LAST = r"[\x83\x8B\x93\x9B\xA3\xAB\xB3\xBB]"
+CUTS = (
+    r"(?<=[dnrstDNRST] )(?=[acdehiostACDEHIOST])",
+    rf"(?<={LAST}[\xC2-\xF4][\x80-\xBF]{{0,2}}{LAST})(?![\x80-\xBF])",
+    r"(?<=[0-9qxzQXZ][37jkvxzJKVXZ])",
+)
+#: A chunk: 256 to 4096 bytes, ended at the first place for a cut.
+CHUNK = rf"(?s).{{256,4096}}?(?:{'|'.join(CUTS)})|.{{1,4096}}"
 
 
 def normalised(text):
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WHITE, " ")
 
 
+def chunks(text):
+    """The text's UTF-8 bytes as an array of chunks (binary)."""
+    octets = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    cut = F.regexp_extract_all(octets, F.lit(CHUNK), F.lit(0))
+    return F.transform(cut, lambda c: F.encode(c, "ISO-8859-1"))
+
+
 def _clash_ranks(cut: DataFrame, clashes: DataFrame) -> DataFrame:
     """``(doc_id, text_sha256, recipe)`` where chunk texts share hashes."""
     spots = cut.select(
@@ -68,11 +84,11 @@ def recipes(docs: DataFrame, hash_bits: int = 64, path: str | None = None) -> Da
         .select(
             "doc_id",
             F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"),
-            F.regexp_extract_all("t", F.lit(CHUNK), F.lit(0)).alias("chunks"),
+            chunks(F.col("t")).alias("chunks"),
         )
         .withColumn("hashes", F.transform("chunks", chunk_hash))
     )
-    # Distinct chunks, compared as text; then the hashes of more than one text.
+    # Distinct chunks, compared byte by byte; then the hashes of more than one.
     distinct = cut.select(F.explode("chunks").alias("c")).select(chunk_hash(F.col("c")).alias("h"), "c").distinct()
     many = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     many = stored(many, f"{path}/clashing_hashes")
