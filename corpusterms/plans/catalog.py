@@ -9,13 +9,14 @@ mismatch against the SQL oracle (``plans/oracle.py``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.scores import IDF_LOG10, round_sig
-from ..operators import long_texts, markdown, ngrams, postings, registry, scoring, terms, tokens
+from ..operators import key_index, long_texts, markdown, ngrams, postings, registry, scoring, terms, tokens
 from ..sources import files, tables, wiki
 from ..storage import scratch
 from ..streaming import ingest
@@ -490,3 +491,24 @@ def q_rank_word_blocks(spark, base):
 
 
 QUERIES["rank_word_blocks"] = q_rank_word_blocks
+
+
+def q_concurrent_batches(spark, base):
+    # Two writers at the same moment: all documents, and the labelled ones.
+    store = f"{scratch(spark)}/store"
+    docs = _docs(spark, base)
+    labelled = tables.table(spark, base, "labels").select(F.col("doc_id").alias("document"))
+    with ThreadPoolExecutor(2) as pool:
+        writers = [pool.submit(ingest.ingest_batch, spark, d, store) for d in (docs, docs.join(labelled, "document", "left_semi"))]
+        for w in writers:
+            w.result()
+    return ingest.stored_tables(spark, store)["doc_info"]
+
+
+def q_indexed_new_documents(spark, base):
+    path = f"{scratch(spark)}/keys"
+    labelled = tables.table(spark, base, "labels").select(F.col("doc_id").alias("document"))
+    return key_index.indexed_new_documents(_docs(spark, base), path, key_index.build(labelled, path))
+
+
+QUERIES.update({"concurrent_batches": q_concurrent_batches, "indexed_new_documents": q_indexed_new_documents})

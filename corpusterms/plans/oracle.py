@@ -391,3 +391,6 @@ ORACLE["folder_terms"] = _term_info_from("(SELECT CAST(doc_id AS VARCHAR) AS doc
 ORACLE["store_summary"] = ORACLE["tf_idf_summary"]
 ORACLE["store_term_doc_info"] = ORACLE["term_doc_info"]
 ORACLE["rank_word_blocks"] = ORACLE["rank_word"]
+ORACLE["concurrent_batches"] = ORACLE["doc_info"]
+ORACLE["indexed_new_documents"] = """SELECT d.doc_id AS document, d.text FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""

@@ -8,19 +8,22 @@ Store layout (Parquet, one folder per table, partitioned by the writer's
     <store>/ngram_three/run_id=<r>/batch_id=<n>/     trigram occurrences
     <store>/term_state/run_id=<r>/batch_id=<n>/      the batch's mergeable statistics of each term
     <store>/term_doc_delta/run_id=<r>/batch_id=<n>/  term_doc_info counts of the batch
-    <store>/doc_info/run_id=<r>/batch_id=<n>/        the registry; written last
+    <store>/doc_info/run_id=<r>/batch_id=<n>/        the registry
+    <store>/commits/<number>.json                    the commit log (``streaming.commits``); written last
+    <store>/key_index/<number>/, key_indexes/        indexes of the registry's keys (``index_registry``)
 
 Every writer has a run id of its own (a fresh one per ``ingest_batch`` call; a
 stream's is its query id, which lives in its checkpoint), so no writer can
 overwrite what another has stored.  A batch anti-joins the registry, computes
-every table from one regex pass over the new documents and writes its
-partitions with dynamic partition overwrite, the registry last: a batch
-counts from the moment it is registered, and every reader here leaves out
+every table from one regex pass over the new documents, writes its
+partitions with dynamic partition overwrite and then its commit: a batch
+counts from the moment it is committed, and every reader here leaves out
 batches that are not.  A replayed batch (same run and batch id) leaves its own
 rows out of the anti-join and overwrites exactly its own output.  A stream
 that has lost its checkpoint starts as a new run, for which all stored
-documents are done.  Writers of one store take turns: two that run at the
-same moment do not see each other's documents.
+documents are done.  Several writers may run at once: before it commits, a
+batch compares its documents with those of the batches committed since it read
+the registry, and where they share one it is computed anew without those.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from ..functions.scores import IDF_SERIES, idf
 from ..functions.tokens import word_lane
+from ..operators import key_index
 from ..operators.markdown import markdown_text
 from ..operators.ngrams import ngram_rows
 from ..operators.registry import new_documents
@@ -49,6 +53,7 @@ from ..schemas import TERM_STATS
 from ..session import shared_dir
 from ..sources.files import raw_corpus
 from ..storage import stored
+from . import commits
 
 TABLES = ("term_info", "ngram_two", "ngram_three", "doc_info")
 BATCH_KEY = ["run_id", "batch_id"]
@@ -73,28 +78,94 @@ def read_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:
         raise
 
 
-def registered_batches(spark: SparkSession, store: str) -> DataFrame | None:
-    reg = read_table(spark, store, "doc_info")
-    return None if reg is None else reg.select(*BATCH_KEY).distinct()
+def registered_batches(
+    spark: SparkSession, store: str, after: int = 0, upto: int | None = None
+) -> DataFrame | None:
+    """The keys of the batches committed (after one commit, up to another)."""
+    log = commits.read(spark, store, after, upto)
+    return None if log is None else log.select(*BATCH_KEY).distinct()
+
 
+def stored_table(
+    spark: SparkSession, store: str, name: str, after: int = 0, upto: int | None = None
+) -> DataFrame | None:
+    """The rows of committed batches, with ``run_id`` and ``batch_id``.
 
-def stored_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:
-    """The rows of registered batches, with ``run_id`` and ``batch_id``."""
+    ``upto`` reads the store as it was at that commit (``commits.last``).
+    """
     df = read_table(spark, store, name)
-    if df is None or name == "doc_info":
-        return df
-    done = registered_batches(spark, store)
+    if df is None:
+        return None
+    done = registered_batches(spark, store, after, upto)
     return df.limit(0) if done is None else df.join(done, BATCH_KEY, "left_semi").select(df.columns)
 
 
-def registry(spark: SparkSession, store: str, exclude: tuple[str, int] | None = None) -> DataFrame | None:
+def _of(df: DataFrame, key: tuple[str, int]) -> DataFrame:
+    return df.where((F.col("run_id") == key[0]) & (F.col("batch_id") == key[1]))
+
+
+def registry(
+    spark: SparkSession,
+    store: str,
+    exclude: tuple[str, int] | None = None,
+    after: int = 0,
+    upto: int | None = None,
+) -> DataFrame | None:
     """The document registry, optionally without one batch's partition."""
-    reg = read_table(spark, store, "doc_info")
+    reg = stored_table(spark, store, "doc_info", after, upto)
     if reg is not None and exclude is not None:
         reg = reg.where(~((F.col("run_id") == exclude[0]) & (F.col("batch_id") == exclude[1])))
     return reg
 
 
+def index_registry(spark: SparkSession, store: str, buckets: int | None = None) -> int:
+    """Index the keys registered so far; batches that follow read it.
+
+    A batch then reads the index's filter, the buckets it hits and the registry
+    of the batches committed since, not every key.  Run it now and then: it
+    rewrites the keys alone.  Returns the commit it was made at.
+    """
+    at = commits.last(spark, store)
+    reg = registry(spark, store, upto=at)
+    if reg is None:
+        return at
+    path = table_path(store, f"key_index/{at}-{uuid.uuid4().hex}")
+    measures = key_index.build(reg, path, buckets)
+    row = spark.createDataFrame([(at, path, *measures.values())], "at long, path string, words long, buckets long, keys long")
+    row.coalesce(1).write.mode("append").parquet(table_path(store, "key_indexes"))  # last: from now on it is read
+    return at
+
+
+def ledger_for(
+    spark: SparkSession, store: str, corpus: DataFrame, exclude: tuple[str, int] | None = None, upto: int | None = None
+) -> DataFrame | None:
+    """The registered keys that ``corpus`` may hold: all of them without an index."""
+    made = read_table(spark, store, "key_indexes")
+    if made is not None and upto is not None:
+        made = made.where(F.col("at") <= upto)
+    index = None if made is None else made.orderBy(F.desc("at"), "path").first()
+    replayed = index and exclude and not _of(commits.read(spark, store, upto=index["at"]), exclude).isEmpty()
+    if not index or replayed:  # the index can't leave out a batch it holds
+        return registry(spark, store, exclude, upto=upto)
+    measures = {m: index[m] for m in ("words", "buckets", "keys")}
+    held = key_index.known(corpus.select("document"), index["path"], measures)
+    return registry(spark, store, exclude, index["at"], upto).select("document").unionByName(held)
+
+
+def _commit(spark: SparkSession, store: str, key: tuple[str, int], at: int) -> bool:
+    """Commit the batch as written; False if one committed since ``at`` holds one of its documents."""
+    own = _of(read_table(spark, store, "doc_info"), key).select("document")
+    while True:
+        now = commits.last(spark, store)
+        if now > at:
+            others = registry(spark, store, key, after=at, upto=now).select("document")
+            if not own.join(others, "document", "left_semi").isEmpty():
+                return False
+        if commits.create(spark, store, now + 1, *key):
+            return True
+        at = now  # another took the number: look at its documents, then try the next
+
+
 def _write(df: DataFrame, store: str, name: str) -> None:
     (
         df.write.mode("overwrite")
@@ -228,18 +299,36 @@ def ingest_batch(
     files of the same name come from several folders); ``markdown``: the texts
     are markdown.  Returns the batch's key ``(run_id, batch_id)``: pass it again to replay the batch.
     """
+    given = run_id is not None
     run_id = run_id or f"batch-{uuid.uuid4().hex}"
     key = (run_id, int(batch_id))
     if size == 0:
         return key
+    at = commits.last(spark, store)
+    # A replay of a committed batch writes what lies there; one that was never
+    # committed, or lost to another writer, may now have other documents.
+    committed = given and at > 0 and not _of(commits.read(spark, store), key).isEmpty()
+    tried = given and not committed
+    while True:
+        ledger = ledger_for(spark, store, corpus, key, at)
+        lanes = new_lanes(corpus, ledger, size, dedupe, markdown)
+        written = _write_batch(spark, lanes, store, key, tried)
+        if not written or committed or _commit(spark, store, key, at):
+            return key
+        at, tried = commits.last(spark, store), True
+
+
+def _write_batch(spark: SparkSession, lanes: DataFrame, store: str, key: tuple[str, int], tried: bool) -> bool:
+    """Write every table of a batch; False (and nothing counts) without documents."""
     # One regex pass per document, reused by every table of the batch.  The
     # cache only saves work: what an executor loses is computed anew.
-    lanes = new_lanes(corpus, registry(spark, store, exclude=key), size, dedupe, markdown)
     lanes = lanes.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        mark = [F.lit(key[0]).alias("run_id"), F.lit(key[1]).cast("int").alias("batch_id")]
         if lanes.isEmpty():  # nothing new: leave every table as it is
-            return key
-        mark = [F.lit(run_id).alias("run_id"), F.lit(key[1]).cast("int").alias("batch_id")]
+            if tried:
+                _write(_delta(spark, store, key, None).select("*", *mark), store, "term_doc_delta")
+            return False
         tables = {name: df.select("*", *mark) for name, df in lane_tables(lanes).items()}
         # Sorted by lower inside each file: row-group statistics then prune
         # word look-ups (``lower = ?``) on the stored table.
@@ -251,16 +340,34 @@ def ingest_batch(
                 f.result()
         # The terms' states from the partition just written, and from those the
         # term_doc_info delta, so both are maintained incrementally.
-        def written(name: str) -> DataFrame:
-            return read_table(spark, store, name).where((F.col("run_id") == run_id) & (F.col("batch_id") == key[1]))
-
-        _write(term_state(written("term_info")).select("*", *mark), store, "term_state")
-        delta = written("term_state").select("term", F.col("rows").alias("doc_count"))
+        # (A store whose documents have no terms yet has no file of either.)
+        infos = read_table(spark, store, "term_info")
+        state = term_state(tables["term_info"] if infos is None else _of(infos, key))
+        _write(state.select("*", *mark), store, "term_state")
+        states = read_table(spark, store, "term_state")
+        states = state if states is None else _of(states, key)
+        delta = states.select("term", F.col("rows").alias("doc_count"))
+        if tried:
+            delta = _delta(spark, store, key, delta)
         _write(delta.select("*", *mark), store, "term_doc_delta")
-        _write(tables["doc_info"], store, "doc_info")  # last: marks the documents done
+        _write(tables["doc_info"], store, "doc_info")
     finally:
         lanes.unpersist()
-    return key
+    return True
+
+
+def _delta(spark: SparkSession, store: str, key: tuple[str, int], delta: DataFrame | None) -> DataFrame:
+    """``delta``, with 0 for each term that an earlier try of the batch counted and it does not.
+
+    Who follows the deltas as they arrive then takes back what that try said.
+    """
+    empty = spark.createDataFrame([], "term string, doc_count long")
+    delta = empty if delta is None else delta
+    old = read_table(spark, store, "term_doc_delta")
+    if old is None:
+        return delta
+    old = stored(_of(old, key).select("term"))  # written: its files are about to be replaced
+    return delta.unionByName(old.join(delta, "term", "left_anti").select("term", F.lit(0).cast("long").alias("doc_count")))
 
 
 def ingest_stream(
@@ -355,7 +462,7 @@ def stored_term_doc_info(spark: SparkSession, store: str) -> DataFrame | None:
     delta = stored_table(spark, store, "term_doc_delta")
     if delta is None:
         return None
-    return delta.groupBy("term").agg(F.sum("doc_count").cast("long").alias("doc_count"))
+    return delta.groupBy("term").agg(F.sum("doc_count").cast("long").alias("doc_count")).where("doc_count > 0")
 
 
 def stored_tables(spark: SparkSession, store: str) -> dict[str, DataFrame]:
@@ -388,4 +495,5 @@ def compact(spark: SparkSession, store: str, out: str) -> tuple[str, int]:
         if tables.get(name) is not None:
             ranged = tables[name].repartitionByRange(*by).sortWithinPartitions(*by)
             _write(ranged.select("*", *mark), out, name)
+    commits.create(spark, out, commits.last(spark, out) + 1, *key)
     return key
