@@ -96,7 +96,7 @@ def stored_table(
     df = read_table(spark, store, name)
     if df is None:
         return None
-    done = registered_batches(spark, store, after, upto)
+    done = commits.read(spark, store, after, upto)
     return df.limit(0) if done is None else df.join(done, BATCH_KEY, "left_semi").select(df.columns)
 
 
