@@ -15,6 +15,10 @@ is stitched; the results equal those of the uncut text.
   belongs to the run's token.
 * Counts of pieces are summed per document; positions start where the tokens
   of the pieces before end; a piece's n-grams see the first words of the next.
+* Pieces are dealt by groups of ``GROUP`` neighbours, so that they are stitched
+  where they lie.  Only texts of more groups need what other groups tell: a row
+  a group, and for the tables of counts a sum over the groups.  So what is
+  shuffled is text, not tokens, but for the counts of such texts.
 """
 
 from __future__ import annotations
@@ -22,13 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import ALNUM, PUNCT_CLASS, TABLE_OPEN, token_array, token_kind, word_lane
+from ..functions.arrays import with_value_counts
+from ..functions.tokens import ALNUM, PUNCT_CLASS, TABLE_OPEN, WHITE_SPACE_CLASS, token_array, token_kind, word_lane
 from ..storage import stored
 from .ngrams import _lowers, _ngram_array
 from .terms import doc_terms_from_words
 
 #: Characters of a piece, at least.
 PIECE = 1 << 20
+#: Pieces of a text, one after another, that are dealt to one task.
+GROUP = 16
 _KNOWN = ALNUM + r" \t\r\n" + PUNCT_CLASS
 _RUN = rf"^[{_KNOWN}]*"
 
@@ -37,47 +44,59 @@ def _order():
     return Window.partitionBy("row").orderBy("piece")
 
 
+def _in_group():
+    return Window.partitionBy("row", "group").orderBy("piece")
+
+
+def _over_groups():
+    return Window.partitionBy("row").orderBy("group")
+
+
 def _cuts(text: Column, least: int) -> Column:
     cut = rf"(?s).{{{least},}}?(?:(?<=[ \t\r\n])|(?<=[^{_KNOWN}])|\z)|.+"
     return F.when(F.length(text) <= least, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(cut), F.lit(0)))
 
 
 def text_pieces(corpus: DataFrame, least: int = PIECE) -> DataFrame:
-    """``(document, row, piece, text, swallowed, owner)``: the stored pieces of a corpus.
+    """``(document, row, piece, group, many, text, swallowed, owner)``: the stored pieces of a corpus.
 
     ``row`` numbers the rows of the corpus (names may come again), ``piece``
-    the pieces of one.  ``text`` is what begins tokens in the piece;
-    ``swallowed`` what goes before, to the wiki-table run that began in piece
-    ``owner`` (null: none is open).  A null or empty text is one empty piece.
+    the pieces of one, ``group`` their groups; ``many``: the text has more than
+    one.  ``text`` is what begins tokens in the piece; ``swallowed`` what goes
+    before, to the wiki-table run that began in piece ``owner`` (null: none is
+    open).  A null or empty text is one empty piece.
     """
-    spark = corpus.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = corpus.select("document", F.monotonically_increasing_id().alias("row"), _cuts(text, least).alias("pieces"))
-    cut = rows.select("document", "row", F.posexplode("pieces").alias("piece", "text"))
-    cut = stored(cut.repartition(tasks, "row", "piece"))
+    many = F.size("pieces") > GROUP
+    cut = rows.select("document", "row", many.alias("many"), F.posexplode("pieces").alias("piece", "text"))
     # A run is open at the end if a ``{|`` comes behind the last lone character.
     alone = F.col("text").rlike(f"[^{_KNOWN}]")
     tail = F.regexp_extract("text", rf"(?<![{_KNOWN}])[{_KNOWN}]*+\z", 0)
-    opens = F.when(F.contains(tail, F.lit(TABLE_OPEN)), True).when(alone, False)
-    every = cut.select("row", "piece", opens.alias("opens"), alone.alias("alone"))
+    ends_open = F.contains("text", F.lit(TABLE_OPEN)) & F.contains(tail, F.lit(TABLE_OPEN))
+    group = F.expr(f"piece div {GROUP}").cast("int")
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cut = cut.repartition(tasks, "row", "piece")
+    cut = stored(cut.select("*", group.alias("group"), alone.alias("alone"), ends_open.alias("ends_open")))
+    opens = F.when(F.col("ends_open"), True).when(F.col("alone"), False)
+    every = cut.select("row", "piece", opens.alias("opens"), "alone")
     before = _order().rowsBetween(Window.unboundedPreceding, -1)
     every = every.withColumn("entered", F.coalesce(F.last("opens", ignorenulls=True).over(before), F.lit(False)))
     # A ``{|`` within an open run begins none.
     begins = F.when(F.col("opens") & (F.col("alone") | ~F.col("entered")), F.col("piece"))
     every = every.withColumn("owner", F.last(begins, ignorenulls=True).over(before)).where("entered").select("row", "piece", "owner")
-    both = cut.join(every, ["row", "piece"], "left")
+    # Stored: the join sees how few there are, and the texts stay where they lie.
+    both = cut.join(stored(every), ["row", "piece"], "left")
     swallowed = F.when(F.col("owner").isNotNull(), F.regexp_extract("text", _RUN, 0)).otherwise("")
     both = both.withColumn("swallowed", swallowed)
     rest = F.expr("substr(text, length(swallowed) + 1)")
-    return both.select("document", "row", "piece", rest.alias("text"), "swallowed", "owner")
+    return both.select("document", "row", "piece", "group", "many", rest.alias("text"), "swallowed", "owner")
 
 
-def _with_first(pieces: DataFrame, size: Column) -> DataFrame:
-    """``first``: the number of tokens in the pieces before."""
-    sizes = pieces.select("row", "piece", size.cast("long").alias("size"))
-    first = F.coalesce(F.sum("size").over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pieces.join(sizes.select("row", "piece", first.alias("first")), ["row", "piece"])
+def _dealt(pieces: DataFrame) -> DataFrame:
+    """The pieces, those of a group in one task."""
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return pieces.repartition(tasks, "row", "group")
 
 
 def tokens(corpus: DataFrame, least: int = PIECE) -> DataFrame:
@@ -85,54 +104,85 @@ def tokens(corpus: DataFrame, least: int = PIECE) -> DataFrame:
     pieces = text_pieces(corpus, least)
     parts = pieces.where(F.col("owner").isNotNull()).groupBy("row", F.col("owner").alias("piece"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "swallowed"))), lambda x: x["swallowed"]), "")
-    more = parts.agg(joined.alias("more"))
-    listed = stored(pieces.select("document", "row", "piece", token_array(F.col("text")).alias("tokens")))
-    listed = _with_first(listed, F.size("tokens")).join(more, ["row", "piece"], "left")
-    last = F.size("tokens") - 1
-    each = listed.select("document", "first", "more", last.alias("last"), F.posexplode("tokens").alias("at", "token"))
-    whole = F.when(F.col("at") == F.col("last"), F.concat("token", F.coalesce("more", F.lit("")))).otherwise(F.col("token"))
+    more = stored(parts.agg(joined.alias("more")))
+    # Where the groups of a text begin.
+    counted = pieces.where("many").groupBy("row", "group").agg(F.sum(F.size(token_array(F.col("text")))).alias("size"))
+    before = _over_groups().rowsBetween(Window.unboundedPreceding, -1)
+    base = stored(counted.select("row", "group", F.sum("size").over(before).alias("base")).where("group > 0"))
+    listed = _dealt(pieces.select("document", "row", "group", "piece", "text").join(more, ["row", "piece"], "left"))
+    listed = listed.select("document", "row", "group", "piece", "more", token_array(F.col("text")).alias("tokens"))
+    listed = listed.withColumn("size", F.size("tokens"))
+    inside = F.sum("size").over(_in_group().rowsBetween(Window.unboundedPreceding, -1))
+    listed = listed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(base, ["row", "group"], "left")
+    first = F.col("inside") + F.coalesce("base", F.lit(0))
+    each = listed.select("document", first.alias("first"), "more", (F.col("size") - 1).alias("last"), F.posexplode_outer("tokens").alias("at", "token"))
+    each = each.where(F.col("token").isNotNull())
+    whole = F.when(F.col("more").isNotNull() & (F.col("at") == F.col("last")), F.concat("token", "more")).otherwise(F.col("token"))
     kind = token_kind(F.col("token"))
     return each.select("document", (F.col("first") + F.col("at")).alias("pos"), whole.alias("token"), kind.alias("kind"))
 
 
-def _lanes(corpus: DataFrame, least: int) -> DataFrame:
-    return text_pieces(corpus, least).select("document", "row", "piece", word_lane(F.col("text")).alias("lane"))
+def _words(pieces: DataFrame) -> DataFrame:
+    """``(document, words)`` of each group; its document is named ``(document, row)``."""
+    lanes = _dealt(pieces).select("document", "row", "group", F.array_remove(word_lane(F.col("text")), "").alias("words"))
+    grouped = lanes.groupBy("document", "row", "group").agg(F.flatten(F.collect_list("words")).alias("words"))
+    return grouped.select(F.struct("document", "row").alias("document"), "words")
 
 
 def term_info(corpus: DataFrame, least: int = PIECE) -> DataFrame:
     """``operators.terms.term_info`` of texts of any length.
 
-    Terms are counted within the pieces, then summed per document (rows of
-    one name apart): one exchange of a piece's distinct terms.
+    Terms are counted within the groups, then, for texts of more than one,
+    summed per document (rows of one name apart): an exchange of their groups'
+    distinct terms.
     """
-    words = _lanes(corpus, least).select(F.struct("document", "row").alias("document"), F.array_remove("lane", "").alias("words"))
-    # The outer generators: see terms.term_stats.
-    terms = doc_terms_from_words(words).select("document", F.inline_outer("terms")).where(F.col("term").isNotNull())
-    counted = stored(terms.groupBy("document", "term", "lower").agg(F.sum("occurence").alias("occurence")))
+    pieces = text_pieces(corpus, least)
+    frequency = (F.col("occurence") / F.col("term_count").cast("double")).alias("frequency")
+
+    def rows(some: DataFrame) -> DataFrame:
+        # The outer generators: see terms.term_stats.
+        return doc_terms_from_words(_words(some)).select("document", "term_count", F.inline_outer("terms")).where(F.col("term").isNotNull())
+
+    one = rows(pieces.where("not many")).select("document.document", "term", "lower", "occurence", frequency)
+    counted = stored(rows(pieces.where("many")).groupBy("document", "term", "lower").agg(F.sum("occurence").alias("occurence")))
     totals = counted.groupBy("document").agg(F.count(F.lit(1)).alias("term_count"))
-    return counted.join(totals, "document").select(
-        "document.document", "term", "lower", "occurence", (F.col("occurence") / F.col("term_count").cast("double")).alias("frequency")
-    )
+    return one.unionByName(counted.join(totals, "document").select("document.document", "term", "lower", "occurence", frequency))
 
 
 def doc_info(corpus: DataFrame, least: int = PIECE) -> DataFrame:
     """``operators.terms.doc_info`` of texts of any length."""
-    words = _lanes(corpus, least).select("document", "row", F.explode_outer(F.array_distinct(F.array_remove("lane", ""))).alias("term"))
-    terms = words.groupBy("document", "row", "term").agg(F.lit(1).alias("one"))
-    counts = terms.groupBy("document", "row").agg(F.count("term").alias("term_count"))
-    return counts.select("document", "term_count")
+    pieces = text_pieces(corpus, least)
+    one = _words(pieces.where("not many")).select("document.document", F.size(F.array_distinct("words")).cast("long").alias("term_count"))
+    words = _words(pieces.where("many")).select("document", F.explode_outer(F.array_distinct("words")).alias("term"))
+    terms = words.groupBy("document", "term").agg(F.lit(1).alias("one"))
+    counts = terms.groupBy("document").agg(F.count("term").alias("term_count"))
+    return one.unionByName(counts.select("document.document", "term_count"))
 
 
 def _ngrams(corpus: DataFrame, n: int, least: int) -> DataFrame:
-    """``(document, row, grams)`` by piece, with those that reach into the next."""
-    lanes = stored(_lanes(corpus, least).where(F.size("lane") > 0))
+    """``(document, row, group, many, grams)`` by piece, with those that reach into the next."""
     # Every piece here has a token, so the next n - 1 tokens are in the next n - 1 pieces.
-    heads = lanes.select("row", "piece", F.slice("lane", 1, n - 1).alias("head"))
-    none = F.array().cast("array<string>")
-    ahead = F.concat(*[F.coalesce(F.lead("head", k).over(_order()), none) for k in range(1, n)])
-    heads = heads.select("row", "piece", F.slice(ahead, 1, n - 1).alias("ahead"))
-    both = lanes.join(heads, ["row", "piece"]).select("document", "row", F.concat("lane", "ahead").alias("lane"))
-    return both.select("document", "row", _ngram_array(F.col("lane"), n).alias("grams"))
+    pieces = text_pieces(corpus, least).where(F.col("text").rlike(f"[^{WHITE_SPACE_CLASS}]"))
+    lane, none = word_lane(F.col("text")), F.array().cast("array<string>")
+
+    def ahead(window) -> list[Column]:
+        return [F.coalesce(F.lead("head", k).over(window), none) for k in range(1, n)]
+
+    def heads(of: Column) -> Column:
+        return F.slice(of, 1, n - 1).alias("head")
+
+    # What a group of a longer text needs of the next ones: so many tokens at most.
+    begun = pieces.where("many").select("row", "group", "piece", heads(lane))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "head"))), lambda x: x["head"]))
+    begun = begun.groupBy("row", "group").agg(heads(listed))
+    behind = stored(begun.select("row", "group", F.slice(F.concat(*ahead(_over_groups())), 1, n - 1).alias("behind")))
+    lanes = _dealt(pieces).select("document", "row", "group", "piece", "many", lane.alias("lane"))
+    lanes = lanes.select("*", heads(F.col("lane")))
+    lanes = lanes.select("document", "row", "group", "many", "lane", F.concat(*ahead(_in_group())).alias("ahead"))
+    lanes = lanes.join(behind, ["row", "group"], "left")
+    after = F.slice(F.concat("ahead", F.coalesce("behind", none)), 1, n - 1)
+    both = lanes.select("document", "row", "group", "many", F.concat("lane", after).alias("lane"))
+    return both.select("document", "row", "group", "many", _ngram_array(F.col("lane"), n).alias("grams"))
 
 
 def ngram_rows(corpus: DataFrame, n: int = 2, least: int = PIECE) -> DataFrame:
@@ -142,7 +192,18 @@ def ngram_rows(corpus: DataFrame, n: int = 2, least: int = PIECE) -> DataFrame:
 
 
 def ngram_counts(corpus: DataFrame, n: int = 2, least: int = PIECE) -> DataFrame:
-    """``operators.ngrams.ngram_counts`` of texts of any length."""
-    g = _ngrams(corpus, n, least).select("document", "row", F.explode_outer("grams").alias("term"))
-    counted = g.where(F.col("term").isNotNull()).groupBy("document", "row", "term").agg(F.count(F.lit(1)).alias("occurence"))
-    return counted.select("document", "term", *_lowers(F.col("term"), n), "occurence")
+    """``operators.ngrams.ngram_counts`` of texts of any length.
+
+    Counted within the groups; those of longer texts are summed.
+    """
+    grams = _ngrams(corpus, n, least)
+
+    def rows(some: DataFrame) -> DataFrame:
+        grouped = some.groupBy("document", "row", "group").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+        counted = with_value_counts(grouped, "grams", "vc", ["document", "row"])
+        found = counted.select("document", "row", F.inline_outer("vc")).where(F.col("value").isNotNull())
+        return found.select("document", "row", F.col("value").alias("term"), F.col("count").cast("long").alias("occurence"))
+
+    summed = rows(grams.where("many")).groupBy("document", "row", "term").agg(F.sum("occurence").alias("occurence"))
+    both = rows(grams.where("not many")).unionByName(summed)
+    return both.select("document", "term", *_lowers(F.col("term"), n), "occurence")
