@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import with_value_counts
-from ..functions.tokens import word_lane
+from ..functions.tokens import KIND_TEXT, word_lane
 
 
 def _ngram_array(lane: Column, n: int) -> Column:
@@ -80,10 +80,24 @@ def count_rows(bag: DataFrame) -> DataFrame:
     """Group an n-gram bag (e.g. a stored ``ngram_two``) into counts.
 
     One ``groupBy`` with partial aggregation; rows of one document written
-    by one task collapse before the exchange.
+    by one task collapse before the exchange.  The lower-cased members are made
+    from the term behind the exchange; only a row with other ones ships them.
     """
     keys = [c for c in bag.columns if c == "document" or c == "term" or c.startswith("lower")]
-    return bag.groupBy(*keys).agg(F.sum("occurence").cast("long").alias("occurence"))
+    lowers = [c for c in keys if c.startswith("lower")]
+    n = len(lowers)
+    if "term" not in keys or set(lowers) != {f"lower{i + 1}" for i in range(n)} or not n:
+        return bag.groupBy(*keys).agg(F.sum("occurence").cast("long").alias("occurence"))
+    # (Made from a term again, so that no list of parts is kept for every row.)
+    same = F.lower("term").eqNullSafe(F.concat_ws(" ", *[f"lower{i + 1}" for i in range(n)]))
+    for c in lowers:
+        same = same & F.col(c).isNotNull() & ~F.contains(c, F.lit(" "))
+    others = F.when(same, None).otherwise(F.struct(*lowers))
+    counted = bag.select("document", "term", others.alias("others"), "occurence")
+    counted = counted.groupBy("document", "term", "others").agg(F.sum("occurence").cast("long").alias("occurence"))
+    made = dict(zip([f"lower{i + 1}" for i in range(n)], _lowers(F.col("term"), n), strict=True))
+    columns = [F.when(F.col("others").isNull(), made[c]).otherwise(F.col(f"others.{c}")).alias(c) if c in made else F.col(c) for c in keys]
+    return counted.select(*columns, "occurence")
 
 
 def ngram_rows_from_tokens(tokens_df: DataFrame, n: int = 2, block: int = 100_000) -> DataFrame:
@@ -93,8 +107,9 @@ def ngram_rows_from_tokens(tokens_df: DataFrame, n: int = 2, block: int = 100_00
     stand at positions one after another, all word tokens.  ``lead`` runs over
     a window per (document, ``block`` positions); a block is handed the first
     ``n - 1`` tokens of the next, so no window holds a whole document and a
-    long one is dealt over tasks.  From raw text ``ngram_rows`` is cheaper, as
-    it needs no shuffle.
+    long one is dealt over tasks.  Only word tokens are shuffled: what stands
+    between them shows as a gap in the positions.  From raw text ``ngram_rows``
+    is cheaper, as it needs no shuffle.
     """
     if n not in (2, 3):
         raise ValueError("n must be 2 or 3")
@@ -103,13 +118,14 @@ def ngram_rows_from_tokens(tokens_df: DataFrame, n: int = 2, block: int = 100_00
     # The first tokens of a block also go to the block before.
     halo = (F.col("pos") % block < n - 1) & (own > 0)
     places = F.when(halo, F.array(own, own - 1)).otherwise(F.array(own))
-    dealt = tokens_df.select("document", "pos", "token", "kind", F.explode(places).alias("block"))
+    # (The outer generator: see terms.term_stats.)
+    words = tokens_df.where(F.col("kind") == KIND_TEXT).select("document", "pos", "token", F.explode_outer(places).alias("block"))
     w = Window.partitionBy("document", "block").orderBy("pos")
-    ahead = [F.lead(F.struct("token", "kind", "pos"), k).over(w).alias(f"t{k}") for k in range(1, n)]
-    t = dealt.select("document", "pos", "block", "token", "kind", *ahead)
-    ok = (F.col("kind") == "text") & (own == F.col("block"))
+    ahead = [F.lead(F.struct("token", "pos"), k).over(w).alias(f"t{k}") for k in range(1, n)]
+    t = words.select("document", "pos", "block", "token", *ahead)
+    ok = own == F.col("block")
     for k in range(1, n):
-        ok = ok & (F.col(f"t{k}.kind") == "text") & (F.col(f"t{k}.pos") == F.col("pos") + k)
+        ok = ok & (F.col(f"t{k}.pos") == F.col("pos") + k)
     members = [F.col("token")] + [F.col(f"t{k}.token") for k in range(1, n)]
     g = t.where(ok).select("document", F.concat_ws(" ", *members).alias("term"))
     return g.select("document", "term", *_lowers(F.col("term"), n), F.lit(1).cast("long").alias("occurence"))
