@@ -12,7 +12,7 @@ document costs one row per map task, not one row per document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import run_struct, sorted_runs
@@ -183,32 +183,29 @@ def _as_term_stats(df: DataFrame) -> DataFrame:
 def enrich_term_info(ti: DataFrame) -> DataFrame:
     """Add the per-document columns to a plain ``term_info`` table.
 
-    For tables written elsewhere (without our helper columns).  Per-document
-    totals are aggregated (partial aggregation first, so a huge document is
-    not one hot group) and joined back on ``document``; AQE splits a skewed
-    join partition.
+    For tables written elsewhere (without our helper columns).  One exchange by
+    document and one sort by (document, lower): totals are windows over a
+    document's rows, which wait on disk where there are too many for memory.
     """
-    per_doc = ti.groupBy("document").agg(
-        F.sum("occurence").cast("long").alias("token_total"),
-        F.count(F.lit(1)).alias("term_count"),
-        F.min(F.struct("lower", "term")).alias("_first"),
+    words = Window.partitionBy("document", "lower")
+    whole = Window.partitionBy("document")
+    known = ti.where(F.col("document").isNotNull()).repartition("document")  # rows without a key are left out
+    columns = ["document", "term", "lower", "occurence"]
+    out = known.select(*columns, F.min("term").over(words).alias("_lf_term"))
+    out = out.select(
+        "*",
+        F.sum("occurence").over(whole).cast("long").alias("token_total"),
+        F.count(F.lit(1)).over(whole).alias("term_count"),
+        F.min(F.struct("lower", "term")).over(whole).alias("_first"),
     )
-    per_doc_lower = ti.groupBy("document", "lower").agg(F.min("term").alias("_lf_term"))
-    out = (
-        ti.join(per_doc, "document")
-        .join(per_doc_lower, ["document", "lower"])
-        .select(
-            "document",
-            "term",
-            "lower",
-            F.col("occurence").cast("long").alias("occurence"),
-            (F.col("occurence") / F.col("term_count").cast("double")).alias("frequency"),
-            "term_count",
-            "token_total",
-            (F.col("term") == F.col("_lf_term")).alias("lower_first"),
-            ((F.col("_first.lower") == F.col("lower")) & (F.col("_first.term") == F.col("term"))).alias(
-                "doc_first"
-            ),
-        )
+    return out.where(F.col("lower").isNotNull()).select(
+        "document",
+        "term",
+        "lower",
+        F.col("occurence").cast("long").alias("occurence"),
+        (F.col("occurence") / F.col("term_count").cast("double")).alias("frequency"),
+        "term_count",
+        "token_total",
+        (F.col("term") == F.col("_lf_term")).alias("lower_first"),
+        ((F.col("_first.lower") == F.col("lower")) & (F.col("_first.term") == F.col("term"))).alias("doc_first"),
     )
-    return out
