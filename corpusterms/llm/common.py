@@ -9,6 +9,7 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches  # noqa: F401
 from ..storage import scratch, stored  # noqa: F401
 
 
@@ -26,16 +27,6 @@ def worker_cache() -> dict:
     return module.entries
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python workers 8 MB at a time, unless the session says otherwise.
-
-    Both the executor and the worker hold a batch; Spark's own bound is 64 MB.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(8 << 20))
-
-
 def parts(spark: SparkSession, per_task: int, total: int) -> int:
     """Shuffle partitions so that each holds about ``per_task`` of ``total``."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

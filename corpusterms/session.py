@@ -29,6 +29,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession | None = None) -> None:
+    """Hand texts to Python workers 8 MB at a time, unless the session says otherwise.
+
+    Both the executor and the worker hold a batch; Spark's own bound is 64 MB.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(8 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names, which all executors share."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
