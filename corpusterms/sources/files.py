@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..operators.markdown import markdown_text
 
+#: Folders that documents written as files are dealt to.
+FOLDERS = 1024
+
 
 def read_documents(spark: SparkSession, path: str, markdown: bool = True) -> DataFrame:
     """Corpus ``(document, text)`` from the files directly in ``path``.
@@ -35,13 +38,17 @@ def write_documents(docs: DataFrame, path: str, text_col: str = "text") -> None:
 
 
 def write_document_files(docs: DataFrame, path: str) -> None:
-    """A file per document: ``<path>/document=<key>/part-*.txt`` (one line end is added).
+    """A file per document: ``<path>/folder=<n>/document=<key>/part-*.txt`` (one line end is added).
 
     Spark's own partitioned text sink, so any file system and any key will do.
-    Documents are dealt by key first: a task opens one file after the other.
+    Documents are dealt by folder (``FOLDERS`` of them, by a hash of the key):
+    a task opens one file after the other, the commit moves whole folders, not
+    documents, and folders are listed by many tasks.
     """
-    rows = docs.select(F.col("document").cast("string").alias("document"), F.coalesce("text", F.lit("")).alias("value"))
-    rows.repartition("document").write.mode("overwrite").partitionBy("document").text(path)
+    key = F.col("document").cast("string")
+    folder = F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int").alias("folder")
+    rows = docs.select(folder, key.alias("document"), F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("folder").write.mode("overwrite").partitionBy("folder", "document").text(path)
 
 
 def read_document_files(spark: SparkSession, path: str, markdown: bool = False) -> DataFrame:
@@ -53,7 +60,8 @@ def read_document_files(spark: SparkSession, path: str, markdown: bool = False)
     ``spark.sql.files.openCostInBytes`` more, so tasks hold about
     ``spark.sql.files.maxPartitionBytes``, not a file each.
     """
-    schema = StructType([StructField("value", StringType()), StructField("document", StringType())])
+    fields = [StructField("value", StringType()), StructField("folder", IntegerType()), StructField("document", StringType())]
+    schema = StructType(fields)
     raw = spark.read.schema(schema).text(path, wholetext=True)
     text = F.regexp_replace("value", r"\r?\n\z", "")
     corpus = raw.select("document", text.alias("text"))
