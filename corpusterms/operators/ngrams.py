@@ -58,10 +58,27 @@ def ngram_rows(corpus: DataFrame, n: int = 2) -> DataFrame:
     Columns: document, term (original case, space-joined), lower1..lowerN,
     occurence.
     """
+    if n not in (2, 3):
+        raise ValueError("n must be 2 or 3")
+    if "lane" not in corpus.columns:
+        corpus = corpus.select("document", word_lane(F.col("text")).alias("lane"))
+    # A row per slot that reads its members at its place in the lane and in the
+    # lower-cased lane (as many slots: words hold no spaces): plain expressions,
+    # compiled, where a lambda would be interpreted slot by slot.
+    lowers = F.split(F.lower(F.array_join("lane", " ")), " ")
     # _outer + filter: see terms.term_stats (no inferred pre-filter).
-    g = ngram_arrays(corpus, n).select("document", F.explode_outer("grams").alias("term"))
-    g = g.where(F.col("term").isNotNull())
-    return g.select("document", "term", *_lowers(F.col("term"), n), F.lit(1).cast("long").alias("occurence"))
+    g = corpus.select("document", "lane", lowers.alias("lowers"))
+    g = g.select("document", "lane", "lowers", F.posexplode_outer("lane").alias("at", "first"))
+    members = [F.col("first"), *[F.get("lane", F.col("at") + i) for i in range(1, n)]]
+    whole = F.lit(True)
+    for m in members:
+        whole = whole & (m != "")
+    return g.where(whole).select(
+        "document",
+        F.concat_ws(" ", *members).alias("term"),
+        *[F.get("lowers", F.col("at") + i).alias(f"lower{i + 1}") for i in range(n)],
+        F.lit(1).cast("long").alias("occurence"),
+    )
 
 
 def ngram_counts(corpus: DataFrame, n: int = 2) -> DataFrame:

@@ -30,8 +30,8 @@ def doc_terms(corpus: DataFrame) -> DataFrame:
     return doc_terms_from_words(corpus.select("document", word_array(F.col("text")).alias("words")))
 
 
-def doc_terms_from_words(words: DataFrame) -> DataFrame:
-    """``doc_terms`` from (document, words array<string>) in text order."""
+def _sorted_words(words: DataFrame) -> DataFrame:
+    """The words of each document sorted by (lower, term), with the ends of their runs."""
     # (lower, term) pairs without a per-element lambda: words hold no spaces,
     # so lower-casing the space-joined words and splitting again lines up.
     n = F.size("words")
@@ -42,7 +42,12 @@ def doc_terms_from_words(words: DataFrame) -> DataFrame:
         "document", F.arrays_zip(lowers.alias("lower"), F.col("words").alias("term")).alias("w")
     )
     # Sorted by (lower, term); the term alone decides equality.
-    runs = sorted_runs(pairs, "w", ["document"], key=lambda e: e["term"])
+    return sorted_runs(pairs, "w", ["document"], key=lambda e: e["term"])
+
+
+def doc_terms_from_words(words: DataFrame) -> DataFrame:
+    """``doc_terms`` from (document, words array<string>) in text order."""
+    runs = _sorted_words(words)
 
     def build(v, count, prev):
         return F.struct(
@@ -61,6 +66,32 @@ def doc_terms_from_words(words: DataFrame) -> DataFrame:
     )
 
 
+def term_stats_from_words(words: DataFrame) -> DataFrame:
+    """``term_stats`` from (document, words array<string>) in text order.
+
+    A row per run of equal words, which reads its word and those of the run
+    before at their places: plain expressions, compiled, where building the
+    terms of a document first would be interpreted term by term.
+    """
+    # The _outer generator: see term_stats.
+    rows = _sorted_words(words).select("document", "_s", "_e", "_n", F.posexplode_outer("_e").alias("_i", "_at"))
+    rows = rows.where(F.col("_at").isNotNull())
+    start = F.coalesce(F.get("_e", F.col("_i") - 1), F.lit(-1))
+    word, before = F.get("_s", F.col("_at")), F.get("_s", start)
+    occurence, term_count = (F.col("_at") - start).cast("long"), F.size("_e").cast("long")
+    return rows.select(
+        "document",
+        word["term"].alias("term"),
+        word["lower"].alias("lower"),
+        occurence.alias("occurence"),
+        (occurence / term_count.cast("double")).alias("frequency"),
+        term_count.alias("term_count"),
+        F.col("_n").cast("long").alias("token_total"),
+        ((F.col("_i") == 0) | (before["lower"] != word["lower"])).alias("lower_first"),
+        (F.col("_i") == 0).alias("doc_first"),
+    )
+
+
 def term_stats(corpus_or_doc_terms: DataFrame) -> DataFrame:
     """One row per (document, cased term), with per-document context.
 
@@ -69,7 +100,9 @@ def term_stats(corpus_or_doc_terms: DataFrame) -> DataFrame:
     doc_first (one row per document is flagged).  This is the enriched
     ``term_info`` that the scoring operators read.
     """
-    dt = _as_doc_terms(corpus_or_doc_terms)
+    if not _DOC_TERMS_COLS.issubset(corpus_or_doc_terms.columns):
+        return term_stats_from_words(corpus_or_doc_terms.select("document", word_array(F.col("text")).alias("words")))
+    dt = corpus_or_doc_terms
     # The _outer generator keeps Catalyst from inferring a ``size(terms) > 0``
     # filter, which it would push below the projections above and thereby
     # evaluate the whole tokenize-and-count chain a second time.

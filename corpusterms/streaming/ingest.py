@@ -48,7 +48,7 @@ from ..operators import key_index
 from ..operators.markdown import markdown_text
 from ..operators.ngrams import ngram_rows
 from ..operators.registry import new_documents
-from ..operators.terms import doc_terms_from_words, term_stats
+from ..operators.terms import term_stats_from_words
 from ..schemas import TERM_STATS
 from ..session import shared_dir
 from ..sources.files import raw_corpus
@@ -167,12 +167,11 @@ def _commit(spark: SparkSession, store: str, key: tuple[str, int], at: int) -> b
 
 
 def _write(df: DataFrame, store: str, name: str) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*BATCH_KEY)
-        .parquet(table_path(store, name))
-    )
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BATCH_KEY)
+    if name in ("ngram_two", "ngram_three"):
+        # Hardly an n-gram comes twice in a row group: no dictionary to look them up in.
+        writer = writer.option("parquet.enable.dictionary#term", "false")
+    writer.parquet(table_path(store, name))
 
 
 def new_lanes(
@@ -198,7 +197,7 @@ def new_lanes(
 def lane_tables(lanes: DataFrame) -> dict[str, DataFrame]:
     """Every table of a batch from its (document, lane) rows."""
     words = lanes.select("document", F.array_remove("lane", "").alias("words"))
-    ts = term_stats(doc_terms_from_words(words)).select(*TERM_STATS.fieldNames())
+    ts = term_stats_from_words(words).select(*TERM_STATS.fieldNames())
     return {
         "term_info": ts,
         # The bag (one row per occurrence), as the reference's tables hold
@@ -321,11 +320,14 @@ def ingest_batch(
 def _write_batch(spark: SparkSession, lanes: DataFrame, store: str, key: tuple[str, int], tried: bool) -> bool:
     """Write every table of a batch; False (and nothing counts) without documents."""
     # One regex pass per document, reused by every table of the batch.  The
-    # cache only saves work: what an executor loses is computed anew.
-    lanes = lanes.persist(StorageLevel.MEMORY_AND_DISK)
+    # cache only saves work: what an executor loses is computed anew.  It holds
+    # a lane as one string (words hold no spaces), about as long as the text: an
+    # array's slots take several times that.
+    kept = lanes.select("document", F.array_join("lane", " ").alias("lane")).persist(StorageLevel.MEMORY_AND_DISK)
+    lanes = kept.select("document", F.split("lane", " ").alias("lane"))
     try:
         mark = [F.lit(key[0]).alias("run_id"), F.lit(key[1]).cast("int").alias("batch_id")]
-        if lanes.isEmpty():  # nothing new: leave every table as it is
+        if kept.isEmpty():  # nothing new: leave every table as it is
             if tried:
                 _write(_delta(spark, store, key, None).select("*", *mark), store, "term_doc_delta")
             return False
@@ -352,7 +354,7 @@ def _write_batch(spark: SparkSession, lanes: DataFrame, store: str, key: tuple[s
         _write(delta.select("*", *mark), store, "term_doc_delta")
         _write(tables["doc_info"], store, "doc_info")
     finally:
-        lanes.unpersist()
+        kept.unpersist()
     return True
 
 
