@@ -14,7 +14,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -58,6 +59,28 @@ def _spelled() -> str:
     return "".join(chr(b) if b in shown else chr(256 + next(hidden)) for b in range(256))
 
 
+class _Known(dict):
+    """Ids by word; a word that is missing is learnt as it is looked up.
+
+    It holds ``KEPT`` words at most, and those of more than ``LONGEST`` bytes
+    only until the next text (``long``).
+    """
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        self.learn, self.long = learn, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > LONGEST:
+            found = self.long.get(word)
+            if found is None:
+                found = self.long[word] = self.learn(word)
+            return found
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[word] = self.learn(word)
+        return found
+
+
 class Words:
     """The ids of the words of texts, as little-endian unsigned 32-bit integers."""
 
@@ -73,7 +96,7 @@ class Words:
         splits = [p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", ())]
         self.ruled = spec["normalizer"].get("normalizers") == NORMALIZERS and splits == [SPLIT, None]
         self.added = [t["content"].encode().lower() for t in spec.get("added_tokens", ())]
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self._learnt)
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -83,8 +106,11 @@ class Words:
             if not _SIMPLE.fullmatch(word):
                 return self._whole(word)
             word = word.decode().lower().encode()
-        written = word.decode("latin-1").translate(self.spelled)
-        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        written = word.decode("latin-1")
+        if not (word.isascii() and written.isprintable()):  # those are spelled as they are
+            written = written.translate(self.spelled)
+        ids = [t.id for t in self.model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: bytes) -> np.ndarray:
         """The ids of a text (or of a part of one between white space)."""
@@ -92,16 +118,8 @@ class Words:
         if not self.ruled or any(a in lowered for a in self.added):
             return np.frombuffer(self._whole(text), "<u4")
         some = (_ASCII_WORD if lowered.isascii() else _WORD).findall(lowered)
-        missing = set(some).difference(self.known)
-        if len(self.known) + len(missing) > KEPT:
-            self.known = {}
-            missing = set(some)
-        for w in missing:
-            self.known[w] = self._learnt(w)
         found = b"".join(map(self.known.__getitem__, some))
-        for w in missing:
-            if len(w) > LONGEST:
-                del self.known[w]
+        self.known.long.clear()
         return np.frombuffer(found, "<u4")
 
 
