@@ -1,12 +1,13 @@
-"""Ids of a word-level BPE by the ``tokenizers`` library, one cached word at a time.
+"""Ids of a word-level BPE by the ``tokenizers`` library, one cached run at a time.
 
 Vocabularies of this kind lower the case, drop white space and part what is
 left into words by a pattern; a token, a composed character or an added token
-never reaches across ASCII white space.  For a text's Latin-1 letters, digits
-and ASCII signs the words are found here, by the same pattern, and each new
-word goes to the library's BPE model once.  A run between white space with
-any other character goes to the library whole, and so does a text that may
-hold an added token, or every text of a file with other rules.
+never reaches across ASCII white space.  So the ids of a run between white
+space are its own, and are kept by run.  In a new run of Latin-1 letters,
+digits and ASCII signs the words are found here, by the same pattern, and each
+new word goes to the library's BPE model once.  A run with any other character
+goes to the library whole, and so does a text that may hold an added token, or
+every text of a file with other rules.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 
 from .common import worker_cache
 
-#: Words kept by a worker (they are forgotten together), and the longest one kept.
-KEPT, LONGEST = 200_000, 48
+#: Runs and words that a worker learns before it forgets those not met since
+#: the last time; the longest one kept.
+KEPT, LONGEST = 500_000, 48
 #: Bytes of a text that are split at once.
 SLICE = 1 << 20
 
@@ -60,24 +62,29 @@ def _spelled() -> str:
 
 
 class _Known(dict):
-    """Ids by word; a word that is missing is learnt as it is looked up.
+    """Ids by run or word; one that is missing is learnt as it is looked up.
 
-    It holds ``KEPT`` words at most, and those of more than ``LONGEST`` bytes
-    only until the next text (``long``).
+    It holds ``KEPT`` of them at most, and as many from before (``before``):
+    what is in use comes back from there, the rest is forgotten.  Those of
+    more than ``LONGEST`` bytes are held only until the next text (``long``).
     """
 
     def __init__(self, learn: Callable[[bytes], bytes]):
-        self.learn, self.long = learn, {}
+        self.learn, self.before, self.long = learn, {}, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(word) > LONGEST:
-            found = self.long.get(word)
+    def __missing__(self, run: bytes) -> bytes:
+        if len(run) > LONGEST:
+            found = self.long.get(run)
             if found is None:
-                found = self.long[word] = self.learn(word)
+                found = self.long[run] = self.learn(run)
             return found
+        found = self.before.get(run)
+        if found is None:
+            found = self.learn(run)
         if len(self) >= KEPT:
+            self.before = self.copy()
             self.clear()
-        found = self[word] = self.learn(word)
+        self[run] = found
         return found
 
 
@@ -96,11 +103,18 @@ class Words:
         splits = [p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", ())]
         self.ruled = spec["normalizer"].get("normalizers") == NORMALIZERS and splits == [SPLIT, None]
         self.added = [t["content"].encode().lower() for t in spec.get("added_tokens", ())]
-        self.known = _Known(self._learnt)
+        self.known = _Known(self._run)
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _run(self, run: bytes) -> bytes:
+        """The ids of a run without ASCII white space, in lower case there."""
+        if run.isalpha():  # of ASCII letters: a word
+            return self._tokens(run.decode())
+        some = (_ASCII_WORD if run.isascii() else _WORD).findall(run)
+        return self._learnt(run) if len(some) == 1 else b"".join(map(self.known.__getitem__, some))
+
     def _learnt(self, word: bytes) -> bytes:
         if not word.isascii():
             if not _SIMPLE.fullmatch(word):
@@ -109,6 +123,9 @@ class Words:
         written = word.decode("latin-1")
         if not (word.isascii() and written.isprintable()):  # those are spelled as they are
             written = written.translate(self.spelled)
+        return self._tokens(written)
+
+    def _tokens(self, written: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(written)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -117,8 +134,7 @@ class Words:
         lowered = text.lower()
         if not self.ruled or any(a in lowered for a in self.added):
             return np.frombuffer(self._whole(text), "<u4")
-        some = (_ASCII_WORD if lowered.isascii() else _WORD).findall(lowered)
-        found = b"".join(map(self.known.__getitem__, some))
+        found = b"".join(map(self.known.__getitem__, lowered.split()))
         self.known.long.clear()
         return np.frombuffer(found, "<u4")
 
