@@ -35,25 +35,29 @@ def _pieces(lines: Column, carried: Column | None = None) -> Column:
     )
 
 
-def _assembled(pieces: Column, read: Column) -> Column:
-    """A line a piece: the texts read for those with marks, the others as they are."""
+#: White space but for a single space, which is what it becomes (no ``\\s``: classes of single characters are quickest).
+_SPACES = r"[\t\n\x0b\f\r\x85\xa0\x{2028}\x{2029}][ \t\n\x0b\f\r\x85\xa0\x{2028}\x{2029}]*| [ \t\n\x0b\f\r\x85\xa0\x{2028}\x{2029}]+"
+
+
+def _assembled(pieces: Column, marked: Column, read: Column) -> Column:
+    """A line a piece: the texts ``read`` for those ``marked``, the others as they are."""
 
     def one(acc: Column, piece: Column) -> Column:
-        plain = piece.rlike(commonmark.PLAIN)
+        plain = ~piece.eqNullSafe(F.get(marked, acc["at"]))  # a plain piece equals no marked one
         text = F.when(plain, piece).otherwise(F.get(read, acc["at"]))
         return F.struct(F.when(plain, acc["at"]).otherwise(acc["at"] + 1).alias("at"), F.concat(acc["out"], F.array(text)).alias("out"))
 
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     found = F.when(F.size(read) == 0, pieces).otherwise(F.aggregate(pieces, none, one)["out"])
-    squeezed = F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"[\s\x{85}\x{a0}\x{2028}\x{2029}]+", " ")))
+    squeezed = F.transform(found, lambda x: F.trim(F.regexp_replace(x, _SPACES, " ")))
     return F.array_join(F.filter(squeezed, lambda x: x != ""), "\n")
 
 
 def _texts(read: DataFrame, labels: Column, *keep: str) -> DataFrame:
     """Rows of ``read(pieces, ...)`` with their text."""
-    named = read.select(*keep, "pieces", labels.alias("labels"))
-    scanned = named.withColumn("read", commonmark.texts(F.col("pieces"), F.col("labels")))
-    return scanned.select(*keep, _assembled(F.col("pieces"), F.col("read")).alias("text"))
+    named = read.select(*keep, "pieces", labels.alias("labels"), commonmark.marked(F.col("pieces")).alias("marked"))
+    scanned = named.withColumn("read", commonmark.texts(F.col("marked"), F.col("labels")))
+    return scanned.select(*keep, _assembled(F.col("pieces"), F.col("marked"), F.col("read")).alias("text"))
 
 
 def _own(labels: Column, names: Column) -> Column:

@@ -229,7 +229,8 @@ def q_markdown_text(spark, base):
 
 def _squeezed(df):
     """White space in ``text`` carries no meaning for tokens: one space each."""
-    return df.withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
+    # A single space is what it becomes: it is not replaced.
+    return df.withColumn("text", F.trim(F.regexp_replace("text", r"[\t\r\n][ \t\r\n]*| [ \t\r\n]+", " ")))
 
 
 def q_markdown_terms(spark, base):
