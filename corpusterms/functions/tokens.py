@@ -61,6 +61,9 @@ TOKEN_RE = _SKIP_WS + "(" + _TABLE + "|" + _WORD + "|" + _OTHER + ")"
 # The array keeps one slot per token, so non-word tokens still break n-grams.
 WORD_LANE_RE = _SKIP_WS + "(?:" + _TABLE + "|(" + _WORD + ")|" + _OTHER + ")"
 
+# A word token in a text without a wiki table (Spark; \p{Alnum} is ASCII, and looked up in a table).
+PLAIN_WORD_RE = r"\p{Alnum}+(?:-\p{Alnum}+)?"
+
 # A word token starts with an ASCII letter or digit.
 WORD_START_RE = "^[" + ALNUM + "]"
 PUNCT_START_RE = "^[" + PUNCT_CLASS + "]"
@@ -79,8 +82,14 @@ def word_lane(text: Column) -> Column:
 
 
 def word_array(text: Column) -> Column:
-    """Word tokens only, in order (punctuation and omitted chars removed)."""
-    return F.array_remove(word_lane(text), "")
+    """Word tokens only, in order (punctuation and omitted chars removed).
+
+    Without a wiki-table opening every other token is one character that is
+    no letter or digit, so the words are found by themselves.
+    """
+    t = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(t, F.lit(PLAIN_WORD_RE), F.lit(0))
+    return F.when(t.contains(TABLE_OPEN), F.array_remove(word_lane(t), "")).otherwise(words)
 
 
 def token_kind(token: Column) -> Column:
