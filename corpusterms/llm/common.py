@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import bounded_batches  # noqa: F401
-from ..storage import scratch, stored  # noqa: F401
+from ..storage import kept, scratch, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,13 +33,14 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, least_rows, parts, scratch, stored
+from .common import bounded_batches, kept, least_rows, parts, scratch, stored
 from .components import components
 
 #: Shingles of a bucket, of a chunk that is packed, and of one that is looked
@@ -327,6 +328,11 @@ def _verified(percent: int):
 
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)``, a row per document."""
+    with ExitStack() as until:
+        return _joined(docs, words, percent, until)
+
+
+def _joined(docs: DataFrame, words: int, percent: int, until: ExitStack) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     path = scratch(spark)
@@ -364,13 +370,13 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     # Clusters: classes that share prefix shingles, directly or through others.
     posted = lists.select("key", F.explode(F.slice("tokens", F.lit(1), F.col("prefix").cast("int"))).alias("token"))
     stars = posted.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    stars = stored(stars.select("token", "least"), f"{path}/stars")
+    stars = kept(stars.select("token", "least"), until)
     edges = posted.join(stars, "token").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    clusters = stored(components(edges, f"{path}/clusters"), f"{path}/clustered")
+    clusters = kept(components(edges, f"{path}/clusters"), until)
 
     members = lists.join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key")
     sizes = members.groupBy("cluster").agg(F.sum(F.size("tokens")).alias("held"))
-    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")), f"{path}/sizes")
+    sizes = kept(sizes.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")), until)
     held = sizes.agg(F.sum("held")).first()[0] or 0
     bundles = parts(spark, BLOCK, held)
     members = members.join(sizes.select("cluster", "blocks"), "cluster")
@@ -401,8 +407,8 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     torn = verified.where("torn = 1 and key != root").select(F.col("key").alias("a"), F.col("root").alias("b"))
     joined = components(torn, f"{path}/joined").select(F.col("node").alias("key"), F.col("root").alias("top"))
     named = named.join(joined, "key", "left").select("key", F.coalesce("top", "root").alias("root"), "links")
-    named = stored(named.join(classes.select("key", "first_doc"), "key"), f"{path}/named")
-    tops = stored(named.groupBy("root").agg(F.min("first_doc").alias("component_id")), f"{path}/tops")
+    named = kept(named.join(classes.select("key", "first_doc"), "key"), until)
+    tops = kept(named.groupBy("root").agg(F.min("first_doc").alias("component_id")), until)
     named = named.join(tops, "root").select("key", "links", "component_id")
     result = classes.join(named, "key", "left").select(
         "key",

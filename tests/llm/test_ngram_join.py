@@ -98,3 +98,62 @@ def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
     got = sorted(r.source for r in got.collect())
     assert len(got) == 7 and {"a", "d", "f", "i", "j"} <= set(got)
     assert len({"b", "c"} & set(got)) == 1 and len({"g", "h"} & set(got)) == 1
+
+
+def written(path):
+    """Data files by table below ``path``."""
+    return Counter(p.parent.relative_to(path).as_posix() for p in path.rglob("part-*.parquet"))
+
+
+def cached(spark):
+    return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+
+def test_steps_write_only_what_they_leave(spark, tmp_path):
+    before = cached(spark)
+    star = spark.createDataFrame([(i, 100) for i in range(101, 140)], "a long, b long")
+    assert len(components(star, str(tmp_path / "star")).collect()) == 40
+    assert set(written(tmp_path / "star")) == {"0"}  # a star needs no step
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.root for r in components(path, str(tmp_path / "path")).collect()} == {0}
+    steps = written(tmp_path / "path")
+    assert 1 < len(steps) <= 8 and all(t.isdigit() for t in steps)
+    assert cached(spark) == before
+
+
+def test_few_tables_are_written_and_nothing_stays_cached(spark, monkeypatch, tmp_path, documents, rows):
+    monkeypatch.setattr(ngram_join, "scratch", lambda spark: str(tmp_path))
+    before = cached(spark)
+    got = ngram_join.ngram_join(documents)
+    tables = {t.split("/")[0] for t in written(tmp_path)}
+    assert tables == {"sets", "classes", "lists", "clusters", "verified", "joined", "result"}
+    assert cached(spark) == before
+    same(got, brute(rows))
+
+
+def test_a_kept_side_lets_a_skewed_join_be_split(spark, tmp_path):
+    from contextlib import ExitStack
+
+    from pyspark.sql import functions as F
+
+    from corpusterms.storage import kept, stored
+
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k) for k in small}
+    rows = spark.range(0, 100_000, 1, 8).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("u"), "id")
+    rows = stored(rows, str(tmp_path / "rows"))
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        with ExitStack() as until:
+            joined = rows.join(kept(rows.groupBy("u").agg(F.min("id").alias("m")), until), "u")
+            assert len(joined.collect()) == 100_000
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
