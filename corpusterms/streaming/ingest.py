@@ -21,18 +21,22 @@ counts from the moment it is committed, and every reader here leaves out
 batches that are not.  A replayed batch (same run and batch id) leaves its own
 rows out of the anti-join and overwrites exactly its own output.  A stream
 that has lost its checkpoint starts as a new run, for which all stored
-documents are done.  Several writers may run at once: before it commits, a
-batch compares its documents with those of the batches committed since it read
-the registry, and where they share one it is computed anew without those.
+documents are done.  Several writers may run at once: before it writes and
+before it commits, a batch compares its documents with those of the batches
+committed since it read the registry, and where they share one it is computed
+anew without those; what it had written in vain is deleted first.  Writers of
+one process that share a document take turns, so none of them writes in vain.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, nullcontext
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -63,14 +67,21 @@ def table_path(store: str, name: str) -> str:
     return os.path.join(store, name)
 
 
-def read_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:
-    """A stored table as it lies there; None if nothing was ever committed.
+def _batch_path(spark: SparkSession, store: str, name: str, key: tuple[str, int]) -> str:
+    """The folder of one batch's partition of a table."""
+    run = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(key[0])
+    return os.path.join(table_path(store, name), f"run_id={run}", f"batch_id={key[1]}")
+
+
+def read_table(spark: SparkSession, store: str, name: str, key: tuple[str, int] | None = None) -> DataFrame | None:
+    """A stored table as it lies there, or one batch's part; None if nothing was ever committed.
 
     Any other failure to read (a corrupt file, no permission) is raised: an
     unreadable registry must not pass for an empty one.
     """
+    table = table_path(store, name)
     try:
-        return spark.read.parquet(table_path(store, name))
+        return spark.read.option("basePath", table).parquet(table if key is None else _batch_path(spark, store, name, key))
     except AnalysisException as e:
         # No folder, or one that holds no committed file (a first write that crashed).
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
@@ -154,20 +165,67 @@ def ledger_for(
 
 def _commit(spark: SparkSession, store: str, key: tuple[str, int], at: int) -> bool:
     """Commit the batch as written; False if one committed since ``at`` holds one of its documents."""
-    own = _of(read_table(spark, store, "doc_info"), key).select("document")
+    own = read_table(spark, store, "doc_info", key)
     while True:
         now = commits.last(spark, store)
-        if now > at:
-            others = registry(spark, store, key, after=at, upto=now).select("document")
-            if not own.join(others, "document", "left_semi").isEmpty():
-                return False
+        if _taken(spark, store, own, key, at, now):
+            return False
         if commits.create(spark, store, now + 1, *key):
             return True
         at = now  # another took the number: look at its documents, then try the next
 
 
+def _taken(spark: SparkSession, store: str, own: DataFrame, key: tuple[str, int], at: int, now: int) -> bool:
+    """Whether a batch committed after ``at``, up to ``now``, holds a document of ``own``."""
+    if now <= at:
+        return False
+    others = registry(spark, store, key, after=at, upto=now).select("document")
+    return not own.select("document").join(others, "document", "left_semi").isEmpty()
+
+
+#: The writers at work in this process, by store: the keys of their documents, and whether they are done.
+_at_work: dict[str, list[tuple[DataFrame, threading.Event]]] = {}
+_at_work_lock = threading.Lock()
+
+
+@contextmanager
+def _turn(store: str, keys: DataFrame) -> Iterator[None]:
+    """Wait until the writers of this process that came before and hold one of ``keys`` are done.
+
+    Only one of them could commit what both wrote.  Those of other documents
+    go on beside each other.
+    """
+    own = (keys, threading.Event())
+    with _at_work_lock:
+        before = list(_at_work.setdefault(store, []))
+        _at_work[store].append(own)
+    try:
+        for others, done in before:
+            if not done.is_set() and not keys.join(others, "document", "left_semi").isEmpty():
+                done.wait()
+        yield
+    finally:
+        with _at_work_lock:
+            _at_work[store].remove(own)
+            if not _at_work[store]:
+                del _at_work[store]
+        own[1].set()
+
+
+def _discard(spark: SparkSession, store: str, key: tuple[str, int]) -> None:
+    """Delete the large tables' part of a batch that was tried and not committed.
+
+    No reader counts it; it would lie there beside what is written anew, and for
+    good where that is empty.  The delta stays: who follows it has heard it.
+    """
+    for name in ("term_info", "ngram_two", "ngram_three", "term_state"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(_batch_path(spark, store, name, key))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _write(df: DataFrame, store: str, name: str) -> None:
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BATCH_KEY)
+    writer = writer.option("compression", "zstd")  # the n-grams of a text take several times its room
     if name in ("ngram_two", "ngram_three"):
         # Hardly an n-gram comes twice in a row group: no dictionary to look them up in.
         writer = writer.option("parquet.enable.dictionary#term", "false")
@@ -308,17 +366,28 @@ def ingest_batch(
     # committed, or lost to another writer, may now have other documents.
     committed = given and at > 0 and not _of(commits.read(spark, store), key).isEmpty()
     tried = given and not committed
+    lost = False
     while True:
         ledger = ledger_for(spark, store, corpus, key, at)
-        lanes = new_lanes(corpus, ledger, size, dedupe, markdown)
-        written = _write_batch(spark, lanes, store, key, tried)
-        if not written or committed or _commit(spark, store, key, at):
+        keys = new_documents(corpus.select("document"), ledger, size)
+        if lost and not tried and keys.isEmpty():  # the keys alone tell, no text is read
             return key
-        at, tried = commits.last(spark, store), True
+        with nullcontext() if committed else _turn(store, keys):
+            now = commits.last(spark, store)
+            lost = not committed and _taken(spark, store, keys, key, at, now)
+            if not lost:
+                lanes = new_lanes(corpus, ledger, size, dedupe, markdown)
+                written = _write_batch(spark, lanes, store, key, tried)
+                if not written or committed or _commit(spark, store, key, at):
+                    return key
+                lost, tried, now = True, True, commits.last(spark, store)
+        at = now
 
 
 def _write_batch(spark: SparkSession, lanes: DataFrame, store: str, key: tuple[str, int], tried: bool) -> bool:
     """Write every table of a batch; False (and nothing counts) without documents."""
+    if tried:
+        _discard(spark, store, key)
     # One regex pass per document, reused by every table of the batch.  The
     # cache only saves work: what an executor loses is computed anew.  It holds
     # a lane as one string (words hold no spaces), about as long as the text: an
@@ -343,12 +412,11 @@ def _write_batch(spark: SparkSession, lanes: DataFrame, store: str, key: tuple[s
         # The terms' states from the partition just written, and from those the
         # term_doc_info delta, so both are maintained incrementally.
         # (A store whose documents have no terms yet has no file of either.)
-        infos = read_table(spark, store, "term_info")
-        state = term_state(tables["term_info"] if infos is None else _of(infos, key))
+        infos = read_table(spark, store, "term_info", key)
+        state = term_state(tables["term_info"] if infos is None else infos)
         _write(state.select("*", *mark), store, "term_state")
-        states = read_table(spark, store, "term_state")
-        states = state if states is None else _of(states, key)
-        delta = states.select("term", F.col("rows").alias("doc_count"))
+        states = read_table(spark, store, "term_state", key)
+        delta = (state if states is None else states).select("term", F.col("rows").alias("doc_count"))
         if tried:
             delta = _delta(spark, store, key, delta)
         _write(delta.select("*", *mark), store, "term_doc_delta")
@@ -365,10 +433,10 @@ def _delta(spark: SparkSession, store: str, key: tuple[str, int], delta: DataFra
     """
     empty = spark.createDataFrame([], "term string, doc_count long")
     delta = empty if delta is None else delta
-    old = read_table(spark, store, "term_doc_delta")
+    old = read_table(spark, store, "term_doc_delta", key)
     if old is None:
         return delta
-    old = stored(_of(old, key).select("term"))  # written: its files are about to be replaced
+    old = stored(old.select("term"))  # written: its files are about to be replaced
     return delta.unionByName(old.join(delta, "term", "left_anti").select("term", F.lit(0).cast("long").alias("doc_count")))
 
 
